@@ -85,20 +85,17 @@ def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_BLOCK = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i below n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, base, _U), np.full(size, pow(base, -1, 1 << 64), _U)
+def powers(base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """``base**i`` and ``base**-i`` modulo 2**64 for i below 2**16."""
+    if base not in _powers:
+        up, down = np.full(_BLOCK, base, _U), np.full(_BLOCK, pow(base, -1, 1 << 64), _U)
         up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 4 * SLICE_BYTES:
-            _powers[base] = have
-    return have
+        _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,10 +111,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Hash of each range of ``values``, equal for equal ranges wherever they stand (prefix sums modulo 2**64)."""
     n = len(values)
-    up, down = powers(n + 1, base)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((values.astype(_U) + _U(1)) * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    up, down = powers(base)
+    total = np.empty(n + 1, _U)
+    total[0] = 0
+    total[1:] = values
+    total[1:] += _U(1)
+    far = [pow(base, i, 1 << 64) for i in range(0, n + 1, _BLOCK)]
+    back = np.array([pow(f, -1, 1 << 64) for f in far], _U)
+    for i, f in zip(range(0, n, _BLOCK), far, strict=False):
+        part = total[1 + i : 1 + i + _BLOCK]
+        part *= up[: len(part)]
+        part *= _U(f)
+    np.cumsum(total, out=total)
+    return mix((total[ends] - total[starts]) * down[starts & (_BLOCK - 1)] * back[starts >> 16])
 
 
 def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

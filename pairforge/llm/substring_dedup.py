@@ -98,7 +98,7 @@ def _super_kmers(batch: pa.RecordBatch, window: int, m: int, buckets: int) -> It
     order = np.argsort(rank, kind="stable")
     held = np.searchsorted(rank[order], np.arange(len(rep) + 1))
     cuts = np.append(np.flatnonzero(np.diff(bucket[rep], prepend=-1)), len(rep))
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=6)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         own, occ = rep[lo:hi], order[held[lo] : held[hi]]
         index, _ = K.ragged(b0[own], b1[own] - b0[own])
@@ -207,7 +207,7 @@ def _pass(chunks: Callable[[int], Iterator[_Chunk]], base: int, residues: int, r
 
 def _count_windows(batches: Iterator[pa.RecordBatch], window: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Exact window comparison of all buckets of one partition."""
-    with tempfile.SpooledTemporaryFile(max_size=48 << 20) as scratch:
+    with tempfile.SpooledTemporaryFile(max_size=32 << 20) as scratch:
         sizes: list[int] = []
         total = 0
         for batch in batches:
@@ -252,7 +252,7 @@ def _count_windows(batches: Iterator[pa.RecordBatch], window: int, limit: int) -
                 raise RuntimeError("windows collide under every hash base")
 
 
-def repeated_ranges(docs: DataFrame, window: int = 13, m: int = 3, limit: int = 2_000_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 13, m: int = 2, limit: int = 2_000_000) -> DataFrame:
     """(doc_id, tag, begin, finish): word ranges covered by windows that start in a document with a smaller doc_id.
 
     ``limit`` bounds the windows sorted at once by a task; it changes no result.
@@ -261,12 +261,12 @@ def repeated_ranges(docs: DataFrame, window: int = 13, m: int = 3, limit: int =
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch, "text", 2 * K.SLICE_BYTES):
+            for part in K.slices(batch, "text", 3 * K.SLICE_BYTES):
                 if rows := list(_super_kmers(part, window, m, buckets)):
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "windows", "packed"])
 
     sent = docs.select("doc_id", _tag(), "text").where("doc_id is not null and text is not null").mapInArrow(emit, "bucket int, windows long, packed binary")
-    return sent.repartition("bucket").select("windows", "packed").mapInArrow(lambda it: _count_windows(it, window, limit), "doc_id long, tag int, begin int, finish int")
+    return sent.repartition(buckets, "bucket").select("windows", "packed").mapInArrow(lambda it: _count_windows(it, window, limit), "doc_id long, tag int, begin int, finish int")
 
 
 def _tag() -> F.Column:
@@ -274,7 +274,7 @@ def _tag() -> F.Column:
     return F.shiftright(F.xxhash64("text"), 32).cast("int").alias("tag")
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, m: int = 3, limit: int = 2_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, m: int = 2, limit: int = 2_000_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): the text without the words covered by repeated windows.
 
     Windows are judged on the input; kept words are joined by one space.
