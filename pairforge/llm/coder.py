@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"PFT1"
-LANES, STEPS = 4096, 256
+LANES, STEPS = 8192, 192
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
 _EVENT_BITS = 12
@@ -29,7 +29,9 @@ _EVENTS = 1 << _EVENT_BITS
 _CTX_BITS = 18
 _ZERO_TOTAL = 1 << 18
 _LEVELS = 8  # confidences
-_REFRESH = 8  # steps between new order-0 frequencies
+_REFRESH, _REFRESH_MIX = 8, 4  # steps between new order-0 frequencies, and between lessons of the mixers
+#: What a confidence gains by a guess that held, and loses by one that did not (it is halved).
+_RISE, _FALL = np.array([1] * 7 + [0], np.int32), np.array([c - c // 2 for c in range(8)], np.int32)
 
 _STATE = np.arange(_LEVELS * _LEVELS * 2)
 _C2, _C1, _SAME = _STATE >> 4, (_STATE >> 1) & 7, (_STATE & 1).astype(bool)
@@ -87,8 +89,8 @@ class _Mixer:
 class _Model:
     def __init__(self, size: int) -> None:
         self.size = size
-        self.id1, self.conf1 = np.zeros(size, np.int32), np.zeros(size, np.int8)
-        self.id2, self.conf2 = np.zeros(1 << _CTX_BITS, np.int32), np.zeros(1 << _CTX_BITS, np.int8)
+        self.order1, self.order2 = np.zeros(size, np.int32), np.zeros(1 << _CTX_BITS, np.int32)  # guess << 3 | confidence
+        self.met = np.zeros(3 * len(_STATE), np.int64)
         self.first, self.second = _Mixer(), _Mixer()
         self.counts = np.zeros(size, np.int64)
         self.waiting: list[np.ndarray] = []
@@ -110,24 +112,30 @@ class _Model:
         self.bounds = np.stack([np.zeros_like(f2), f2, f2 + f1, np.full_like(f2, _EVENTS)]).astype(np.uint64)
 
     def guess(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(order-2 context, its guess, order-1 guess, state) after the ids ``two``, ``one``."""
-        ctx = ((one.astype(np.uint32) * np.uint32(0x9E3779B1) + two.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - _CTX_BITS)).astype(np.int64)
-        g2, g1 = self.id2[ctx], self.id1[one]
-        return ctx, g2, g1, (self.conf2[ctx].astype(np.int64) << 4) | (self.conf1[one].astype(np.int64) << 1) | (g1 == g2)
-
-    def learn(self, ids: np.ndarray, one: np.ndarray, ctx: np.ndarray, g2: np.ndarray, g1: np.ndarray, state: np.ndarray, event: np.ndarray) -> None:
-        for table, conf, at, g in ((self.id2, self.conf2, ctx, g2), (self.id1, self.conf1, one, g1)):
-            c, held = conf[at], ids == g
-            table[at] = np.where(held | (c > 0), g, ids)
-            conf[at] = np.where(held, np.minimum(c + 1, _LEVELS - 1), c >> 1)
-        n = np.bincount(event * len(_STATE) + state, minlength=3 * len(_STATE)).reshape(3, -1).astype(float)
-        self.first.learn(n[0] + n[1] + n[2], n[0])
-        apart = np.where(_SAME, 0.0, 1.0)
-        self.second.learn((n[1] + n[2]) * apart, n[1] * apart)
-        self._events()
+        """(order-2 context, its cell, the order-1 cell, both guesses, state) after the ids ``two``, ``one``."""
+        ctx = (one.view(np.uint32) * np.uint32(0x9E3779B1) + two.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - _CTX_BITS)
+        cell2, cell1 = self.order2[ctx], self.order1[one]
+        g2, g1 = cell2 >> 3, cell1 >> 3
+        state = ((cell2 & 7) << 4) | ((cell1 & 7) << 1)
+        state |= g1 == g2
+        return ctx, cell2, cell1, g2, g1, state
+
+    def learn(self, ids: np.ndarray, one: np.ndarray, guessed: tuple[np.ndarray, ...], event: np.ndarray) -> None:
+        ctx, cell2, cell1, g2, g1, state = guessed
+        for table, cell, at, g in ((self.order2, cell2, ctx, g2), (self.order1, cell1, one, g1)):
+            table[at] = np.where(ids == g, cell + _RISE[cell & 7], np.where(cell & 7, cell - _FALL[cell & 7], ids << 3))
+        self.met += np.bincount(event * len(_STATE) + state, minlength=3 * len(_STATE))
         self.waiting.append(ids[event == 2])
         self.step += 1
-        if self.step <= 4 or self.step % _REFRESH == 0:
+        early = self.step <= 4
+        if early or self.step % _REFRESH_MIX == 0:
+            n = self.met.reshape(3, -1).astype(float)
+            self.met[:] = 0
+            self.first.learn(n[0] + n[1] + n[2], n[0])
+            apart = np.where(_SAME, 0.0, 1.0)
+            self.second.learn((n[1] + n[2]) * apart, n[1] * apart)
+            self._events()
+        if early or self.step % _REFRESH == 0:
             self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.size)
             self.waiting = []
             self._zero()
@@ -166,7 +174,7 @@ def encode(ids: np.ndarray, size: int) -> bytes:
     """One block of ids below ``size``."""
     n = len(ids)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model, coder = _Model(size), _Coder(lanes)
@@ -179,12 +187,13 @@ def encode(ids: np.ndarray, size: int) -> bytes:
             out[due, used[due]] = (low >> _U(48)).astype(np.uint16)
             used[due] += 1
 
-    one = two = np.zeros(lanes, np.int64)
+    one = two = np.zeros(lanes, np.int32)
     for x in grid:
         if used.max() + 16 > out.shape[1]:
             out = np.concatenate([out, np.zeros_like(out)], axis=1)
-        ctx, g2, g1, state = model.guess(one, two)
-        event = np.where(x == g2, 0, np.where(x == g1, 1, 2))
+        guessed = model.guess(one, two)
+        g2, g1, state = guessed[3:]
+        event = 2 - 2 * (x == g2) - ((x == g1) & (x != g2))
         bounds = model.bounds.ravel()
         cell = event * len(_STATE) + state
         start = bounds[cell]
@@ -195,7 +204,7 @@ def encode(ids: np.ndarray, size: int) -> bytes:
             start = model.zero[x[rest]]
             coder.narrow(rest, start.astype(_U), (model.zero[x[rest] + 1] - start).astype(_U), coder.range[rest] // _U(model.zero_total))
             flush(rest)
-        model.learn(x, one, ctx, g2, g1, state, event)
+        model.learn(x, one, guessed, event)
         one, two = x, one
     last = (coder.low + (_BOT - _U(1))) & ~(_BOT - _U(1))
     if used.max() + 2 > out.shape[1]:
@@ -236,10 +245,11 @@ def decode(block: bytes) -> np.ndarray:
         for due, _ in coder.shifts(own):
             code[due] = (code[due] << _U(16)) | take(due)
 
-    grid = np.zeros((steps, lanes), np.int64)
-    one = two = np.zeros(lanes, np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
+    one = two = np.zeros(lanes, np.int32)
     for i in range(steps):
-        ctx, g2, g1, state = model.guess(one, two)
+        guessed = model.guess(one, two)
+        g2, g1, state = guessed[3:]
         part = coder.range >> _U(_EVENT_BITS)
         value = np.minimum((code - coder.low) // part, _U(_EVENTS - 1))
         bounds = model.bounds.ravel()
@@ -248,7 +258,7 @@ def decode(block: bytes) -> np.ndarray:
         start = bounds[cell]
         coder.narrow(slice(None), start, bounds[cell + len(_STATE)] - start, part)
         fill(every)
-        x = np.where(event == 0, g2, g1).astype(np.int64)
+        x = np.where(event == 0, g2, g1)
         rest = np.flatnonzero(event == 2)
         if len(rest):
             part = coder.range[rest] // _U(model.zero_total)
@@ -257,7 +267,7 @@ def decode(block: bytes) -> np.ndarray:
             start = model.zero[x[rest]]
             coder.narrow(rest, start.astype(_U), (model.zero[x[rest] + 1] - start).astype(_U), part)
             fill(rest)
-        model.learn(x, one, ctx, g2, g1, state, event)
+        model.learn(x, one, guessed, event)
         grid[i] = x
         one, two = x, one
     ids = grid.T.ravel()[:n].astype(np.uint32)

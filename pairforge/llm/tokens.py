@@ -154,12 +154,22 @@ class PieceTokenizer:
         return out, total
 
 
+_loaded: dict[str, PieceTokenizer] = {}
+
+
+def loaded(path: str) -> PieceTokenizer:
+    """The worker's tokenizer of this file, with what it remembers from earlier tasks."""
+    if path not in _loaded:
+        _loaded[path] = PieceTokenizer(path)
+    return _loaded[path]
+
+
 _SCHEMA = "part int, block int, doc_ids array<long>, lengths array<long>, n_ids long, coded binary"
 
 
 def _encoded(path: str, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = PieceTokenizer(path)
+        tokenizer = loaded(path)
         docs: list[pa.Array] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
