@@ -103,6 +103,13 @@ class _Model:
         freq = 1 + self.counts * (_ZERO_TOTAL - self.size) // n
         self.zero = np.concatenate(([0], np.cumsum(freq)))
         self.zero_total = int(self.zero[-1])
+        self.places: np.ndarray | None = None
+
+    def at(self, value: np.ndarray) -> np.ndarray:
+        """The id whose order-0 range holds each value."""
+        if self.places is None:
+            self.places = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.zero))
+        return self.places[value]
 
     def _events(self) -> None:
         """Bounds of the three events in each state, out of 2**12."""
@@ -263,7 +270,7 @@ def decode(block: bytes) -> np.ndarray:
         if len(rest):
             part = coder.range[rest] // _U(model.zero_total)
             value = np.minimum((code[rest] - coder.low[rest]) // part, _U(model.zero_total - 1)).astype(np.int64)
-            x[rest] = np.searchsorted(model.zero, value, "right") - 1
+            x[rest] = model.at(value)
             start = model.zero[x[rest]]
             coder.narrow(rest, start.astype(_U), (model.zero[x[rest] + 1] - start).astype(_U), part)
             fill(rest)

@@ -37,7 +37,7 @@ END_ID = 0
 #: Pieces that a worker remembers; beyond it starts anew.
 REMEMBERED = 600_000
 #: White space beyond ASCII, and control characters that some libraries take for it.
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WIDE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _ASCII = np.arange(256) < 0x80
@@ -70,7 +70,7 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_WIDE, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.feed = self.plain(["\n"])[0][0]
         self.forget()
 
@@ -133,7 +133,7 @@ class PieceTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, the end id after each, and the number of each text's ids."""
         given = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = np.array([_WIDE.search(t) is not None or any(x in t for x in self.special) for t in given.to_pylist()])
+        whole = pc.match_substring_regex(given, self.odd).to_numpy(zero_copy_only=False)
         data, offsets = K.flat(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), given))
         begin = _cuts(data, offsets)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(np.ascontiguousarray(data))])
@@ -189,7 +189,7 @@ def _encoded(path: str, block_ids: int):
             return row
 
         for whole in batches:
-            for batch in K.slices(whole, "text"):
+            for batch in K.slices(whole, "text", 3 * K.SLICE_BYTES):
                 part = batch.column("part")[0].as_py()
                 flat, n = tokenizer.encode(batch.column("text"))
                 docs.append(batch.column("doc_id").cast(pa.int64()))
