@@ -2,5 +2,370 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairforge.functions.text import normalise
+from pairforge.operators import chunking, curate, dedup, generate, planning, pricing, quality, web
+from pairforge.plans.inputs import ALL_SQL, CHUNKS_SQL, PAIRS_SQL, SPECS_SQL, conversation_pairs, document_pairs, specs, table
+from pairforge.sources import export, listing
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_NORM = "trim(regexp_replace(lower(coalesce(instruction, '')), '[^a-z0-9_]+', ' ', 'g'))"
+_ISSUES = r"""list_filter([
+  CASE WHEN i = '' THEN 'empty_instruction' END, CASE WHEN i <> '' AND length(i) < 10 THEN 'short_instruction' END,
+  CASE WHEN o = '' THEN 'empty_output' END, CASE WHEN o <> '' AND length(o) < 20 THEN 'short_output' END,
+  CASE WHEN length(o) >= 40 AND NOT regexp_matches(o, '[.!?"'')\]}…]$') THEN 'truncated_output' END,
+  CASE WHEN regexp_matches(lower(o), 'according to the (document|text|excerpt|passage|article)|as (stated|mentioned|described|noted) in the (document|text|excerpt|passage)|the (document|text|excerpt|passage) (states|says|mentions|describes|notes)|based on the (provided )?(document|text|excerpt|passage)|in this (document|excerpt|passage)') THEN 'source_leak' END,
+  CASE WHEN length(o) > 6000 THEN 'long_output' END, CASE WHEN type = 'factual' AND i <> '' AND NOT contains(i, '?') THEN 'factual_no_question' END,
+  CASE WHEN i <> '' AND o <> '' AND lower(i) = lower(o) THEN 'echo' END, CASE WHEN type NOT IN ('factual', 'instruction', '') THEN 'bad_type' END], lambda x: x IS NOT NULL)"""
+_T = r"regexp_replace(coalesce({}, ''), '^[\s\x{{00a0}}\x{{feff}}]+|[\s\x{{00a0}}\x{{feff}}]+$', '', 'g')"
+_VALID = f"WITH {PAIRS_SQL}, t AS (SELECT id, type, {_T.format('instruction')} AS i, {_T.format('output')} AS o FROM p), v AS (SELECT id, {_ISSUES} AS issues FROM t)"
+
+
+@query(f"{ALL_SQL}, n AS (SELECT lang, {_NORM} AS key FROM dp) SELECT lang, count(*) AS n_pairs, count(DISTINCT key) AS n_distinct FROM n GROUP BY lang")
+def flagship_pairs_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    pairs = document_pairs(spark, d).withColumn("ord", F.col("id"))
+    left = dedup.remove_duplicates(pairs, dedup.exact_duplicates(pairs)).where(normalise(F.col("instruction")) != "")
+    kept = left.groupBy("lang").agg(F.count("*").alias("n_kept"))
+    own = pairs.groupBy("lang").agg(F.count("*").alias("n_pairs"), F.countDistinct(normalise(F.col("instruction"))).alias("n_distinct"))
+    return own.join(kept, "lang", "left").select("lang", "n_pairs", "n_distinct")
+
+
+@query(f'WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, index::INT AS index, total::INT AS total, start::INT AS start, "end"::INT AS "end", md5(text) AS digest FROM k')
+def chunk_documents(spark, d):
+    return chunking.chunk_documents(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "index", "total", "start", "end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars <= 4000 THEN 1 ELSE ceil((n_chars - 300) / 3700.0) END::BIGINT AS n FROM documents")
+def estimate_chunks(spark, d):
+    return table(spark, d, "documents").select("doc_id", chunking.estimate_chunks(F.col("n_chars")).alias("n"))
+
+
+@query(f"WITH RECURSIVE {CHUNKS_SQL}, {SPECS_SQL} SELECT doc_id, index::INT AS chunk_index, n_chunks_raw::INT AS n_chunks_raw, total::INT AS total, pairs::INT AS pairs FROM s")
+def build_specs(spark, d):
+    return specs(spark, d).select("doc_id", "chunk_index", "n_chunks_raw", "total", "pairs")
+
+
+@query(f"{ALL_SQL} SELECT doc_id, chunk_index::INT AS chunk_index, item_index::INT AS item_index, md5(instruction) AS instruction, md5(output) AS output, type FROM dp")
+def template_pairs(spark, d):
+    return document_pairs(spark, d).select("doc_id", "chunk_index", "item_index", F.md5(F.col("instruction").cast("binary")).alias("instruction"), F.md5(F.col("output").cast("binary")).alias("output"), "type")
+
+
+@query(ORACLES["template_pairs"])
+def parse_responses(spark, d):
+    """The generator's pairs written as replies, one in three wrapped in a fence, and read back."""
+    pairs = document_pairs(spark, d)
+    item = F.struct("item_index", "instruction", "output", "type")
+    replies = pairs.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    raw = F.to_json(F.transform("items", lambda x: F.struct(x["instruction"].alias("instruction"), x["output"].alias("output"), x["type"].alias("type"))))
+    fenced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).otherwise(raw)
+    got, _ = generate.parse_responses(replies.select("doc_id", "chunk_index", fenced.alias("response"), F.lit(None).cast("string").alias("error")))
+    return got.select("doc_id", "chunk_index", "item_index", F.md5(F.col("instruction").cast("binary")).alias("instruction"), F.md5(F.col("output").cast("binary")).alias("output"), "type")
+
+
+@query(f"""{ALL_SQL}, n AS (SELECT printf('%012d/%012d/%012d', doc_id, chunk_index, item_index) AS id, {_NORM} AS key FROM dp),
+f AS (SELECT id, first_value(id) OVER (PARTITION BY key ORDER BY id) AS keep_id FROM n WHERE key <> '') SELECT id AS dup_id, keep_id FROM f WHERE id <> keep_id""")
+def exact_duplicates(spark, d):
+    return dedup.exact_duplicates(document_pairs(spark, d).withColumn("ord", F.col("id")))
+
+
+@query()
+def find_duplicates(spark, d):
+    return dedup.find_duplicates(conversation_pairs(spark, d))
+
+
+@query(f"{_VALID} SELECT id, array_to_string(issues, ',') AS codes FROM v")
+def validate_pairs(spark, d):
+    return quality.validate_pairs(conversation_pairs(spark, d)).select("id", F.array_join(F.col("issues.code"), ",").alias("codes"))
+
+
+_ERR = "len(list_filter(issues, lambda x: x IN ('empty_instruction', 'short_instruction', 'empty_output', 'short_output', 'truncated_output')))"
+
+
+@query(f"{_VALID} SELECT count(*) FILTER ({_ERR} > 0) AS error_count, count(*) FILTER ({_ERR} = 0 AND len(issues) > 0) AS warn_count, count(*) FILTER (len(issues) > 0) AS flagged_count FROM v")
+def quality_summary(spark, d):
+    return quality.quality_summary(quality.validate_pairs(conversation_pairs(spark, d)))
+
+
+def _shaped(schema: str, sql: str):
+    def f(spark, d):
+        return export.serialize(conversation_pairs(spark, d), "jsonl", schema, ("id",))
+
+    f.__name__ = f"serialize_{schema}"
+    query(f"WITH {PAIRS_SQL} SELECT id, to_json({sql})::VARCHAR AS line FROM p")(f)
+
+
+_shaped("instruction", "{'instruction': instruction, 'output': output, 'type': type}")
+_shaped("chatml", "{'messages': [{'role': 'user', 'content': instruction}, {'role': 'assistant', 'content': output}]}")
+_shaped("alpaca", "{'instruction': instruction, 'input': '', 'output': output}")
+_shaped("sharegpt", "{'conversations': [{'from': 'human', 'value': instruction}, {'from': 'gpt', 'value': output}]}")
+
+
+def _csv(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[,\"\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT id, {_csv('instruction')} || ',' || {_csv('output')} || ',' || {_csv('type')} AS line FROM p")
+def serialize_csv(spark, d):
+    return export.serialize(conversation_pairs(spark, d), "csv", keys=("id",))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT id, rating, persona_id FROM p WHERE type = 'factual' AND persona_id IS NULL AND rating IS NULL AND contains(lower(instruction || ' ' || output), 'the')")
+def filter_pairs(spark, d):
+    return curate.filter_pairs(conversation_pairs(spark, d), "factual", "none", "unrated", "The").select("id", "rating", "persona_id")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN output || '!' ELSE output END AS output, id % 5 = 0 AS edited FROM p")
+def upsert_pairs(spark, d):
+    pairs = conversation_pairs(spark, d)
+    return curate.upsert_pairs(pairs, pairs.where("id % 5 = 0").select("id", F.concat("output", F.lit("!")).alias("output"))).select("id", "output", "edited")
+
+
+@query(f"""WITH {PAIRS_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (type = 'factual') AS factual, count(*) FILTER (type = 'instruction') AS instruction, sum(length(instruction) + length(output)) AS chars FROM p)
+SELECT factual, instruction, floor(chars / 4 + 0.5)::BIGINT AS tokens, (n - greatest(1, floor(n * 0.1 + 0.5)))::BIGINT AS train, greatest(1, floor(n * 0.1 + 0.5))::BIGINT AS val FROM c""")
+def dataset_stats(spark, d):
+    return curate.dataset_stats(conversation_pairs(spark, d), 0.1)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT DISTINCT persona_id, upper(persona_id[1]) || persona_id[2:] AS persona_name FROM p WHERE persona_id IS NOT NULL")
+def personas_present(spark, d):
+    return curate.personas_present(conversation_pairs(spark, d))
+
+
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM p), c AS (SELECT max(n) AS n, greatest(1, floor(max(n) * 0.1 + 0.5))::BIGINT AS m FROM r),
+v AS (SELECT least(n - 1, floor(k * (n / m) + (n / m) / 2))::BIGINT AS i FROM c, unnest(range(0, m)) AS u(k)) SELECT id, CASE WHEN i IN (SELECT i FROM v) THEN 'val' ELSE 'train' END AS split FROM r""")
+def split_train_val(spark, d):
+    return export.split_train_val(conversation_pairs(spark, d), 0.1, ["id"]).select("id", "split")
+
+
+@query(f"{ALL_SQL} SELECT doc_id, chunk_index::INT AS chunk_index, item_index::INT AS item_index FROM dp")
+def order_pairs(spark, d):
+    return curate.order_pairs(document_pairs(spark, d)).select("doc_id", "chunk_index", "item_index")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT id, 'a' AS batch FROM p UNION ALL SELECT id, 'b' FROM p WHERE type = 'factual'")
+def append_batches(spark, d):
+    pairs = conversation_pairs(spark, d).select("id", "type")
+    return curate.append_batches(pairs.withColumn("batch", F.lit("a")), pairs.where("type = 'factual'").withColumn("batch", F.lit("b"))).select("id", "batch")
+
+
+def _results(spark, d):
+    fail = (F.col("doc_id") % 7 == 0) | ((F.col("doc_id") + F.col("chunk_index")) % 5 == 0)
+    e = F.when(fail, F.when(F.col("chunk_index") % 2 == 0, "maximum context length exceeded").otherwise("HTTP 502"))
+    return specs(spark, d).select("doc_id", "chunk_index", "voice_index", F.when(~fail, F.col("pairs")).alias("n_pairs"), e.alias("error"))
+
+
+_RES = f"WITH RECURSIVE {CHUNKS_SQL}, {SPECS_SQL}, r AS (SELECT doc_id, index, pairs, CASE WHEN doc_id % 7 = 0 OR (doc_id + index) % 5 = 0 THEN CASE WHEN index % 2 = 0 THEN 'maximum context length exceeded' ELSE 'HTTP 502' END END AS error FROM s)"
+
+
+@query(f"""{_RES} SELECT doc_id, CASE WHEN count(error) = count(*) THEN 'error' ELSE 'done' END AS status, coalesce(sum(pairs) FILTER (error IS NULL), 0)::BIGINT AS n_pairs,
+count(error) AS n_failed, arg_max(error, index) FILTER (error IS NOT NULL) AS last_error FROM r GROUP BY doc_id""")
+def document_status(spark, d):
+    return planning.document_status(_results(spark, d))
+
+
+@query(f"{_RES} SELECT doc_id, index::INT AS chunk_index, contains(error, 'context') AS overflow, CASE WHEN error = 'HTTP 502' THEN 'network' ELSE 'api' END AS kind FROM r WHERE error IS NOT NULL")
+def classify_errors(spark, d):
+    return _results(spark, d).where("error is not null").select("doc_id", "chunk_index", generate.is_overflow(F.col("error")).alias("overflow"), generate.classify_errors(F.col("error")).alias("kind"))
+
+
+@query(f"{_RES} SELECT doc_id, index::INT AS chunk_index FROM r WHERE error IS NOT NULL")
+def retry_failed(spark, d):
+    return generate.retry_failed(specs(spark, d), _results(spark, d).where("error is not null")).select("doc_id", "chunk_index")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[^:]+://([^/?#]+)', 1)) AS host, regexp_matches(url, '#') AS fragment FROM pages")
+def normalize_url(spark, d):
+    p = table(spark, d, "pages").withColumn("u", web.normalize_url(F.col("url")))
+    return p.select("page_id", F.regexp_extract("u", "^https?://([^/?#]+)", 1).alias("host"), F.col("u").contains("#").alias("fragment"))
+
+
+_KEY = r"""kk AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS b FROM pages),
+k2 AS (SELECT page_id, url, lower(regexp_extract(b, '^[^:]+://[^/?]*', 0)) AS origin, regexp_extract(b, '^[^:]+://[^/?]*([^?]*)', 1) AS path, regexp_extract(b, '\?(.*)$', 1) AS q FROM kk),
+k3 AS (SELECT page_id, url, origin, CASE WHEN length(path) > 1 THEN regexp_replace(path, '/$', '') WHEN path = '' THEN '/' ELSE path END AS path,
+  array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'gclid', 'fbclid', 'msclkid', 'igshid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'referrer', '_ga', 'yclid', 'spm'))), '&') AS q FROM k2),
+key AS (SELECT page_id, url, origin || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS key FROM k3)"""
+
+
+@query(f"WITH {_KEY} SELECT page_id, key FROM key")
+def url_dedupe_key(spark, d):
+    return table(spark, d, "pages").select("page_id", web.url_dedupe_key(F.col("url")).alias("key"))
+
+
+@query(f"WITH {_KEY} SELECT min(page_id) AS page_id, key FROM key GROUP BY key")
+def dedupe_pages(spark, d):
+    return web.dedupe_pages(table(spark, d, "pages")).select("page_id", "key")
+
+
+@query(r"""WITH s AS (SELECT page_id, list_filter(string_split(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[^:]+://[^/]*(.*)$', 1), '/'), lambda x: x <> '') AS seg, lower(regexp_extract(url, '^[^:]+://([^/?#:]+)', 1)) AS host FROM pages)
+SELECT page_id, lpad(page_id::VARCHAR, greatest(2, length(page_id::VARCHAR))::INT, '0') || '-' || CASE WHEN len(seg) = 0 THEN regexp_replace(host, '\.[a-z0-9]{1,8}$', '', 'i') ELSE regexp_replace(seg[-1], '\.[a-z0-9]{1,8}$', '', 'i') END || '.html' AS name FROM s""")
+def page_name(spark, d):
+    return table(spark, d, "pages").select("page_id", web.page_name(F.col("url"), F.lit(".html"), F.col("page_id")).alias("name"))
+
+
+_CT = "CASE page_id % 5 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN 'text/csv' ELSE NULL END"
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN '.html' WHEN 1 THEN '.pdf' WHEN 3 THEN '.csv' END AS ext FROM pages")
+def content_type_ext(spark, d):
+    return table(spark, d, "pages").select("page_id", web.content_type_ext(F.expr(_CT)).alias("ext"))
+
+
+_PATH = "regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
+_RULES = f"SELECT DISTINCT regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS site, page_id % 2 = 0 AS allow, substr({_PATH}, 1, (2 + page_id % 9)::INT) AS path FROM pages"
+
+
+@query(f"""WITH rules AS ({_RULES}), u AS (SELECT page_id, regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS site, {_PATH} AS path FROM pages)
+SELECT page_id, coalesce(arg_max(r.allow, length(r.path) * 2 + r.allow::INT), true) AS allowed FROM u LEFT JOIN rules r ON r.site = u.site AND starts_with(u.path, r.path) GROUP BY page_id""")
+def robots_allowed(spark, d):
+    p = table(spark, d, "pages")
+    site, path = F.regexp_extract("url", "^[^:]+://([^/?#]+)", 1), F.regexp_extract("url", "^[^:]+://[^/?#]*([^?#]*)", 1)
+    rules = p.select(site.alias("site"), (F.col("page_id") % 2 == 0).alias("allow"), F.expr("substr(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), 1, cast(2 + page_id % 9 as int))").alias("path")).distinct()
+    return web.robots_allowed(p.select("page_id", site.alias("site"), path.alias("path")), rules).select("page_id", "allowed")
+
+
+@query(f"SELECT DISTINCT site, allow, path FROM ({_RULES}) WHERE path <> ''")
+def parse_robots(spark, d):
+    """The same rules written as one robots file a site, with another agent's group and comments around, and parsed."""
+    p = table(spark, d, "pages")
+    site = F.regexp_extract("url", "^[^:]+://([^/?#]+)", 1)
+    rule = F.concat(F.when(F.col("page_id") % 2 == 0, "Allow: ").otherwise("Disallow: "), F.expr("substr(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), 1, cast(2 + page_id % 9 as int))"), F.lit("  # why"))
+    lines = p.groupBy(site.alias("site")).agg(F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-Agent: *\n"), F.array_join(F.collect_set(rule), "\n"), F.lit("\nDisallow:\nUser-agent: last\nAllow: /x")).alias("text"))
+    return web.parse_robots(lines).distinct()
+
+
+@query()
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", web.html_to_text(F.col("html")).alias("text"))
+
+
+@query()
+def extract_links(spark, d):
+    return web.extract_links(table(spark, d, "pages").select("url", "html"))
+
+
+@query()
+def crawl_pages(spark, d):
+    p = table(spark, d, "pages").select("url", F.lit("text/html").alias("content_type"), "html")
+    site = F.regexp_extract("url", "^[^:]+://([^/?#]+)", 1)
+    starts = p.groupBy(site.alias("site")).agg(F.min("url").alias("url"))
+    rules = starts.select("site", F.lit(False).alias("allow"), F.lit("/private").alias("path"))
+    return web.crawl_pages(p, rules, starts, 3, 1000)[0]
+
+
+_FILE = """concat(CASE c_custkey % 9 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/lib/' WHEN 2 THEN 'home/.ssh/' WHEN 3 THEN 'docs/build/' ELSE 'docs/' END,
+CASE c_custkey % 11 WHEN 0 THEN '.env.local' WHEN 1 THEN 'id_rsa' WHEN 2 THEN 'server.PEM' WHEN 3 THEN 'api_tokens.yaml' WHEN 4 THEN 'Makefile' WHEN 5 THEN 'photo.png'
+WHEN 6 THEN concat('rows', cast(c_custkey as varchar(20)), '.CSV') WHEN 7 THEN 'README' ELSE concat('note', cast(c_custkey as varchar(20)), '.md') END)"""
+_SIZE = "CASE WHEN c_custkey % 13 = 0 THEN 0 WHEN c_custkey % 17 = 0 THEN 6291456 ELSE c_custkey * 37 END"
+_LIST = f"l0 AS (SELECT c_custkey AS id, {_FILE} AS path, {_SIZE} AS size FROM customer), l AS (SELECT *, split_part(path, '/', -1) AS name FROM l0)"
+_VERDICT = f"""WITH {_LIST}, x AS (SELECT *, lower(regexp_extract(name, '\\.[^.]*$', 0)) AS e FROM l),
+v AS (SELECT id, path, size, CASE WHEN path LIKE 'home/.ssh/%' THEN 'secret' WHEN path LIKE 'node_modules/%' OR path LIKE 'docs/build/%' THEN 'noise' WHEN e = '.pem' THEN 'secret'
+  WHEN name IN ('.env.local', 'id_rsa', 'api_tokens.yaml') THEN 'secret' WHEN size = 0 THEN 'empty' WHEN size > 5242880 THEN 'too-large' WHEN e NOT IN ('.csv', '.md') AND name <> 'Makefile' THEN 'unsupported' END AS reason,
+  CASE WHEN path LIKE 'home/.ssh/%' THEN 'inside .ssh/' WHEN path LIKE 'node_modules/%' THEN 'inside node_modules/' WHEN path LIKE 'docs/build/%' THEN 'inside build/' WHEN e = '.pem' THEN '.pem key or certificate'
+  WHEN name IN ('.env.local', 'id_rsa', 'api_tokens.yaml') THEN name WHEN size = 0 THEN NULL WHEN size > 5242880 THEN '6.0 MB' WHEN e NOT IN ('.csv', '.md') AND name <> 'Makefile' THEN CASE WHEN e = '' THEN 'no extension' ELSE e END END AS detail FROM x)"""
+
+
+def _files(spark, d):
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.expr(_FILE).alias("path"), F.expr(_SIZE).cast("long").alias("size")).withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+
+@query(f"{_VERDICT} SELECT id, reason IS NOT NULL AS excluded, reason, detail FROM v")
+def classify_paths(spark, d):
+    return listing.classify_paths(_files(spark, d)).select("id", "excluded", "reason", "detail")
+
+
+@query(f"{_VERDICT} SELECT reason, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY reason")
+def partition_listing(spark, d):
+    return listing.partition_listing(_files(spark, d))[2]
+
+
+@query(f"WITH {_LIST} SELECT id, CASE WHEN name LIKE '%.md' THEN 'prose' WHEN name LIKE '%.CSV' THEN 'data' WHEN name IN ('Makefile', 'api_tokens.yaml') THEN 'code' END AS kind FROM l")
+def assign_kind(spark, d):
+    return listing.assign_kind(_files(spark, d)).select("id", "kind")
+
+
+@query(f"{_VERDICT} SELECT id, path FROM v WHERE reason IS NULL ORDER BY path, id LIMIT 200")
+def select_first(spark, d):
+    return listing.partition_listing(_files(spark, d))[0].orderBy("path", "id").limit(200).select("id", "path")
+
+
+@query(r"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g')) < 25 THEN 'too-short' END AS reject_reason FROM documents")
+def accept_documents(spark, d):
+    good, bad = listing.accept_documents(table(spark, d, "documents").select("doc_id", "text", F.concat("lang", F.lit(".txt")).alias("name")))
+    return good.select("doc_id", F.lit(None).cast("string").alias("reject_reason")).union(bad.select("doc_id", "reject_reason"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY c_custkey) AS n, 'Record ' || row_number() OVER (ORDER BY c_custkey) || chr(10) || 'c_custkey: ' || c_custkey || chr(10) || 'c_name: ' || trim(c_name) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || 'segment: ' || trim(c_mktsegment) END AS text FROM customer""")
+def render_records(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).otherwise("  ").alias("segment"))
+    return listing.render_records(c, ["c_custkey", "c_name", "segment"], ["c_custkey"])
+
+
+@query("""SELECT c_custkey AS id, r_name || '/' || n_name || '/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '.txt' ELSE '' END AS path, (CASE WHEN c_custkey % 5 = 0 THEN 4096 ELSE c_custkey END)::BIGINT AS size
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def listing_paths(spark, d):
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    none = F.lit(None).cast("string")
+    zero = F.lit(0).cast("long")
+    files = c.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("parent_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "application/vnd.google-apps.document").otherwise("text/plain").alias("mime"), F.when(F.col("c_custkey") % 5 == 0, 0).otherwise(F.col("c_custkey")).cast("long").alias("size"), F.lit(False).alias("is_folder"))
+    mid = n.select(F.concat(F.lit("n"), F.col("n_nationkey")), F.concat(F.lit("r"), F.col("n_regionkey")), "n_name", none, zero, F.lit(True))
+    top = r.select(F.concat(F.lit("r"), F.col("r_regionkey")), none, "r_name", none, zero, F.lit(True))
+    out = listing.listing_paths(files.union(mid).union(top))
+    return out.select(F.substring("id", 2, 20).cast(dict(c.dtypes)["c_custkey"]).alias("id"), "path", "size")
+
+
+_MODEL = "CASE c_custkey % 6 WHEN 0 THEN 'GPT-4o-mini-2024' WHEN 1 THEN 'gpt-4o' WHEN 2 THEN 'my-llama-3.1-8b' WHEN 3 THEN 'unknown' WHEN 4 THEN 'openai/o1-mini' ELSE NULL END"
+_PROVIDER = "CASE WHEN c_custkey % 10 = 0 THEN 'mock' ELSE 'api' END"
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS id, {_PROVIDER} AS provider, lower({_MODEL}) AS model FROM customer)
+SELECT id, CASE WHEN provider = 'mock' THEN 0.0 WHEN contains(model, 'gpt-4o-mini') THEN 0.15 WHEN contains(model, 'gpt-4o') THEN 2.5 WHEN contains(model, 'llama') THEN 0.18 WHEN contains(model, 'o1-mini') THEN 1.1 END::DOUBLE AS price_in,
+CASE WHEN provider = 'mock' THEN 0.0 WHEN contains(model, 'gpt-4o-mini') THEN 0.6 WHEN contains(model, 'gpt-4o') THEN 10.0 WHEN contains(model, 'llama') THEN 0.18 WHEN contains(model, 'o1-mini') THEN 4.4 END::DOUBLE AS price_out FROM r""")
+def price_lookup(spark, d):
+    runs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(_PROVIDER).alias("provider"), F.expr(_MODEL).alias("model"))
+    return pricing.price_lookup(runs).select("id", "price_in", "price_out")
+
+
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (index = 0) AS docs, sum("end" - start) AS chars FROM k WHERE index < 3),
+t AS (SELECT n * 3 AS requests, docs * 10 AS pairs, ceil((chars + n * 1200) * 3 / 4)::BIGINT AS tokens_in, ceil(docs * 5000 / 4)::BIGINT AS tokens_out FROM c)
+SELECT requests, pairs, tokens_in, tokens_out, tokens_in / 1e6 * 2.5 + tokens_out / 1e6 * 10.0 AS cost_usd, ceil(requests / 3 * 6)::BIGINT AS seconds FROM t""")
+def estimate_run(spark, d):
+    return pricing.estimate_run(table(spark, d, "documents"), 10, 3, 3, "api", "gpt-4o-2024")
+
+
+@query(f"""WITH {_LIST}, c AS (SELECT sum(size)::BIGINT AS bytes, count(*) AS docs FROM l), n AS (SELECT *, docs * least(12, greatest(1, ceil(bytes / docs / 3700)))::BIGINT AS requests FROM c),
+t AS (SELECT requests, ceil((bytes + requests * 1200) / 4)::BIGINT AS tokens_in, ceil(docs * 6000 / 4)::BIGINT AS tokens_out FROM n)
+SELECT requests, tokens_in, tokens_out, (tokens_in * 2.5 + tokens_out * 10.0) / 1e6 AS cost_usd, (tokens_in * 2.5 + tokens_out * 10.0) / 1e6 >= 5 AS warn, ceil(requests / 3 * 6)::BIGINT AS seconds FROM t""")
+def estimate_from_listing(spark, d):
+    return pricing.estimate_from_listing(_files(spark, d), 12, 3, "api", "gpt-4o")
+
+
+@query("""SELECT (CASE n_name WHEN 'NATION_3' THEN 0 ELSE 2 END)::INT AS voice_index, n_name AS id, CASE n_name WHEN 'NATION_3' THEN 'changed' ELSE 'region ' || n_regionkey END AS role FROM nation WHERE n_name IN ('NATION_3', 'NATION_9')
+UNION ALL SELECT 4, 'custom', NULL""")
+def resolve_personas(spark, d):
+    n = table(spark, d, "nation")
+    text = lambda s: F.lit(s)
+    lib = n.select(F.col("n_name").alias("id"), F.col("n_name").alias("name"), text("").alias("summary"), F.concat(F.lit("region "), F.col("n_regionkey")).alias("role"), *(text("").alias(c) for c in ("goal", "context", "expertise", "asks")))
+    over = lib.where("id = 'NATION_3'").select("id", *(F.lit("changed" if c == "role" else None).cast("string").alias(c) for c in planning.FIELDS))
+    return planning.resolve_personas(lib, ["NATION_3", "nowhere", "NATION_9", "custom"], over, " a careful reader ").select("voice_index", "id", "role")
+
+
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, {SPECS_SQL} SELECT doc_id, index::INT AS chunk_index, 'Generate exactly ' || pairs || ' question-answer pairs from this document excerpt (part ' || (index + 1) || ' of ' || total || ').' AS head, greatest(1024, 300 * pairs)::INT AS max_tokens FROM s""")
+def build_prompts(spark, d):
+    p = planning.build_prompts(specs(spark, d).withColumn("index", F.col("chunk_index")), ["factual"])
+    return p.select("doc_id", "chunk_index", F.substring_index(F.col("messages")[1]["content"], "\n", 1).alias("head"), "max_tokens")
