@@ -91,7 +91,7 @@ def mix(
     source's demand one document is cut so that the target is met exactly; with
     ``whole`` its last copy is taken whole or not at all, whichever is nearer.
     """
-    given = docs.select("doc_id", "source", F.xxhash64("text").alias("tag"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("tag"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
     sized = written(given.mapInArrow(_sized, "doc_id long, source string, tag long, h long, size long"), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goal = written(targets(sources, share, weights, max_epochs), "targets")
@@ -125,9 +125,9 @@ def mixed_documents(docs: DataFrame, curriculum: Mapping[float, Sequence[tuple[f
     same = Window.partitionBy("doc_id", "tag").orderBy("position")
     # rows that repeat an id and its text are interchangeable: number both sides and spread the copies over them
     rows = docs.withColumn("_tag", F.xxhash64("text")).withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy("doc_id"))).withColumn("_of", F.count("*").over(Window.partitionBy("doc_id", "_tag")))
-    numbered = placed.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), "position", F.row_number().over(same).alias("_copy"))
+    numbered = placed.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), F.col("position").alias("_position"), F.row_number().over(same).alias("_copy"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_t")) & ((F.col("_copy") - 1) % F.col("_of") + 1 == F.col("_no"))
-    out = rows.join(numbered, on).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    out = rows.join(numbered, on).repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id")
     return out.select(*docs.columns)
 
 
