@@ -110,12 +110,14 @@ class Block:
             return
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         hit = np.flatnonzero(self.grams[at] == grams)
+        if not len(hit):
+            return
         lo, hi = at[hit], np.searchsorted(self.grams, grams[hit], "right")
         posting, _ = K.ragged(lo, hi - lo)
         doc, begin, item, q = np.repeat(row[hit], hi - lo), np.repeat(place[hit], hi - lo), self.row[posting], self.place[posting]
         order = np.lexsort((begin, item, doc))
         doc, begin, item, q = doc[order], begin[order], item[order], q[order]
-        edges = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.empty(0, np.int64)
+        edges = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
         for a, b in zip(edges, np.append(edges[1:], len(doc)), strict=True):
             pattern = self.item(item[a])
             able = np.zeros(len(pattern), bool)

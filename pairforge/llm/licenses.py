@@ -129,15 +129,17 @@ def word_frequencies(docs: DataFrame, words: Sequence[str]) -> tuple[int, dict[s
 
 
 def _matched(index: Index, number: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, template, start, share of the template's words in place) of the verified candidates; start counts all words."""
+    """(doc, template, start, share of the template's words in place) of the verified candidates; start counts all words.
+
+    A template may begin before its file does or end after it, as long as its key phrases stand inside.
+    """
     rare = np.flatnonzero(np.isin(number, index.posted))
     lo, hi = np.searchsorted(index.posted, number[rare], "left"), np.searchsorted(index.posted, number[rare], "right")
     posting, _ = K.ragged(lo, hi - lo)
     place = np.repeat(rare, hi - lo)
     template, start = index.template[posting], place - index.place[posting]
     doc = np.searchsorted(cut, place, "right") - 1
-    inside = start >= cut[doc]
-    votes, count = np.unique(np.stack([doc[inside], template[inside], start[inside]]), axis=1, return_counts=True)
+    votes, count = np.unique(np.stack([doc, template, start]), axis=1, return_counts=True)
     doc, template, start = votes
     enough = count >= index.votes[template] if len(count) else np.zeros(0, bool)
     doc, template, start = doc[enough], template[enough], start[enough]
@@ -146,7 +148,8 @@ def _matched(index: Index, number: np.ndarray, cut: np.ndarray) -> tuple[np.ndar
         own = np.flatnonzero(template == t)
         if len(own):
             at = start[own, None] + np.arange(len(words))
-            same = (at < cut[doc[own] + 1, None]) & (number[np.minimum(at, len(number) - 1)] == words)
+            inside = (at >= cut[doc[own], None]) & (at < cut[doc[own] + 1, None])
+            same = inside & (number[np.clip(at, 0, len(number) - 1)] == words)
             fine = np.ones(len(own), bool)
             for key, q in index.keys[t]:
                 fine &= same[:, q : q + len(key.split())].all(axis=1)

@@ -51,7 +51,7 @@ _SENTENCE[list(b".!?\n")] = True
 BEGINNINGS = (3, 4, 5)
 
 
-def _present(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _present(batch: pa.RecordBatch, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features of all words (one row for words, one for each length of beginnings; 0: none), begin bytes and row offsets of the words, lower-cased bytes."""
     data, offsets = K.flat(batch.column("text"))
     data = K.LOWER[data]
@@ -62,6 +62,7 @@ def _present(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         for i, n in enumerate(BEGINNINGS):
             long = np.flatnonzero(ends - starts > n)
             h[i + 1, long] = K.range_hash(data, starts[long], starts[long] + n) ^ np.uint64(n)
+        h[1:, np.isin(h[0], terms)] = 0  # a swapped term leaves nothing behind
     return h, starts, cut, data
 
 
@@ -71,7 +72,7 @@ def _features(terms: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.slices(whole, "text"):
-                h, starts, cut, data = _present(batch)
+                h, starts, cut, data = _present(batch, terms)
                 sentence = np.cumsum(_SENTENCE[data]) if len(data) else np.empty(0, np.int64)
                 words, mentions = [], []
                 for i in range(batch.num_rows):
@@ -187,8 +188,8 @@ def train(
     l2: float = 1e-6,
     rounds: int = 600,
     max_features: int = 4096,
-) -> tuple[np.ndarray, np.ndarray, float]:
-    """A model from labelled (doc_id, text, toxic); of more than ``max_rows`` rows, a sample by hash of the id."""
+) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """A model (features, weights, bias, identity terms) from labelled (doc_id, text, toxic); of more than ``max_rows`` rows, a sample by hash of the id."""
     own = labelled.where("toxic is not null")
     n = own.count()
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 24))
@@ -198,16 +199,19 @@ def train(
     features = sample.select("text", "toxic").mapInArrow(_features(terms), "toxic int, words array<long>, mentions array<long>")
     words, weights, bias = features.coalesce(1).mapInArrow(_trained(groups, swap_penalty, l1, l2, rounds, max_features), "words binary, weights binary, bias double").first() if n else (b"", b"", -np.inf)
     words, weights = np.frombuffer(words, np.uint64), np.frombuffer(weights)
-    return words, weights, bias
+    return words, weights, bias, terms
 
 
-def _scores(model: tuple[np.ndarray, np.ndarray, float], columns: list[str], text: str):
-    words, weights, bias = model
+Model = tuple[np.ndarray, np.ndarray, float, np.ndarray]
+
+
+def _scores(model: Model, columns: list[str], text: str):
+    words, weights, bias, terms = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.slices(whole, text):
-                h, _, cut, _ = _present(batch.select([text]).rename_columns(["text"]))
+                h, _, cut, _ = _present(batch.select([text]).rename_columns(["text"]), terms)
                 z = np.full(batch.num_rows, bias)
                 if h.size and len(words):
                     at = np.minimum(np.searchsorted(words, h), len(words) - 1)
@@ -220,7 +224,7 @@ def _scores(model: tuple[np.ndarray, np.ndarray, float], columns: list[str], tex
     return run
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_column: str = "doc_id") -> DataFrame:
+def scored(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
     """(doc_id, tag, score), a row for each document; tag is a hash of its text."""
     given = docs.select(id_column, F.xxhash64("text").alias("tag"), "text")
     return given.mapInArrow(_scores(model, [id_column, "tag"], "text"), f"{id_column} {dict(given.dtypes)[id_column]}, tag long, score double")
