@@ -35,7 +35,7 @@ from pairforge.llm.common import partitions, shared_dir, table, written
 BLOCK_IDS = coder.LANES * coder.STEPS
 END_ID = 0
 #: Pieces that a worker remembers; beyond it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: White space beyond ASCII, and control characters that some libraries take for it.
 _WIDE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LETTER = np.zeros(256, bool)
@@ -189,7 +189,7 @@ def _encoded(path: str, block_ids: int):
             return row
 
         for whole in batches:
-            for batch in K.slices(whole, "text", 3 * K.SLICE_BYTES):
+            for batch in K.slices(whole, "text", 2 * K.SLICE_BYTES):
                 part = batch.column("part")[0].as_py()
                 flat, n = tokenizer.encode(batch.column("text"))
                 docs.append(batch.column("doc_id").cast(pa.int64()))
@@ -199,6 +199,7 @@ def _encoded(path: str, block_ids: int):
                     yield out()
         if ids:
             yield out()
+        pa.default_memory_pool().release_unused()  # a reused worker keeps nothing but the pieces it knows
 
     return run
 
