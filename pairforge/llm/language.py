@@ -29,6 +29,7 @@ from pairforge.llm.common import held_out, table
 BITS = 13
 CELLS = 1 << BITS
 MAX_ROWS = 4_000
+MAX_LANGS = 1_000
 _GAP = 0
 #: Rows of one dense block.
 _BLOCK = 256
@@ -166,10 +167,13 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     counted = dict(rows.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect())
     idf = np.array([np.log((1 + counted.get(-1, 0)) / (1 + counted.get(i, 0))) + 1 for i in range(CELLS)], np.float32)
     known = rows.where("lang is not null")
+    # at most MAX_LANGS rows come to the driver; a language beyond them is so rare that all its rows are taken
     per = known.groupBy("lang").count()
-    share = max_rows / max(1, per.count())
+    n_langs, common = per.count(), per.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    share = max_rows / max(1, n_langs)
+    rate = F.create_map(*(F.lit(x) for r in common for x in (r["lang"], share / r["count"]))) if common else F.create_map(F.lit(""), F.lit(1.0))
     h = F.xxhash64(F.col("doc_id").cast("string"))
-    sample = known.join(per, "lang").where(F.pmod(h, F.lit(1 << 24)) < F.lit(share) / F.col("count") * (1 << 24))
+    sample = known.where(F.pmod(h, F.lit(1 << 24)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(1.0)) * (1 << 24))
     vectors = sample.select(h.alias("h"), "lang", "text").mapInArrow(_vectors(idf), "h long, lang string, cell array<int>, value array<float>")
     found = vectors.coalesce(1).mapInArrow(_trained, "langs array<string>, weights binary, bias binary").first()
     langs = list(found["langs"]) if found else []
