@@ -7,10 +7,11 @@ blocks: part, block, the documents' ids and lengths, and the coded bytes.
 
 The tokenizer always cuts before a space between two characters that are not
 white space, between an ASCII letter and any other ASCII character, and after a
-line feed that stands alone before a letter. Texts are cut there, and each
-distinct piece is encoded once (pieces of earlier slices are remembered, up to a
-bound). Texts with a special token or with white space beyond ASCII are encoded
-whole.
+line feed that stands alone before a letter (so do all byte-level tokenizers with
+the usual pattern). Texts are cut there, and each distinct piece is encoded once
+(the most frequent of earlier slices are remembered, up to a bound). Texts with a
+special token or with white space beyond ASCII are encoded whole, and so are all
+texts with another kind of tokenizer.
 
 Defined cases: null or empty text is the end id alone; rows that repeat a doc_id
 each count; an empty table gives no blocks.
@@ -18,9 +19,11 @@ each count; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ from pairforge.llm.common import partitions, shared_dir, table, written
 
 BLOCK_IDS = coder.LANES * coder.STEPS
 END_ID = 0
-#: Pieces that a worker remembers; beyond it starts anew.
-REMEMBERED = 200_000
+#: Pieces that a worker remembers; beyond it keeps the half that it meets most.
+REMEMBERED = 300_000
 #: White space beyond ASCII, and control characters that some libraries take for it.
 _WIDE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LETTER = np.zeros(256, bool)
@@ -71,30 +74,45 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.odd = "|".join([_WIDE, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
-        self.feed = self.plain(["\n"])[0][0]
-        self.forget()
+        parts = json.loads(self.tokenizer.to_str())
+        cutter = parts["pre_tokenizer"] or {}
+        self.cuttable = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space") and not parts["normalizer"]
+        self.feed = self.plain(["\n"])[0][0] if self.cuttable else -1
+        #: Ids whose bytes begin with a space, which byte-level vocabularies write as U+0120.
+        self.led = np.zeros(self.size, bool)
+        self.led[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.known: dict[bytes, int] = {}
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.at, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        """Keep the half of the pieces that were met in the most slices, of late above all."""
+        n = len(self.known)
+        keep = np.sort(np.argsort(-self.met[:n], kind="stable")[: REMEMBERED // 2])
+        pieces = list(self.known)  # in the order of their slots
+        self.known = {pieces[i]: j for j, i in enumerate(keep.tolist())}
+        index, begin = K.ragged(self.at[keep], self.length[keep])
+        self.used = len(index)
+        self.ids[: self.used] = self.ids[index]
+        k = len(keep)
+        self.at[:k], self.length[:k], self.met[:k] = begin[:-1], self.length[keep], self.met[keep] // 2
+        self.met[k:] = 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def slots(self, pieces: list[bytes]) -> np.ndarray:
+    def slots(self, pieces: pa.Array) -> np.ndarray:
         """Where each distinct piece is remembered."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        known = self.known
-        out = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        known, own = self.known, pieces.to_pylist()
+        out = np.fromiter(map(known.get, own, repeat(-1)), np.int64, len(own))
         new = np.flatnonzero(out < 0)
         if len(new):
-            fresh = [pieces[i] for i in new]
-            flat, size = self.distinct(fresh)
+            flat, size = self.distinct(pieces.take(pa.array(new)))
             first = len(known)
             while first + len(new) > len(self.at):
-                self.at, self.length = np.append(self.at, np.zeros_like(self.at)), np.append(self.length, np.zeros_like(self.length))
+                self.at, self.length, self.met = (np.append(x, np.zeros_like(x)) for x in (self.at, self.length, self.met))
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.append(self.ids, np.zeros_like(self.ids))
             self.ids[self.used : self.used + len(flat)] = flat
@@ -102,12 +120,35 @@ class PieceTokenizer:
             self.length[first : first + len(new)] = size
             self.used += len(flat)
             out[new] = np.arange(first, first + len(new))
-            known.update(zip(fresh, out[new].tolist(), strict=True))
+            known.update(zip([own[i] for i in new.tolist()], out[new].tolist(), strict=True))
+        self.met[out] += 1
         return out
 
-    def distinct(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and how many each has. Pieces without a line feed are encoded in one text, a line each."""
-        alone = np.array([b"\n" in p or p[-1:].isspace() or p[:2].isspace() or not p for p in pieces])
+    def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has. Pieces whose one white space is a space in front are encoded as one text, others in a text with a line each."""
+        data, offsets = K.flat(pieces)
+        blank = np.concatenate(([0], np.cumsum(K.SPACE[data])))
+        size = np.diff(offsets)
+        spaced = (size > 1) & (blank[offsets[1:]] - blank[offsets[:-1]] == 1)
+        spaced[spaced] = data[offsets[:-1][spaced]] == 0x20
+        own = pieces.filter(pa.array(spaced))
+        ids = np.array(self.plain([K.flat(own)[0].tobytes().decode()])[0] if len(own) else [], np.uint32)
+        starts = np.flatnonzero(self.led[ids])
+        if len(starts) != len(own) or (len(own) and starts[0]):
+            raise ValueError("the tokenizer does not cut before a space")
+        rest, rest_size = self._lines(pieces.filter(pa.array(~spaced)).to_pylist())
+        n = np.zeros(len(pieces), np.int64)
+        n[spaced], n[~spaced] = np.diff(starts, append=len(ids)), rest_size
+        out = np.zeros(int(n.sum()), np.uint32)
+        begin = np.cumsum(n) - n
+        for part, which in ((ids, spaced), (rest, ~spaced)):
+            to, _ = K.ragged(begin[which], n[which])
+            out[to] = part
+        return out, n
+
+    def _lines(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of any form: those without a line feed are encoded in one text, a line each."""
+        alone = np.array([b"\n" in p or p[-1:].isspace() or p[:2].isspace() or not p for p in pieces], bool)
         lines = [pieces[i].decode() for i in np.flatnonzero(~alone)]
         ids = np.array(self.plain(["\n".join(lines) + "\n"])[0] if lines else [], np.uint32)
         feed = ids == self.feed
@@ -133,12 +174,12 @@ class PieceTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, the end id after each, and the number of each text's ids."""
         given = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = pc.match_substring_regex(given, self.odd).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(given, self.odd).to_numpy(zero_copy_only=False) if self.cuttable else np.ones(len(given), bool)
         data, offsets = K.flat(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), given))
         begin = _cuts(data, offsets)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
-        slot = self.slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(pieces) else np.empty(0, np.int64)
+        slot = self.slots(coded.dictionary)[coded.indices.to_numpy()] if len(pieces) else np.empty(0, np.int64)
         index, at = K.ragged(self.at[slot], self.length[slot])
         n = np.diff(at[np.searchsorted(begin, offsets)])
         long = [np.array(x, np.uint32) for x in self.plain([given[int(i)].as_py() for i in np.flatnonzero(whole)])]

@@ -290,6 +290,27 @@ def test_token_output(spark, odd, empty):
     assert tokens.token_output(empty, tokens.default_tokenizer()).count() == 0
 
 
+def test_piece_tokenizer_forgets_and_agrees(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    own, plain = tokens.PieceTokenizer(tokens.default_tokenizer()), Tokenizer.from_file(tokens.default_tokenizer())
+    for k in range(12):
+        texts = [None, "", " ", " lead  two\n\n", f"the {k} of a{k}b the 'it's' x\tz", "caf\u00e9 \u00fcber\n\u00e9t\u00e9 " * k, "a\u00a0b <|endoftext|> c", " ".join(f"w{k * i}" for i in range(30))]
+        ids, n = own.encode(pa.array(texts))
+        want = [[*plain.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+        assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+    assert len(own.known) < 120
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.WordLevel({"a b": 0, "?": 1}, unk_token="?")).save(str(tmp_path / "t.json"))
+    ids, n = tokens.PieceTokenizer(str(tmp_path / "t.json")).encode(pa.array(["a b", "a", None]))
+    assert (ids.tolist(), n.tolist()) == ([0, 0, 1, 0, 0], [2, 2, 1])
+
+
 def test_language(spark, odd, empty):
     rng = random.Random(1)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["schn", "ürt", "gel"], "cc": ["éau", "que", "oir"]}
