@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"PFT1"
+MAGIC = b"PFT2"
 LANES, STEPS = 8192, 192
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
@@ -30,8 +30,8 @@ _CTX_BITS = 18
 _ZERO_TOTAL = 1 << 18
 _LEVELS = 8  # confidences
 _REFRESH, _REFRESH_MIX = 8, 4  # steps between new order-0 frequencies, and between lessons of the mixers
-#: What a confidence gains by a guess that held, and loses by one that did not (it is halved).
-_RISE, _FALL = np.array([1] * 7 + [0], np.int32), np.array([c - c // 2 for c in range(8)], np.int32)
+#: How each confidence changes by a guess that did not hold (it is halved), and by one that did.
+_CHANGE = np.array([c // 2 - c for c in range(8)] + [1] * 7 + [0], np.int32)
 
 _STATE = np.arange(_LEVELS * _LEVELS * 2)
 _C2, _C1, _SAME = _STATE >> 4, (_STATE >> 1) & 7, (_STATE & 1).astype(bool)
@@ -130,7 +130,11 @@ class _Model:
     def learn(self, ids: np.ndarray, one: np.ndarray, guessed: tuple[np.ndarray, ...], event: np.ndarray) -> None:
         ctx, cell2, cell1, g2, g1, state = guessed
         for table, cell, at, g in ((self.order2, cell2, ctx, g2), (self.order1, cell1, one, g1)):
-            table[at] = np.where(ids == g, cell + _RISE[cell & 7], np.where(cell & 7, cell - _FALL[cell & 7], ids << 3))
+            held = ids == g
+            new = cell + _CHANGE[(held << 3) | (cell & 7)]
+            lost = np.flatnonzero(~held & (cell & 7 == 0))
+            new[lost] = ids[lost] << 3
+            table[at] = new
         self.met += np.bincount(event * len(_STATE) + state, minlength=3 * len(_STATE))
         self.waiting.append(ids[event == 2])
         self.step += 1
@@ -158,18 +162,21 @@ class _Coder:
         self.low[lanes] += start * part
         self.range[lanes] = size * part
 
-    def shifts(self, lanes: np.ndarray):
-        """Yields the lanes whose top 16 bits are due, until none is."""
-        while len(lanes):
-            low, rng = self.low[lanes], self.range[lanes]
+    def shifts(self):
+        """Yields the lanes whose top 16 bits are due, until none is. At least 32 bits of range are left then: an event takes 12 of them, an id 18."""
+        low, rng = self.low, self.range
+        lanes = None
+        while True:
             settled = (low ^ (low + rng)) < _TOP
-            due = settled | (rng < _BOT)
-            if not due.any():
+            due = np.flatnonzero(settled | (rng < _BOT))
+            if not len(due):
                 return
-            lanes, low, rng, settled = lanes[due], low[due], rng[due], settled[due]
-            rng = np.where(settled, rng, (~low + _U(1)) & (_BOT - _U(1)))
+            lanes = due if lanes is None else lanes[due]
+            low, rng = low[due], rng[due]
+            rng = np.where(settled[due], rng, (~low + _U(1)) & (_BOT - _U(1)))
             yield lanes, low
-            self.low[lanes], self.range[lanes] = low << _U(16), rng << _U(16)
+            low, rng = low << _U(16), rng << _U(16)
+            self.low[lanes], self.range[lanes] = low, rng
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -185,12 +192,11 @@ def encode(ids: np.ndarray, size: int) -> bytes:
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model, coder = _Model(size), _Coder(lanes)
-    every = np.arange(lanes)
     room = 2 * steps + 16
     out, used = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
 
-    def flush(own: np.ndarray) -> None:
-        for due, low in coder.shifts(own):
+    def flush() -> None:
+        for due, low in coder.shifts():
             out[due, used[due]] = (low >> _U(48)).astype(np.uint16)
             used[due] += 1
 
@@ -205,17 +211,17 @@ def encode(ids: np.ndarray, size: int) -> bytes:
         cell = event * len(_STATE) + state
         start = bounds[cell]
         coder.narrow(slice(None), start, bounds[cell + len(_STATE)] - start, coder.range >> _U(_EVENT_BITS))
-        flush(every)
         rest = np.flatnonzero(event == 2)
         if len(rest):
             start = model.zero[x[rest]]
             coder.narrow(rest, start.astype(_U), (model.zero[x[rest] + 1] - start).astype(_U), coder.range[rest] // _U(model.zero_total))
-            flush(rest)
+        flush()
         model.learn(x, one, guessed, event)
         one, two = x, one
     last = (coder.low + (_BOT - _U(1))) & ~(_BOT - _U(1))
     if used.max() + 2 > out.shape[1]:
         out = np.concatenate([out, np.zeros((lanes, 2), "<u2")], axis=1)
+    every = np.arange(lanes)
     out[every, used], out[every, used + 1] = (last >> _U(48)).astype(np.uint16), ((last >> _U(32)) & _U(0xFFFF)).astype(np.uint16)
     used += 2
     body = used.astype("<u4").tobytes() + out[np.arange(out.shape[1]) < used[:, None]].tobytes()
@@ -248,8 +254,8 @@ def decode(block: bytes) -> np.ndarray:
     for _ in range(4):
         code = (code << _U(16)) | take(every)
 
-    def fill(own: np.ndarray) -> None:
-        for due, _ in coder.shifts(own):
+    def fill() -> None:
+        for due, _ in coder.shifts():
             code[due] = (code[due] << _U(16)) | take(due)
 
     grid = np.zeros((steps, lanes), np.int32)
@@ -264,7 +270,6 @@ def decode(block: bytes) -> np.ndarray:
         cell = event * len(_STATE) + state
         start = bounds[cell]
         coder.narrow(slice(None), start, bounds[cell + len(_STATE)] - start, part)
-        fill(every)
         x = np.where(event == 0, g2, g1)
         rest = np.flatnonzero(event == 2)
         if len(rest):
@@ -273,7 +278,7 @@ def decode(block: bytes) -> np.ndarray:
             x[rest] = model.at(value)
             start = model.zero[x[rest]]
             coder.narrow(rest, start.astype(_U), (model.zero[x[rest] + 1] - start).astype(_U), part)
-            fill(rest)
+        fill()
         model.learn(x, one, guessed, event)
         grid[i] = x
         one, two = x, one
