@@ -23,7 +23,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pairforge.llm.common import partitions, shared_dir, table, written
 BLOCK_IDS = coder.LANES * coder.STEPS
 END_ID = 0
 #: Pieces that a worker remembers; beyond it keeps the half that it meets most.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: White space beyond ASCII, and control characters that some libraries take for it.
 _WIDE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LETTER = np.zeros(256, bool)
@@ -81,7 +80,7 @@ class PieceTokenizer:
         #: Ids whose bytes begin with a space, which byte-level vocabularies write as U+0120.
         self.led = np.zeros(self.size, bool)
         self.led[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.known: dict[bytes, int] = {}
+        self.known = pa.chunked_array([], pa.large_binary())  # in the order of their slots
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
@@ -89,8 +88,7 @@ class PieceTokenizer:
         """Keep the half of the pieces that were met in the most slices, of late above all."""
         n = len(self.known)
         keep = np.sort(np.argsort(-self.met[:n], kind="stable")[: REMEMBERED // 2])
-        pieces = list(self.known)  # in the order of their slots
-        self.known = {pieces[i]: j for j, i in enumerate(keep.tolist())}
+        self.known = pa.chunked_array([self.known.combine_chunks().take(pa.array(keep))])
         index, begin = K.ragged(self.at[keep], self.length[keep])
         self.used = len(index)
         self.ids[: self.used] = self.ids[index]
@@ -105,12 +103,12 @@ class PieceTokenizer:
         """Where each distinct piece is remembered."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        known, own = self.known, pieces.to_pylist()
-        out = np.fromiter(map(known.get, own, repeat(-1)), np.int64, len(own))
+        out = pc.fill_null(pc.index_in(pieces, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(out < 0)
         if len(new):
-            flat, size = self.distinct(pieces.take(pa.array(new)))
-            first = len(known)
+            added = pieces.take(pa.array(new))
+            flat, size = self.distinct(added)
+            first = len(self.known)
             while first + len(new) > len(self.at):
                 self.at, self.length, self.met = (np.append(x, np.zeros_like(x)) for x in (self.at, self.length, self.met))
             while self.used + len(flat) > len(self.ids):
@@ -120,7 +118,7 @@ class PieceTokenizer:
             self.length[first : first + len(new)] = size
             self.used += len(flat)
             out[new] = np.arange(first, first + len(new))
-            known.update(zip([own[i] for i in new.tolist()], out[new].tolist(), strict=True))
+            self.known = pa.chunked_array([*self.known.chunks, added])
         self.met[out] += 1
         return out
 
