@@ -175,7 +175,7 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     h = F.xxhash64(F.col("doc_id").cast("string"))
     sample = known.where(F.pmod(h, F.lit(1 << 24)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(1.0)) * (1 << 24))
     vectors = sample.select(h.alias("h"), "lang", "text").mapInArrow(_vectors(idf), "h long, lang string, cell array<int>, value array<float>")
-    found = vectors.coalesce(1).mapInArrow(_trained, "langs array<string>, weights binary, bias binary").first()
+    found = vectors.repartition(1).mapInArrow(_trained, "langs array<string>, weights binary, bias binary").first()
     langs = list(found["langs"]) if found else []
     weights = np.frombuffer(found["weights"], np.float32).reshape(CELLS, len(langs)) if langs else np.zeros((CELLS, 0), np.float32)
     return Model(langs, idf, weights, np.frombuffer(found["bias"]) if langs else np.zeros(0))
