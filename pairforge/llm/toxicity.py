@@ -197,7 +197,7 @@ def train(
     groups = [[int(np.uint64(K.hash_word(t.encode())).view(np.int64)) for t in g] for g in identity]
     terms = np.array(sorted({t for g in groups for t in g}), np.int64).view(np.uint64)
     features = sample.select("text", "toxic").mapInArrow(_features(terms), "toxic int, words array<long>, mentions array<long>")
-    words, weights, bias = features.coalesce(1).mapInArrow(_trained(groups, swap_penalty, l1, l2, rounds, max_features), "words binary, weights binary, bias double").first() if n else (b"", b"", -np.inf)
+    words, weights, bias = features.repartition(1).mapInArrow(_trained(groups, swap_penalty, l1, l2, rounds, max_features), "words binary, weights binary, bias double").first() if n else (b"", b"", -np.inf)
     words, weights = np.frombuffer(words, np.uint64), np.frombuffer(weights)
     return words, weights, bias, terms
 
