@@ -19,6 +19,7 @@ words is never found; a row is returned for each document row.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,11 +81,17 @@ def tiles(text: np.ndarray, pattern: np.ndarray, k: int) -> list[tuple[int, int,
         if longest > 2 * length:  # a very long match: start again from its length
             length = longest
             continue
-        for n, p, t in sorted(found):
+        heapq.heapify(found)
+        while found:  # of a match that meets a longer tile, the beginning before it waits its turn again; its rest is a match of its own
+            n, p, t = heapq.heappop(found)
             n = -n
-            if free_t[t : t + n].all() and free_p[p : p + n].all():
+            free = free_t[t : t + n] & free_p[p : p + n]
+            open_words = n if free.all() else int(np.argmin(free))
+            if open_words == n:
                 free_t[t : t + n] = free_p[p : p + n] = False
                 out.append((t, p, n))
+            elif open_words >= length:
+                heapq.heappush(found, (-open_words, p, t))
         if length == k:
             return out
         length = max(k, length // 2)
