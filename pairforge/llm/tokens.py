@@ -246,8 +246,8 @@ def _encoded(path: str, block_ids: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
     """Write the token files of ``docs`` under ``path``, in ascending doc_id order over parts and blocks."""
     n = partitions(docs.sparkSession)
-    order = [F.col("doc_id").asc_nulls_last()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order, F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]  # the hash deals out rows that share an id, too
+    ranged = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
     parted = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
     parted.mapInArrow(_encoded(tokenizer, block_ids), _SCHEMA).write.parquet(path)
 
