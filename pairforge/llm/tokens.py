@@ -37,31 +37,127 @@ from pairforge.llm.common import partitions, shared_dir, table, written
 BLOCK_IDS = coder.LANES * coder.STEPS
 END_ID = 0
 #: Pieces that a worker remembers; beyond it keeps the half that it meets most.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 #: White space beyond ASCII, and control characters that some libraries take for it.
 _WIDE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_LETTER = np.zeros(256, bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_ASCII = np.arange(256) < 0x80
+#: Kinds of bytes, as bits of one table.
+_WHITE, _DENSE, _LETTER, _SPACE, _MARK, _FEED, _AFTER = (1 << i for i in range(7))
+
+
+def _kinds() -> bytes:
+    out = []
+    for b in range(256):
+        white, letter = bool(K.SPACE[b]), 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A
+        mark = b < 0x80 and not letter and b != 0x20  # ASCII that a letter's piece ends before
+        bits = (white, not white, letter, b == 0x20, mark, b == 0x0A, letter or b >= 0x80)
+        out.append(sum(bit << i for i, bit in enumerate(bits)))
+    return bytes(out)
+
+
+_KINDS = _kinds()
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sorted places where pieces begin: rows' own, and those at which the tokenizer cuts whatever stands around."""
     n = len(data)
-    cut = np.zeros(n + 1, bool)
+    cut = np.zeros(n + 1, np.uint8)
     if n > 2:
-        white, letter = K.SPACE[data], _LETTER[data]
-        space, feed = data == 0x20, data == 0x0A
-        cut[1 : n - 1] = space[1:-1] & ~white[:-2] & ~white[2:]
-        cut[1:n] |= letter[:-1] & (_ASCII[data] & ~letter & ~space)[1:]
-        cut[2:n] |= feed[1:-1] & ~white[:-2] & (letter | ~_ASCII[data])[2:]
+        kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+        has = lambda bit, at: (kind[at] & bit) != 0
+        cut[1 : n - 1] = has(_SPACE, slice(1, n - 1)) & has(_DENSE, slice(n - 2)) & has(_DENSE, slice(2, n))
+        cut[1:n] |= has(_LETTER, slice(n - 1)) & has(_MARK, slice(1, n))
+        cut[2:n] |= has(_FEED, slice(1, n - 1)) & has(_DENSE, slice(n - 2)) & has(_AFTER, slice(2, n))
     # what stands in another row doesn't count
     edges = offsets[(offsets > 0) & (offsets < n)]
     for d in (-1, 1):
         near = edges + d
-        cut[near[(near > 0) & (near < n)]] = False
-    cut[offsets] = True
-    return np.flatnonzero(cut)
+        cut[near[(near > 0) & (near < n)]] = 0
+    cut[offsets] = 1
+    return np.flatnonzero(cut.view(bool))
+
+
+_TAKEN = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first i bytes of a word
+#: Bytes of the longest piece that is remembered: with its length it fills three words of 8 bytes.
+_LONGEST = 23
+
+
+def _keys(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three words that spell each piece of up to 23 bytes and its length, exactly, and a hash of them."""
+    size = np.diff(begin)
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    words = np.ndarray((len(data) + 17,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    key = np.empty((3, len(size)), np.uint64)
+    key[0] = words[begin[:-1]] & _TAKEN[np.minimum(size, 8)]
+    for i in (1, 2):
+        some = np.flatnonzero(size > 8 * i)
+        key[i] = 0
+        key[i, some] = words[begin[some] + 8 * i] & _TAKEN[np.minimum(size[some] - 8 * i, 8)]
+    key[2] |= size.astype(np.uint64) << np.uint64(56)
+    return key, K.mix(key[0] ^ K.mix(key[1] + key[2] * np.uint64(0x9E3779B97F4A7C15)))
+
+
+class Pieces:
+    """The pieces a worker knows: an open-addressed table from their exact spelling to the place of their ids."""
+
+    def __init__(self, bits: int = 16) -> None:
+        n = 1 << bits - 1
+        self.n, self.used = 0, 0
+        self.table = np.full(1 << bits, -1, np.int32)
+        self.key, self.hash = np.zeros((3, n), np.uint64), np.zeros(n, np.uint64)
+        self.at, self.length, self.met = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.ids = np.zeros(1 << 18, np.uint32)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        out, last = np.full(len(h), -1, np.int64), len(self.table) - 1
+        left, place = np.arange(len(h)), (h & np.uint64(last)).astype(np.int64)
+        while len(left):
+            slot = self.table[place]
+            some = slot >= 0
+            left, place, slot = left[some], place[some], slot[some]
+            same = (self.hash[slot] == h[left]) & (self.key[:, slot] == key[:, left]).all(axis=0)
+            out[left[same]] = slot[same]
+            left, place = left[~same], (place[~same] + 1) & last
+        return out
+
+    def _enter(self, slot: np.ndarray) -> None:
+        last = len(self.table) - 1
+        place = (self.hash[slot] & np.uint64(last)).astype(np.int64)
+        while len(slot):
+            free = self.table[place] < 0
+            self.table[place[free]] = slot[free]
+            lost = self.table[place] != slot  # taken before, or by another just now
+            slot, place = slot[lost], (place[lost] + 1) & last
+
+    def add(self, key: np.ndarray, h: np.ndarray, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Slots of new, distinct keys with their ids in a row."""
+        slot = np.arange(self.n, self.n + len(h))
+        while self.n + len(h) > len(self.hash):
+            self.key = np.concatenate([self.key, np.zeros_like(self.key)], axis=1)
+            self.hash, self.at, self.length, self.met = (np.append(x, np.zeros_like(x)) for x in (self.hash, self.at, self.length, self.met))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.key[:, slot], self.hash[slot], self.length[slot] = key, h, length
+        self.at[slot] = self.used + np.cumsum(length) - length
+        self.n, self.used = self.n + len(h), self.used + len(ids)
+        if 2 * self.n > len(self.table):
+            self.table = np.full(1 << (4 * self.n - 1).bit_length(), -1, np.int32)
+            slot = np.arange(self.n)
+        self._enter(slot)
+        return np.arange(self.n - len(h), self.n)
+
+    def half(self) -> Pieces:
+        """The half of the pieces that were met in the most slices, of late above all."""
+        keep = np.sort(np.argsort(-self.met[: self.n], kind="stable")[: self.n // 2])
+        out = Pieces()
+        index, _ = K.ragged(self.at[keep], self.length[keep].astype(np.int64))
+        out.add(self.key[:, keep], self.hash[keep], self.ids[index], self.length[keep])
+        out.met[: out.n] = self.met[keep] // 2
+        return out
 
 
 class PieceTokenizer:
@@ -80,47 +176,43 @@ class PieceTokenizer:
         #: Ids whose bytes begin with a space, which byte-level vocabularies write as U+0120.
         self.led = np.zeros(self.size, bool)
         self.led[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.known = pa.chunked_array([], pa.large_binary())  # in the order of their slots
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
-
-    def forget(self) -> None:
-        """Keep the half of the pieces that were met in the most slices, of late above all."""
-        n = len(self.known)
-        keep = np.sort(np.argsort(-self.met[:n], kind="stable")[: REMEMBERED // 2])
-        self.known = pa.chunked_array([self.known.combine_chunks().take(pa.array(keep))])
-        index, begin = K.ragged(self.at[keep], self.length[keep])
-        self.used = len(index)
-        self.ids[: self.used] = self.ids[index]
-        k = len(keep)
-        self.at[:k], self.length[:k], self.met[:k] = begin[:-1], self.length[keep], self.met[keep] // 2
-        self.met[k:] = 0
+        self.known = Pieces()
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def slots(self, pieces: pa.Array) -> np.ndarray:
-        """Where each distinct piece is remembered."""
+    def looked_up(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each piece's ids among them, and how many): each distinct piece is encoded once."""
         if len(self.known) > REMEMBERED:
-            self.forget()
-        out = pc.fill_null(pc.index_in(pieces, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = np.flatnonzero(out < 0)
+            self.known = self.known.half()
+        size = np.diff(begin)
+        short = np.flatnonzero(size <= _LONGEST) if size.max(initial=0) > _LONGEST else slice(None)
+        key, h = _keys(data, begin)
+        key, h = (key, h) if isinstance(short, slice) else (key[:, short], h[short])
+        coded = pa.array(h).dictionary_encode()
+        which, one = coded.indices.to_numpy(), np.empty(len(coded.dictionary), np.int64)
+        one[which] = np.arange(len(which))
+        if any(not np.array_equal(k[one][which], k) for k in key):  # two spellings share a hash
+            one, which = np.unique(key, axis=1, return_index=True, return_inverse=True)[1:]
+            which = which.ravel()
+        own, hashed = key[:, one], h[one]
+        slot = self.known.find(own, hashed)
+        new = np.flatnonzero(slot < 0)
         if len(new):
-            added = pieces.take(pa.array(new))
-            flat, size = self.distinct(added)
-            first = len(self.known)
-            while first + len(new) > len(self.at):
-                self.at, self.length, self.met = (np.append(x, np.zeros_like(x)) for x in (self.at, self.length, self.met))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros_like(self.ids))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.at[first : first + len(new)] = self.used + np.cumsum(size) - size
-            self.length[first : first + len(new)] = size
-            self.used += len(flat)
-            out[new] = np.arange(first, first + len(new))
-            self.known = pa.chunked_array([*self.known.chunks, added])
-        self.met[out] += 1
-        return out
+            at = one[new] if isinstance(short, slice) else short[one[new]]
+            slot[new] = self.known.add(own[:, new], hashed[new], *self.distinct(K.gather(data, begin[at], begin[at + 1])))
+        self.known.met[slot] += 1
+        known = self.known
+        if isinstance(short, slice):
+            return known.ids, known.at[slot][which], known.length[slot][which].astype(np.int64)
+        place, n = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        place[short], n[short] = known.at[slot][which], known.length[slot][which]
+        long = np.flatnonzero(size > _LONGEST)  # too rare to be remembered
+        coded = K.gather(data, begin[long], begin[long + 1]).dictionary_encode()
+        ids, length = self.distinct(coded.dictionary)
+        which = coded.indices.to_numpy()
+        place[long], n[long] = (known.used + np.cumsum(length) - length)[which], length[which]
+        return np.concatenate([known.ids[: known.used], ids]), place, n
 
     def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many each has. Pieces whose one white space is a space in front are encoded as one text, others in a text with a line each."""
@@ -173,24 +265,19 @@ class PieceTokenizer:
         """Ids of all texts in a row, the end id after each, and the number of each text's ids."""
         given = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(given, self.odd).to_numpy(zero_copy_only=False) if self.cuttable else np.ones(len(given), bool)
-        data, offsets = K.flat(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), given))
+        data, offsets = K.flat(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), given) if whole.any() else given)
         begin = _cuts(data, offsets)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = pieces.dictionary_encode()
-        slot = self.slots(coded.dictionary)[coded.indices.to_numpy()] if len(pieces) else np.empty(0, np.int64)
-        index, at = K.ragged(self.at[slot], self.length[slot])
-        n = np.diff(at[np.searchsorted(begin, offsets)])
-        long = [np.array(x, np.uint32) for x in self.plain([given[int(i)].as_py() for i in np.flatnonzero(whole)])]
-        n[whole] = [len(x) for x in long]
-        total = n + 1
-        out = np.full(int(total.sum()), END_ID, np.uint32)
-        ends = np.cumsum(total)
-        for i, x in zip(np.flatnonzero(whole), long, strict=True):
-            out[ends[i] - total[i] : ends[i] - 1] = x
-        keep = np.flatnonzero(~whole)
-        to, _ = K.ragged((ends - total)[keep], n[keep])
-        out[to] = self.ids[index]
-        return out, total
+        ids, place, n = self.looked_up(data, begin)
+        # what stands after each text: its end id, behind the ids of the texts that are encoded whole
+        tail = [np.array([*x, END_ID], np.uint32) for x in self.plain([given[int(i)].as_py() for i in np.flatnonzero(whole)])]
+        size = np.ones(len(given), np.int64)
+        size[whole] = [len(x) for x in tail]
+        at = np.full(len(given), len(ids))
+        at[whole] = len(ids) + 1 + np.cumsum(size[whole]) - size[whole]
+        after = np.searchsorted(begin, offsets[1:])
+        index, ends = K.ragged(np.insert(place, after, at), np.insert(n, after, size))
+        total = np.diff(ends[after + np.arange(1, len(after) + 1)], prepend=0)
+        return np.concatenate([ids, np.array([END_ID], np.uint32), *tail])[index], total
 
 
 _loaded: dict[str, PieceTokenizer] = {}
@@ -203,6 +290,11 @@ def loaded(path: str) -> PieceTokenizer:
     return _loaded[path]
 
 
+def _one(values: pa.Array) -> pa.Array:
+    """A column of one row that lists all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 _SCHEMA = "part int, block int, doc_ids array<long>, lengths array<long>, n_ids long, coded binary"
 
 
@@ -218,7 +310,7 @@ def _encoded(path: str, block_ids: int):
             nonlocal block
             own = np.concatenate(ids)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([pa.concat_arrays(docs).to_pylist()], pa.list_(pa.int64())), pa.array([np.concatenate(sizes).tolist()], pa.list_(pa.int64())), pa.array([len(own)], pa.int64()), pa.array([coder.encode(own, tokenizer.size)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), _one(pa.concat_arrays(docs)), _one(pa.array(np.concatenate(sizes))), pa.array([len(own)], pa.int64()), pa.array([coder.encode(own, tokenizer.size)], pa.binary())],
                 names=["part", "block", "doc_ids", "lengths", "n_ids", "coded"],
             )
             block += 1
