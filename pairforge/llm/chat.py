@@ -1,9 +1,11 @@
 r"""Chat formatting with typed content parts, in DataFrame functions only.
 
 A turn holds parts: text, image, audio or document. A visitor flattens a turn's
-parts into one string in order: text is escaped, any other part becomes a
+parts into one string in order: neighbouring texts are joined and then escaped,
+so that no control string can be spread over parts; any other part becomes a
 placeholder ``<|kind:n|>`` (n counts the turn's parts from 0), an attachment
-reference and a count of the tokens it expands to.
+reference and a count of the tokens it expands to. A part of an unknown kind is
+shown as ``<|attachment:n|>`` and keeps its kind in the reference.
 
 Each turn is written as ``<|im_start|>role\ntext<|im_end|>\n``. Inside texts and
 roles a backslash becomes ``\\`` and ``<|`` becomes ``<\|``, so no text can look
@@ -12,7 +14,7 @@ the ranges of assistant text, by turn.
 
 Defined cases: null text or role counts as empty; equal turn numbers are ordered
 by role, then text; a null conv_id is a conversation of its own; other columns are
-ignored. A conversation is one row of output, so it has to fit a task's memory.
+ignored; an empty table gives no rows. A conversation is one row of output, so it has to fit a task's memory.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pairforge.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 PARTS = "array<struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
+KINDS = ("image", "audio", "document")
 #: Tokens of an attachment: image patches of this many pixels a side, tokens a second of audio, tokens a page.
 PATCH, PER_SECOND, PER_PAGE = 14, 25, 512
 
@@ -51,12 +54,19 @@ def visit(parts: Column) -> Column:
             .cast("long")
         )
 
-    def shown(p: Column, i: Column) -> Column:
-        text = escape(F.coalesce(p["text"], F.lit("")))
-        return F.when(F.coalesce(p["kind"], F.lit("text")) == "text", text).otherwise(F.concat(F.lit("<|"), escape(p["kind"]), F.lit(":"), i.cast("string"), F.lit("|>")))
+    def add(seen: Column, p: Column) -> Column:
+        """seen: what is written, the text that is still open, and the number of parts."""
+        kind = F.when(p["kind"].isin(*KINDS), p["kind"]).otherwise(F.lit("attachment"))
+        mark = F.concat(F.lit("<|"), kind, F.lit(":"), seen["n"].cast("string"), F.lit("|>"))
+        is_text = F.coalesce(p["kind"], F.lit("text")) == "text"
+        body = F.when(is_text, seen["body"]).otherwise(F.concat(seen["body"], escape(seen["open"]), mark))
+        text = F.when(is_text, F.concat(seen["open"], F.coalesce(p["text"], F.lit("")))).otherwise(F.lit(""))
+        return F.struct(body.alias("body"), text.alias("open"), (seen["n"] + 1).alias("n"))
 
     numbered = F.transform(parts, lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["uri"].alias("uri"), tokens(p).alias("tokens")))
-    return F.struct(F.array_join(F.transform(parts, shown), "").alias("body"), F.filter(numbered, lambda a: F.coalesce(a["kind"], F.lit("text")) != "text").alias("attachments"))
+    start = F.struct(F.lit("").alias("body"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    body = F.aggregate(parts, start, add, lambda seen: F.concat(seen["body"], escape(seen["open"])))
+    return F.struct(body.alias("body"), F.filter(numbered, lambda a: F.coalesce(a["kind"], F.lit("text")) != "text").alias("attachments"))
 
 
 def text_parts(text: Column) -> Column:

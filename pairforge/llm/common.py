@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of at most this size are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The folder that the cluster shares, named by ``spark.checkpoint.dir``; raises ValueError if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    made = tempfile.mkdtemp(prefix="pairforge-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,3 +38,14 @@ def held_out(doc_id: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, as the small side of a join: broadcast if its rows, at ``row_bytes`` each, keep within the limit."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1 …, which clash with no name of ours, and the new name of each column."""
+    new = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new, strict=True))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.indexing import dense_index
 from pairforge.llm import kernel as K
-from pairforge.llm.common import table, written
+from pairforge.llm.common import positional, sized, table, written
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -119,16 +119,26 @@ def _position(at: Column, curriculum: Mapping[float, Sequence[tuple[float, float
 
 def mixed_documents(docs: DataFrame, curriculum: Mapping[float, Sequence[tuple[float, float]]] = CURRICULUM, **options) -> DataFrame:
     """The columns of ``docs``, a row for each whole copy that the mix takes, range-sorted by training position."""
-    plan = mix(docs, curriculum=curriculum, whole=True, **options).where("taken > 0")
-    copies = plan.select("doc_id", "tag", "target", "source_size", "weight", "at", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))).alias("copy"))
-    placed = copies.withColumn("position", _position(F.col("at") + F.col("copy") * F.col("source_size"), curriculum))
-    same = Window.partitionBy("doc_id", "tag").orderBy("position")
-    # rows that repeat an id and its text are interchangeable: number both sides and spread the copies over them
-    rows = docs.withColumn("_tag", F.xxhash64("text")).withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy("doc_id"))).withColumn("_of", F.count("*").over(Window.partitionBy("doc_id", "_tag")))
-    numbered = placed.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), F.col("position").alias("_position"), F.row_number().over(same).alias("_copy"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_t")) & ((F.col("_copy") - 1) % F.col("_of") + 1 == F.col("_no"))
-    out = rows.join(numbered, on).repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id")
-    return out.select(*docs.columns)
+    plain, name = positional(docs)
+    tagged = plain.withColumn("tag", F.xxhash64(name["text"])).withColumn("doc_id", F.col(name["doc_id"]).cast("long"))
+    given = tagged.select("doc_id", F.col(name["source"]).alias("source"), "tag", F.col(name["text"]).alias("text"))
+    plan = written(mix(given, curriculum=curriculum, whole=True, **options).select("doc_id", "tag", "size", "target", "source_size", "weight", "at", "taken"), "plan")
+    taken = plan.where("taken > 0")
+    copies = taken.select("doc_id", "tag", "target", "source_size", "weight", "at", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))).alias("copy"))
+    placed = copies.select(F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag"), _position(F.col("at") + F.col("copy") * F.col("source_size"), curriculum).alias("position"))
+    on = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("tag") == F.col("its_tag"))
+    times = written(plan.groupBy(F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag")).agg(F.count("*").alias("of")).where("of > 1"), "repeated")
+    if times.isEmpty():
+        out = tagged.join(sized(written(placed, "placed"), 72), on)
+    else:
+        # rows equal in id and text are interchangeable: number both sides, and give each row every of-th copy
+        single = tagged.join(sized(times, 64), on, "left_anti").join(placed, on)
+        many = tagged.join(sized(times, 64), on).withColumn("no", F.row_number().over(Window.partitionBy("its_id", "its_tag").orderBy("doc_id"))).drop("its_id", "its_tag")
+        copy = placed.join(sized(times.select("its_id", "its_tag"), 64).withColumnsRenamed({"its_id": "own_id", "its_tag": "own_tag"}), F.col("its_id").eqNullSafe(F.col("own_id")) & (F.col("its_tag") == F.col("own_tag")), "left_semi")
+        copy = copy.withColumn("copy", F.row_number().over(Window.partitionBy("its_id", "its_tag").orderBy("position")))
+        out = single.select(*tagged.columns, "position").unionByName(many.join(copy, on & ((F.col("copy") - 1) % F.col("of") + 1 == F.col("no"))).select(*tagged.columns, "position"))
+    ordered = out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return ordered.select(*plain.columns).toDF(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
