@@ -34,6 +34,36 @@ def test_tiles_are_those_of_a_plain_greedy_tiling():
         assert sorted(got) == sorted(plain_tiling(t, p, 3))
 
 
+def test_longer_items_quoted_in_overlapping_pieces():
+    rng = random.Random(8)
+    for n in (20, 30, 38, 40, 50, 60):
+        for _ in range(12):
+            p = list(range(n))
+            t = [x for i in (rng.randrange(n) for _ in range(6)) for x in [*p[i : i + rng.randrange(5, 20)], *rng.choice([[], [99]])]]
+            assert sorted(decontaminate.tiles(np.array(t, np.uint64), np.array(p, np.uint64), 5)) == sorted(plain_tiling(t, p, 5))
+
+
+def test_one_word_said_over_and_over_ends_soon(spark):
+    import time
+
+    docs = spark.createDataFrame([(0, "again " * 30_000), (1, "again and " * 15_000), (2, "again")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "again " * 1_000), (2, "and again " * 400), (3, "again and again and again")], "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: list(r["found"]) for r in decontaminate.search(docs, bench).withColumnRenamed("items", "found").collect()}
+    assert got == {0: [1], 1: [2, 3], 2: []}
+    assert time.time() - began < 60
+
+
+def test_blocks_and_repeated_items_change_nothing(spark):
+    items = [(i, " ".join(f"b{i}w{j}" for j in range(12))) for i in range(30)]
+    bench = spark.createDataFrame(items + [(100, items[3][1]), (None, items[4][1]), (5, items[5][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so {items[i][1].upper()} it was {items[i + 1][1]}") for i in range(0, 28, 3)] + [(None, items[4][1]), (None, items[4][1]), (50, None)], "doc_id long, text string")
+    rows = lambda words: sorted(((r.doc_id, list(r["found"]), r.coverage) for r in decontaminate.search(docs, bench, block_words=words).withColumnRenamed("items", "found").collect()), key=repr)
+    assert rows(200_000) == rows(70)
+    got = {d: f for d, f, _ in rows(70)}
+    assert got[3] == [3, 4, 100, None] and got[50] == [] and got[None] == [4, None]
+
+
 def test_an_item_quoted_in_overlapping_pieces_is_found(spark):
     w = [f"p{i}" for i in range(20)]
     text = " ".join(["x1", *w[5:14], "x2", *w[:8], "x3", *w[14:], "x4"])
