@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +15,16 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, named by ``spark.checkpoint.dir``; raises ValueError if none is named."""
+    """The folder that the cluster shares, named by ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary one if all of Spark runs in this process, else ValueError.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -49,3 +57,8 @@ def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns c0, c1 …, which clash with no name of ours, and the new name of each column."""
     new = [f"c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*new), dict(zip(docs.columns, new, strict=True))
+
+
+def drawn(df: DataFrame, h: str, rate: Column) -> DataFrame:
+    """The rows whose 64-bit hash ``h`` falls under ``rate``, a share from 0 to 1 (all rows from 1 on)."""
+    return df.where((rate >= 1) | (F.col(h).cast("double") < rate * 2.0**64 - 2.0**63))

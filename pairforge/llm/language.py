@@ -7,8 +7,8 @@ norm 1. Weights are trained by follow the regularised leader (proximal) with an
 elastic net, and a temperature is then fitted on rows kept aside.
 
 Document frequencies are counted over all training rows. The weights are fitted
-on a bounded sample: about ``max_rows`` training rows by hash of the id, shared
-evenly over the languages; one task trains on their sparse vectors.
+on a bounded sample: about ``max_rows`` training rows by hash of id and text,
+shared evenly over the languages, rows equal in both once; one task trains on their sparse vectors.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as
 is everything when nothing can be learnt. A row is returned for each row.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import kernel as K
-from pairforge.llm.common import held_out, table
+from pairforge.llm.common import drawn, held_out, table
 
 BITS = 13
 CELLS = 1 << BITS
@@ -167,14 +167,16 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     counted = dict(rows.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect())
     idf = np.array([np.log((1 + counted.get(-1, 0)) / (1 + counted.get(i, 0))) + 1 for i in range(CELLS)], np.float32)
     known = rows.where("lang is not null")
-    # at most MAX_LANGS rows come to the driver; a language beyond them is so rare that all its rows are taken
+    # at most MAX_LANGS counts come to the driver; the languages beyond share one rate, as if they were one language of several shares
     per = known.groupBy("lang").count()
-    n_langs, common = per.count(), per.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    share = max_rows / max(1, n_langs)
+    n_langs, n_rows = per.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    common = per.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    share, others = max_rows / max(1, n_langs), n_rows - sum(r["count"] for r in common)
     rate = F.create_map(*(F.lit(x) for r in common for x in (r["lang"], share / r["count"]))) if common else F.create_map(F.lit(""), F.lit(1.0))
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    sample = known.where(F.pmod(h, F.lit(1 << 24)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(1.0)) * (1 << 24))
-    vectors = sample.select(h.alias("h"), "lang", "text").mapInArrow(_vectors(idf), "h long, lang string, cell array<int>, value array<float>")
+    rest = share * (n_langs - len(common)) / max(1, others)
+    hashed = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    sample = drawn(hashed, "h", F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(rest))).dropDuplicates(["doc_id", "h", "lang"])
+    vectors = sample.select("h", "lang", "text").mapInArrow(_vectors(idf), "h long, lang string, cell array<int>, value array<float>")
     found = vectors.repartition(1).mapInArrow(_trained, "langs array<string>, weights binary, bias binary").first()
     langs = list(found["langs"]) if found else []
     weights = np.frombuffer(found["weights"], np.float32).reshape(CELLS, len(langs)) if langs else np.zeros((CELLS, 0), np.float32)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pairforge.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, simhash, substring_dedup, tokens, toxicity
 
 QUERIES = {
@@ -19,6 +18,6 @@ QUERIES = {
         decontaminate.op9_decontaminate,
         tokens.op10_tokens,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
 ORACLES = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op4_chat_format": chat.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}

@@ -7,8 +7,8 @@ term is swapped for each other term of its group and for none, and the squared
 change of the score (in log-odds) is penalised, so that mentioning a group does
 not by itself move the score.
 
-Labels are learnt from a bounded sample of the labelled rows: ``max_rows``, by a
-hash of the id. Training sees at most ``max_rows`` lists of words in one task;
+Labels are learnt from a bounded sample of the labelled rows: about ``max_rows``,
+by a hash of id and text, rows equal in both once. Training sees at most ``max_rows`` lists of words in one task;
 the model is the list of words with a weight. Every row is scored, whole.
 
 Defined cases: null and empty texts get the score of no words. Rows labelled
@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import kernel as K
-from pairforge.llm.common import held_out, table
+from pairforge.llm.common import drawn, held_out, table
 
-#: Terms of one group are swapped for each other.
+#: Terms of one group are swapped for each other; groups are of one language each (English, German, French, Spanish).
 IDENTITY = (
     ("women", "men"),
     ("woman", "man"),
@@ -40,6 +40,18 @@ IDENTITY = (
     ("immigrants", "citizens", "refugees"),
     ("old", "young"),
     ("disabled", "blind", "deaf"),
+    ("frauen", "männer"),
+    ("schwule", "lesben", "heteros", "bisexuelle"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("ausländer", "einheimische", "flüchtlinge", "einwanderer"),
+    ("femmes", "hommes"),
+    ("gays", "lesbiennes", "hétéros", "bisexuels"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "citoyens", "réfugiés"),
+    ("mujeres", "hombres"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "ciudadanos", "refugiados"),
 )
 THRESHOLD = 0.7
 MAX_ROWS = 8_000
@@ -183,17 +195,16 @@ def train(
     labelled: DataFrame,
     max_rows: int = MAX_ROWS,
     identity: Sequence[Sequence[str]] = IDENTITY,
-    swap_penalty: float = 1.0,
+    swap_penalty: float = 10.0,
     l1: float = 5e-4,
     l2: float = 1e-6,
     rounds: int = 600,
     max_features: int = 4096,
 ) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """A model (features, weights, bias, identity terms) from labelled (doc_id, text, toxic); of more than ``max_rows`` rows, a sample by hash of the id."""
-    own = labelled.where("toxic is not null")
+    """A model (features, weights, bias, identity terms) from labelled (doc_id, text, toxic); of more than ``max_rows`` rows, a sample by hash of id and text."""
+    own = labelled.where("toxic is not null").withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     n = own.count()
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 24))
-    sample = own if n <= max_rows else own.where(h < int((1 << 24) * max_rows / n))
+    sample = drawn(own, "h", F.lit(max_rows / max(1, n))).dropDuplicates(["doc_id", "h"])
     groups = [[int(np.uint64(K.hash_word(t.encode())).view(np.int64)) for t in g] for g in identity]
     terms = np.array(sorted({t for g in groups for t in g}), np.int64).view(np.uint64)
     features = sample.select("text", "toxic").mapInArrow(_features(terms), "toxic int, words array<long>, mentions array<long>")
