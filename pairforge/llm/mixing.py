@@ -34,7 +34,7 @@ WEIGHTS = (5, 2, 1)
 #: Density over training time by weight: heavy sources early, light ones late.
 CURRICULUM = {5: ((0.0, 1.25), (1.0, 0.75)), 2: ((0.0, 1.0), (1.0, 1.0)), 1: ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
 #: Documents in a hash slice of a source, about.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def mixed_documents(docs: DataFrame, curriculum: Mapping[float, Sequence[tuple[f
     on = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("tag") == F.col("its_tag"))
     times = written(plan.groupBy(F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag")).agg(F.count("*").alias("of")).where("of > 1"), "repeated")
     if times.isEmpty():
-        out = tagged.join(sized(written(placed, "placed"), 72), on)
+        out = tagged.join(sized(written(placed, "placed"), 120), on)
     else:
         # rows equal in id and text are interchangeable: number both sides, and give each row every of-th copy
         single = tagged.join(sized(times, 64), on, "left_anti").join(placed, on)
