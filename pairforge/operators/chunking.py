@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE, OVERLAP = 4000, 300
+#: Documents whose chunks form one batch.
+ROWS_AT_ONCE = 256
 _SENTENCE = (". ", "! ", "? ", ".\n", "!\n", "?\n")
 
 
@@ -50,17 +53,34 @@ def spans(text: str, size: int, overlap: int, code: bool) -> list[tuple[int, int
 
 
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """The columns of ``docs`` without text, with index, total, start, end and chunk text; kind 'code' cuts at lines."""
-    keys = [c for c in docs.columns if c not in ("text", "kind")]
-    kind = "kind" if "kind" in docs.columns else F.lit("prose")
-
-    @F.pandas_udf("array<struct<index:int,start:int,end:int,text:string>>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, kinds in batches:
-            yield pd.Series([[{"index": n, "start": a, "end": b, "text": t[a:b]} for n, (a, b) in enumerate(spans(t, size, overlap, k == "code"))] for t, k in zip(texts.fillna(""), kinds, strict=True)])
+    """The columns of ``docs`` without text, with index, total, start, end and chunk text; kind 'code' cuts at lines.
 
-    many = docs.select(*keys, cut("text", kind).alias("_chunks"))
-    return many.select(*keys, F.size("_chunks").alias("total"), F.explode("_chunks").alias("_c")).select(*keys, "total", "_c.index", "_c.start", "_c.end", F.col("_c.text").alias("text"))
+    Texts are cut where they are read, and each chunk leaves as a row of its own:
+    no row ever holds all chunks of a document.
+    """
+    keys = [c for c in docs.columns if c not in ("text", "kind")]
+    kind = F.col("kind") if "kind" in docs.columns else F.lit("prose")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                row, total, index, start, end, text = [], [], [], [], [], []
+                for r, (t, k) in enumerate(zip(part.column("text").to_pylist(), part.column("kind").to_pylist(), strict=True)):
+                    t = t or ""
+                    own = spans(t, size, overlap, k == "code")
+                    row += [r] * len(own)
+                    total += [len(own)] * len(own)
+                    index += range(len(own))
+                    start += [a for a, _ in own]
+                    end += [b for _, b in own]
+                    text += [t[a:b] for a, b in own]
+                which = pa.array(row, pa.int64())
+                numbers = (pa.array(x, pa.int32()) for x in (total, index, start, end))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(which) for c in keys), *numbers, pa.array(text, pa.string())], names=[*keys, "total", "index", "start", "end", "text"])
+
+    schema = T.StructType([*(docs.schema[c] for c in keys), *(T.StructField(c, T.IntegerType()) for c in ("total", "index", "start", "end")), T.StructField("text", T.StringType())])
+    return docs.select(*keys, "text", kind.alias("kind")).mapInArrow(cut, schema)
 
 
 def estimate_chunks(n_chars: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:

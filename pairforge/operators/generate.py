@@ -15,6 +15,9 @@ from pairforge.functions.text import WHITE, js_trim, let
 from pairforge.operators.planning import build_prompts
 
 KEY = ("doc_id", "chunk_index", "voice_index")
+#: The sentences of the offline generator.
+QUESTION, TASK = 'What does the text say about "', 'Explain the following concept in simple terms: "'
+CORE_IDEA = " This is a core idea that provides foundational context for understanding the broader topic."
 #: How services word an overflow of the context.
 OVERFLOW = ("context size", "context_length", "context length", "context window", "context has been exceeded", "maximum context", "input is too long", "too long for", "length exceeded")
 OVERFLOW_WITH_TOKEN = ("exceed", "limit", "maximum", "too many")
@@ -50,24 +53,25 @@ def template_pairs(specs: DataFrame, styles: tuple[str, ...] = ("factual",)) ->
 
     Sentences of 20 characters or more are the pool if there are three; else groups of 12 words, else the text.
     """
-    text = js_trim(F.substring_index(F.coalesce("text", F.lit("")), "\n---", 1))
+    text = js_trim(F.coalesce("text", F.lit("")))
     long = lambda xs: F.filter(xs, lambda s: F.length(s) >= 20)
     sentences = lambda t: long(F.transform(F.split(t, f"(?<=[.!?]){WHITE}+"), js_trim))
     groups = lambda w: long(F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 12).cast("int")), lambda g: F.array_join(F.slice(w, g * 12 + 1, F.lit(12)), " ")))
     by_words = lambda t: let(let(F.split(t, f"{WHITE}+"), groups), lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(t)))
     pool = let(text, lambda t: let(sentences(t), lambda s: F.when(F.size(s) >= 3, s).otherwise(by_words(t))))
     keys = [c for c in specs.columns if c != "text"]
-    cut = specs.select(*keys, pool.alias("_pool"))
-    items = cut.select(*keys, "_pool", F.explode(F.sequence(F.lit(0), F.col("pairs") - 1)).alias("item_index"))
-    picked = items.withColumn("_x", F.element_at("_pool", F.col("item_index") % F.size("_pool") + 1))
+    # each row of a request leaves with its own piece of text, not with the pool
+    items = lambda xs, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("item_index"), F.element_at(xs, i % F.size(xs) + 1).alias("_x")))
+    asked = specs.where("pairs > 0")
+    picked = asked.select(*keys, F.inline(let(pool, lambda xs: items(xs, F.col("pairs")))))
     phrase = F.array_join(F.slice(F.split("_x", f"{WHITE}+"), 1, 5), " ")
     both = "instruction" in styles and "factual" in styles
     told = (F.col("item_index") % 3 == 2) if both else F.lit("instruction" in styles)
-    question = F.concat(F.lit('What does the text say about "'), phrase, F.lit('"?'))
-    task = F.concat(F.lit('Explain the following concept in simple terms: "'), phrase, F.lit('..."'))
+    question = F.concat(F.lit(QUESTION), phrase, F.lit('"?'))
+    task = F.concat(F.lit(TASK), phrase, F.lit('..."'))
     return picked.select(
         *keys, "item_index", F.when(told, task).otherwise(question).alias("instruction"),
-        F.when(told, F.concat("_x", F.lit(" This is a core idea that provides foundational context for understanding the broader topic."))).when(F.col("_x").endswith("."), F.col("_x")).otherwise(F.concat("_x", F.lit("."))).alias("output"),
+        F.when(told, F.concat("_x", F.lit(CORE_IDEA))).when(F.col("_x").endswith("."), F.col("_x")).otherwise(F.concat("_x", F.lit("."))).alias("output"),
         F.when(told, "instruction").otherwise("factual").alias("type"),
     )
 
@@ -149,6 +153,7 @@ def retry_failed(specs: DataFrame, failures: DataFrame, keys: tuple[str, ...] =
 
 def regenerate_pairs(pairs: DataFrame, ids: DataFrame, docs: DataFrame, fn: Callable[[list, dict], str], difficulty: str = "intermediate") -> DataFrame:
     """Pairs with those of ``ids`` rewritten from their document's first chunk; rating and edits are cleared."""
+    from pairforge.functions.indexing import durable
     from pairforge.operators.chunking import chunk_documents
 
     own = pairs.join(ids.select("id"), "id", "left_semi").select("id", "doc_id", "type")
@@ -156,7 +161,7 @@ def regenerate_pairs(pairs: DataFrame, ids: DataFrame, docs: DataFrame, fn: Call
     out = None
     for style in ("factual", "instruction"):
         specs = own.where(F.col("type") == style).join(first, "doc_id").withColumn("pairs", F.lit(1))
-        got, _ = parse_responses(complete(build_prompts(specs, [style], difficulty), fn).drop("type"))
+        got, _ = parse_responses(durable(complete(build_prompts(specs, [style], difficulty), fn).drop("type")))  # asked once, however often it is read
         got = got.where("item_index = 0").select("id", F.col("instruction").alias("_i"), F.col("output").alias("_o"), F.col("type").alias("_y"))
         out = got if out is None else out.unionByName(got)
     joined = pairs.join(out, "id", "left")

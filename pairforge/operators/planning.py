@@ -45,10 +45,11 @@ def build_specs(chunks: DataFrame, pair_count: int, voices: DataFrame | None = N
 
     Chunks beyond the pairs a voice can give are cut off; the raw number stays as n_chunks_raw.
     """
-    n_voices = 1 if voices is None else max(1, voices.count())
+    given = 0 if voices is None else voices.count()
+    n_voices = max(1, given)
     most = max(1, pair_count // n_voices)
     cut = chunks.withColumn("n_chunks_raw", F.col("total")).where(F.col("index") < most).withColumn("total", F.least("total", F.lit(most)))
-    if voices is None or not voices.count():
+    if not given:
         crossed = cut.withColumn("voice_index", F.lit(0)).withColumn("persona_id", F.lit(None).cast("string"))
     else:  # one row a persona of the run
         crossed = cut.crossJoin(F.broadcast(voices.select("voice_index", F.col("id").alias("persona_id"))))
@@ -57,18 +58,40 @@ def build_specs(chunks: DataFrame, pair_count: int, voices: DataFrame | None = N
     return crossed.withColumn("pairs", n.cast("int")).where("pairs > 0")
 
 
-def build_prompts(specs: DataFrame, styles: list[str], difficulty: str = "intermediate", domain: str = "", hint: str = "balanced") -> DataFrame:
-    """Adds messages (system, user), temperature and max_tokens; persona text is taken from a persona column if there is one."""
-    described = {"factual": "Factual Q&A: questions about specific facts", "instruction": "Instruction-following: tasks that the excerpt helps to solve"}
-    depth = {"basic": "Short, direct questions; answers of 1-3 sentences.", "advanced": "Layered questions that draw on several parts; thorough answers."}.get(difficulty, "Questions about how things relate; answers of 2-5 sentences.")
-    persona = F.col("persona") if "persona" in specs.columns else F.lit(None).cast("string")
-    system = F.concat(F.lit("You write training pairs for language models from a document excerpt.\nReturn only a JSON array of objects with instruction, output and type (factual or instruction).\nUse nothing but the excerpt, never mention it, and vary the wording."), F.coalesce(F.concat(F.lit("\n\n"), persona, F.lit("\n\nAsk and answer for this person without naming or addressing them; the facts stay those of the excerpt.")), F.lit("")))
-    head = F.format_string("Generate exactly %d question-answer pairs from this document excerpt (part %d of %d).", F.col("pairs"), F.col("index") + 1, F.col("total"))
-    lines = [F.lit("\nStyle(s) to use:\n  - " + "\n  - ".join(described[s] for s in styles)), F.lit(f"\nDifficulty level: {difficulty}\n{depth}")]
+#: What styles and difficulties ask for, and the note behind a text that was cut.
+STYLES = {"factual": "Factual Q&A: questions about specific facts", "instruction": "Instruction-following: tasks that the excerpt helps to solve"}
+DEPTH = {"basic": "Short, direct questions; answers of 1-3 sentences.", "advanced": "Layered questions that draw on several parts; thorough answers.", "intermediate": "Questions about how things relate; answers of 2-5 sentences."}
+CUT_NOTE = "\n\n[... document truncated for length ...]"
+
+
+def _messages(rows: DataFrame, head: Column, what: str, body: Column, styles: list[str], difficulty: str, domain: str, hint: str) -> DataFrame:
+    """Adds messages (system, user), temperature and max_tokens; the voice is taken from the columns persona and persona_name where there are any."""
+    column = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    rule = f"You write training pairs for language models from a {what}.\nReturn only a JSON array of objects with instruction, output and type (factual or instruction).\nUse nothing but the {what}, never mention it, and vary the wording."
+    voice = F.concat(F.lit("\n\n"), column("persona"), F.lit("\n\nAsk and answer for this person without naming or addressing them; the facts stay those of the text."))
+    system = F.concat(F.lit(rule), F.coalesce(voice, F.lit("")))
+    asker = F.coalesce(F.concat(F.lit("\n\nEvery pair must be written from the point of view of: "), column("persona_name"), F.lit(".")), F.lit(""))
+    lines = [F.lit("\nStyle(s) to use:\n  - " + "\n  - ".join(STYLES[s] for s in styles) + ("\nMix both styles across the pairs." if len(styles) > 1 else "")), F.lit(f"\nDifficulty level: {difficulty}\n{DEPTH.get(difficulty, DEPTH['intermediate'])}")]
     if domain:
         lines.append(F.lit(f'Domain/context tag: "{domain}".'))
-    user = F.concat_ws("\n", head, *lines, F.concat(F.lit("\n---\nDOCUMENT EXCERPT:\n"), "text", F.lit("\n---\n\nReturn only the raw JSON array.")))
-    return specs.withColumn("messages", F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))).withColumn("temperature", F.lit(TEMPERATURES.get(hint, 0.7))).withColumn("max_tokens", F.least(F.lit(16384), F.greatest(F.lit(1024), F.col("pairs") * 300)))
+    user = F.concat_ws("\n", F.concat(head, asker), *lines, F.concat(F.lit(f"\n---\n{what.upper()}:\n"), body, F.lit("\n---\n\nReturn only the raw JSON array.")))
+    both = F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
+    most = F.least(F.lit(16384), F.greatest(F.lit(1024), F.col("pairs") * 300))
+    return rows.withColumn("messages", both).withColumn("temperature", F.lit(TEMPERATURES.get(hint, 0.7))).withColumn("max_tokens", most)
+
+
+def build_prompts(specs: DataFrame, styles: list[str], difficulty: str = "intermediate", domain: str = "", hint: str = "balanced") -> DataFrame:
+    """Adds messages, temperature and max_tokens to requests (text, pairs, index, total) for an excerpt each."""
+    head = F.format_string("Generate exactly %d question-answer pairs from this document excerpt (part %d of %d).", F.col("pairs"), F.col("index") + 1, F.col("total"))
+    return _messages(specs, head, "document excerpt", F.coalesce("text", F.lit("")), styles, difficulty, domain, hint)
+
+
+def build_document_prompts(docs: DataFrame, pair_count: int, styles: list[str], difficulty: str = "intermediate", domain: str = "", hint: str = "balanced") -> DataFrame:
+    """The same in one request for each document (text): the first 6,000 characters, as this form of prompt has it, and a note where there are more."""
+    text = F.coalesce("text", F.lit(""))
+    body = F.concat(F.substring(text, 1, MAX_TEXT), F.when(F.length(text) > MAX_TEXT, CUT_NOTE).otherwise(""))
+    head = F.format_string("Generate exactly %d question-answer pairs from the document below.", F.col("pairs"))
+    return _messages(docs.withColumn("pairs", F.lit(pair_count)), head, "document", body, styles, difficulty, domain, hint)
 
 
 def document_status(results: DataFrame) -> DataFrame:

@@ -29,16 +29,16 @@ def validate_pairs(pairs: DataFrame) -> DataFrame:
     leak = o.rlike("(?i)" + "|".join(f"(?:{p})" for p in LEAKS))
     n_i, n_o = F.length(i), F.length(o)
     found = F.array(
-        _issue(n_i == 0, "empty_instruction", "error", "Instruction is empty"),
-        _issue((n_i > 0) & (n_i < MIN_INSTRUCTION), "short_instruction", "error", F.format_string("Instruction is only %d characters", n_i)),
-        _issue(n_o == 0, "empty_output", "error", "Output is empty"),
-        _issue((n_o > 0) & (n_o < MIN_OUTPUT), "short_output", "error", F.format_string("Output is only %d characters", n_o)),
-        _issue((n_o >= TRUNCATED_FROM) & ~o.rlike("[.!?\"')\\]}…]\\z"), "truncated_output", "error", "Output appears cut off mid-sentence (likely hit the token limit)"),
-        _issue(leak, "source_leak", "warn", "Output references the source document instead of standing alone"),
-        _issue(n_o > MAX_OUTPUT, "long_output", "warn", F.format_string("Output is unusually long (%,d chars)", n_o)),
-        _issue((F.col("type") == "factual") & (n_i > 0) & ~i.contains("?"), "factual_no_question", "warn", "Factual pair has no question mark in the instruction"),
-        _issue((n_i > 0) & (n_o > 0) & (F.lower(i) == F.lower(o)), "echo", "warn", "Output is identical to the instruction"),
-        _issue((F.col("type") != "") & ~F.col("type").isin("factual", "instruction"), "bad_type", "warn", F.format_string('Unexpected type "%s"', "type")),
+        _issue(n_i == 0, "empty_instruction", "error", "no instruction"),
+        _issue((n_i > 0) & (n_i < MIN_INSTRUCTION), "short_instruction", "error", F.format_string("the instruction has just %d characters", n_i)),
+        _issue(n_o == 0, "empty_output", "error", "no output"),
+        _issue((n_o > 0) & (n_o < MIN_OUTPUT), "short_output", "error", F.format_string("the output has just %d characters", n_o)),
+        _issue((n_o >= TRUNCATED_FROM) & ~o.rlike("[.!?\"')\\]}…]\\z"), "truncated_output", "error", "the output ends without closing punctuation"),
+        _issue(leak, "source_leak", "warn", "the output speaks of its source"),
+        _issue(n_o > MAX_OUTPUT, "long_output", "warn", F.format_string("the output has %,d characters", n_o)),
+        _issue((F.col("type") == "factual") & (n_i > 0) & ~i.contains("?"), "factual_no_question", "warn", "a factual instruction that asks no question"),
+        _issue((n_i > 0) & (n_o > 0) & (F.lower(i) == F.lower(o)), "echo", "warn", "the output repeats the instruction"),
+        _issue((F.col("type") != "") & ~F.col("type").isin("factual", "instruction"), "bad_type", "warn", F.format_string('unknown type "%s"', "type")),
     )
     return pairs.withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
 

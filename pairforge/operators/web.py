@@ -92,8 +92,10 @@ def parse_robots(files: DataFrame) -> DataFrame:
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds allowed to urls (site, path, …): the longest matching rule decides, Allow among equals, and none allows."""
     asked = urls.select("site", "path").distinct()
-    r = rules.select(F.col("site").alias("_s"), "allow", F.col("path").alias("rule"))
-    best = asked.join(r, (F.col("site") == F.col("_s")) & F.col("path").startswith(F.col("rule"))).groupBy("site", "path").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("allowed"))
+    # a site has few lengths of rules: the path's beginning of each is looked up among the rules
+    lengths = rules.select("site", F.length("path").alias("n")).distinct()
+    begins = asked.join(lengths, "site").where(F.length("path") >= F.col("n")).select("site", "path", F.col("path").substr(F.lit(1), F.col("n")).alias("rule"))
+    best = begins.join(rules.select("site", F.col("path").alias("rule"), "allow"), ["site", "rule"]).groupBy("site", "path").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("allowed"))
     return urls.join(best, ["site", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True))).select(*urls.columns, "allowed")
 
 

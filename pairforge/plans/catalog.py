@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.functions.indexing import shared_dir
 from pairforge.functions.text import normalise
 from pairforge.operators import chunking, curate, dedup, generate, planning, pricing, quality, web
 from pairforge.plans.inputs import ALL_SQL, CHUNKS_SQL, PAIRS_SQL, SPECS_SQL, conversation_pairs, document_pairs, specs, table
-from pairforge.sources import export, listing
+from pairforge.sources import export, files, listing
+from pairforge.streaming import generate as stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,13 +40,14 @@ _T = r"regexp_replace(coalesce({}, ''), '^[\s\x{{00a0}}\x{{feff}}]+|[\s\x{{00a0}
 _VALID = f"WITH {PAIRS_SQL}, t AS (SELECT id, type, {_T.format('instruction')} AS i, {_T.format('output')} AS o FROM p), v AS (SELECT id, {_ISSUES} AS issues FROM t)"
 
 
-@query(f"{ALL_SQL}, n AS (SELECT lang, {_NORM} AS key FROM dp) SELECT lang, count(*) AS n_pairs, count(DISTINCT key) AS n_distinct FROM n GROUP BY lang")
+@query(f"""{ALL_SQL}, n AS (SELECT lang, {_NORM} AS key, row_number() OVER (PARTITION BY {_NORM} ORDER BY doc_id, chunk_index, item_index) AS nth FROM dp)
+SELECT lang, count(*) AS n_pairs, count(DISTINCT key) AS n_distinct, count(*) FILTER (key = '' OR nth = 1) AS n_kept FROM n GROUP BY lang""")
 def flagship_pairs_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of each language, their distinct instructions, and what is left of them without duplicates."""
     pairs = document_pairs(spark, d).withColumn("ord", F.col("id"))
-    left = dedup.remove_duplicates(pairs, dedup.exact_duplicates(pairs)).where(normalise(F.col("instruction")) != "")
-    kept = left.groupBy("lang").agg(F.count("*").alias("n_kept"))
+    kept = dedup.remove_duplicates(pairs, dedup.exact_duplicates(pairs)).groupBy("lang").agg(F.count("*").alias("n_kept"))
     own = pairs.groupBy("lang").agg(F.count("*").alias("n_pairs"), F.countDistinct(normalise(F.col("instruction"))).alias("n_distinct"))
-    return own.join(kept, "lang", "left").select("lang", "n_pairs", "n_distinct")
+    return own.join(kept.withColumnRenamed("lang", "own"), F.col("lang").eqNullSafe(F.col("own")), "left").select("lang", "n_pairs", "n_distinct", F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"))
 
 
 @query(f'WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, index::INT AS index, total::INT AS total, start::INT AS start, "end"::INT AS "end", md5(text) AS digest FROM k')
@@ -83,9 +88,52 @@ def exact_duplicates(spark, d):
     return dedup.exact_duplicates(document_pairs(spark, d).withColumn("ord", F.col("id")))
 
 
-@query()
+def _short_pairs(spark, d):
+    """A pair of each document: its first 80 characters, and the rest. Real exact and near duplicates."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.substring(text, 1, 80).alias("instruction"), text.substr(F.lit(81), F.length(text)).alias("output"))
+
+
+_GRAMS = "CASE WHEN key = '' THEN [] WHEN length(key) < 3 THEN [key] ELSE list_distinct(list_transform(range(1, length(key) - 1), lambda x: substr(key, x, 3))) END"
+_EDGES = f"""p AS (SELECT doc_id AS id, left(coalesce(text, ''), 80) AS instruction FROM documents), n AS (SELECT id, {_NORM} AS key FROM p),
+x AS (SELECT id, key, min(id) OVER (PARTITION BY key) AS first FROM n), gr AS (SELECT id, {_GRAMS} AS g FROM x WHERE key = '' OR id = first),
+e AS (SELECT a.id AS i, b.id AS j FROM gr a JOIN gr b ON a.id < b.id AND least(len(a.g), len(b.g)) >= greatest(len(a.g), len(b.g)) * {{0}} - 1e-9
+  WHERE (len(a.g) = 0 AND len(b.g) = 0 AND a.id = (SELECT min(id) FROM gr WHERE len(g) = 0))
+     OR len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= {{0}})"""
+
+
+@query(f"WITH {_EDGES.format(0.7)} SELECT i, j FROM e")
+def near_duplicate_edges(spark, d):
+    return dedup.near_duplicate_edges(_short_pairs(spark, d), 0.7).select("i", "j")
+
+
+_FOUND = f"""WITH RECURSIVE {_EDGES.format(0.7)}, v AS (SELECT j AS id, list(i ORDER BY i) AS before FROM e GROUP BY j), m AS (SELECT id, before, row_number() OVER (ORDER BY id) AS k FROM v),
+r(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT m.k, CASE WHEN len(list_filter(before, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, id) ELSE gone END FROM r JOIN m ON m.k = r.k + 1),
+last AS (SELECT gone FROM r ORDER BY k DESC LIMIT 1), near AS (SELECT id AS dup_id, list_filter(before, lambda y: NOT list_contains(gone, y))[1] AS keep_id FROM m, last WHERE list_contains(gone, id)),
+f AS (SELECT id AS dup_id, first AS keep_id, 'exact' AS match_kind FROM x WHERE key <> '' AND id <> first UNION ALL SELECT dup_id, keep_id, 'fuzzy' FROM near),
+found AS (SELECT dup_id, keep_id, match_kind, CASE WHEN bool_or(match_kind = 'exact') OVER (PARTITION BY keep_id) THEN 'exact' ELSE 'fuzzy' END AS group_kind FROM f)"""
+
+
+@query(f"{_FOUND} SELECT dup_id, keep_id, match_kind, group_kind FROM found")
 def find_duplicates(spark, d):
-    return dedup.find_duplicates(conversation_pairs(spark, d))
+    return dedup.find_duplicates(_short_pairs(spark, d), 0.7)
+
+
+@query(f"{_FOUND} SELECT count(*) FILTER (match_kind = 'exact') AS exact_count, count(*) FILTER (match_kind = 'fuzzy') AS fuzzy_count, count(DISTINCT keep_id) AS n_groups FROM found")
+def duplicate_counts(spark, d):
+    return dedup.duplicate_counts(dedup.find_duplicates(_short_pairs(spark, d), 0.7))
+
+
+@query(f"{_FOUND} SELECT id FROM p WHERE id NOT IN (SELECT dup_id FROM found)")
+def remove_duplicates(spark, d):
+    pairs = _short_pairs(spark, d)
+    return dedup.remove_duplicates(pairs, dedup.find_duplicates(pairs, 0.7)).select("id")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT id, type FROM p WHERE id % 4 <> 0")
+def delete_pairs(spark, d):
+    pairs = conversation_pairs(spark, d)
+    return curate.delete_pairs(pairs, pairs.where("id % 4 = 0")).select("id", "type")
 
 
 @query(f"{_VALID} SELECT id, array_to_string(issues, ',') AS codes FROM v")
@@ -129,6 +177,20 @@ def filter_pairs(spark, d):
     return curate.filter_pairs(conversation_pairs(spark, d), "factual", "none", "unrated", "The").select("id", "rating", "persona_id")
 
 
+@query(f"{_VALID} SELECT id, 'flagged' AS status FROM v WHERE len(issues) > 0 UNION ALL SELECT id, rating FROM p WHERE rating IN ('up', 'down') UNION ALL SELECT id, 'edited' FROM p WHERE id % 5 = 0")
+def filter_pairs_by_status(spark, d):
+    pairs = conversation_pairs(spark, d).withColumn("edited", F.col("id") % 5 == 0)
+    flagged = quality.validate_pairs(pairs).where(F.size("issues") > 0)
+    parts = [curate.filter_pairs(pairs, status=x, flagged=flagged).select("id", F.lit(x).alias("status")) for x in ("flagged", "up", "down", "edited")]
+    return curate.append_batches(*parts)
+
+
+@query(f"{_FOUND} SELECT dup_id AS id FROM found")
+def filter_pairs_duplicate(spark, d):
+    pairs = _short_pairs(spark, d)
+    return curate.filter_pairs(pairs, status="duplicate", duplicates=dedup.find_duplicates(pairs, 0.7)).select("id")
+
+
 @query(f"WITH {PAIRS_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN output || '!' ELSE output END AS output, id % 5 = 0 AS edited FROM p")
 def upsert_pairs(spark, d):
     pairs = conversation_pairs(spark, d)
@@ -188,10 +250,17 @@ def retry_failed(spark, d):
     return generate.retry_failed(specs(spark, d), _results(spark, d).where("error is not null")).select("doc_id", "chunk_index")
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '^[^:]+://([^/?#]+)', 1)) AS host, regexp_matches(url, '#') AS fragment FROM pages")
+_RAW = """CASE page_id % 8 WHEN 1 THEN concat('  ', url, ' ') WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 3 THEN concat('ftp://', regexp_replace(url, '^[a-z]+://', '')) WHEN 4 THEN concat('https://me@', regexp_replace(url, '^[a-z]+://', ''))
+WHEN 5 THEN concat(url, ' x') WHEN 6 THEN concat('word', cast(page_id as varchar(20))) WHEN 7 THEN upper(url) ELSE url END"""
+
+
+@query(rf"""WITH a AS (SELECT page_id, page_id % 8 AS kind, CASE WHEN page_id % 8 = 7 THEN upper(url) ELSE url END AS u FROM pages),
+b AS (SELECT page_id, kind, CASE WHEN kind = 2 THEN 'https' ELSE lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) END AS scheme, lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]+)', 1)) AS host, regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(regexp_replace(u, '#.*$', ''), '\?(.*)$', 1) AS q, regexp_extract(u, '(#.+)$', 1) AS f FROM a)
+SELECT page_id, CASE WHEN kind IN (0, 1, 2, 7) THEN scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q <> '' THEN '?' || q ELSE '' END || f END AS url FROM b""")
 def normalize_url(spark, d):
-    p = table(spark, d, "pages").withColumn("u", web.normalize_url(F.col("url")))
-    return p.select("page_id", F.regexp_extract("u", "^https?://([^/?#]+)", 1).alias("host"), F.col("u").contains("#").alias("fragment"))
+    """Stored addresses, some with blanks around, without a scheme, of another scheme, with credentials, with a blank inside, bare words, in capitals."""
+    return table(spark, d, "pages").select("page_id", web.normalize_url(F.expr(_RAW)).alias("url"))
 
 
 _KEY = r"""kk AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS b FROM pages),
@@ -253,18 +322,54 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", web.html_to_text(F.col("html")).alias("text"))
 
 
-@query()
+_LINKS = r"""lp AS (SELECT page_id, url, regexp_extract(url, '^[^:]+://[^/?#]+', 0) AS origin, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), 1) - 1 AS pos FROM pages),
+lh AS (SELECT url, pos, lower(origin) AS origin, regexp_replace(replace(raw, '&amp;', '&'), '#.*$', '') AS there FROM lp),
+lk AS (SELECT url, pos, origin || there AS href, origin || CASE WHEN length(there) > 1 THEN regexp_replace(there, '/$', '') ELSE there END AS key FROM lh),
+lg AS (SELECT url, key, min(pos)::INT AS pos, arg_max(href, pos) AS href FROM lk GROUP BY url, key)"""
+
+
+@query(f"WITH {_LINKS} SELECT url, false AS noindex, false AS nofollow, pos, key, href FROM lg")
 def extract_links(spark, d):
     return web.extract_links(table(spark, d, "pages").select("url", "html"))
 
 
-@query()
+def _linked_pages(spark, d):
+    """The stored pages as one site, each with links to three others by its number; one in eleven is kept out of the index and one in thirteen is an image."""
+    p = table(spark, d, "pages")
+    n = p.count()
+    at = lambda k: F.concat(F.lit("https://site.example.org/p/"), ((F.col("page_id") * 7 + k * 31) % n).cast("string"), F.when(F.col("page_id") % 2 == 0, "?utm_source=x").otherwise(""))
+    body = F.concat(*(F.concat(F.lit('<a href="'), at(k), F.lit('">x</a>')) for k in (1, 2, 3)), F.lit('<a href="/private/x">x</a>'))
+    meta = F.when(F.col("page_id") % 11 == 5, '<meta name="robots" content="noindex">').otherwise("")
+    kind = F.when(F.col("page_id") % 13 == 6, "image/png").otherwise("text/html; charset=utf-8")
+    return p.select(F.concat(F.lit("https://site.example.org/p/"), F.col("page_id").cast("string")).alias("url"), kind.alias("content_type"), F.concat(meta, body).alias("html"))
+
+
+_WALK = """z AS (SELECT count(*) AS n FROM pages), ln AS (SELECT page_id AS a, k - 1 AS pos, (page_id * 7 + k * 31) % n AS b FROM pages, z, unnest([1, 2, 3]) AS u(k)),
+lu AS (SELECT a, b, min(pos) AS pos, arg_max(a % 2 = 0, pos) AS tracked FROM ln GROUP BY a, b),
+d0 AS (SELECT 0::BIGINT AS id, '0' AS place, 0 AS depth, false AS tracked),
+d1 AS (SELECT b AS id, arg_min(tracked, place) AS tracked, min(place) AS place FROM (SELECT b, d0.place || ',' || lu.pos AS place, lu.tracked FROM d0 JOIN lu ON lu.a = d0.id) WHERE b NOT IN (SELECT id FROM d0) GROUP BY b),
+d2 AS (SELECT b AS id, arg_min(tracked, place) AS tracked, min(place) AS place FROM (SELECT b, d1.place || ',' || lu.pos AS place, lu.tracked FROM d1 JOIN lu ON lu.a = d1.id WHERE d1.id % 13 <> 6) WHERE b NOT IN (SELECT id FROM d0 UNION ALL SELECT id FROM d1) GROUP BY b),
+w AS (SELECT id, place, 0 AS depth, tracked FROM d0 UNION ALL SELECT id, place, 1, tracked FROM d1 UNION ALL SELECT id, place, 2, tracked FROM d2),
+t AS (SELECT id, depth, place, tracked, id % 13 = 6 AS image, id % 11 = 5 AS hidden FROM w), o AS (SELECT *, NOT image AND NOT hidden AS good, coalesce(sum((NOT image AND NOT hidden)::INT) OVER (ORDER BY depth, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM t)"""
+_AT = "'https://site.example.org/p/' || id || CASE WHEN tracked THEN '?utm_source=x' ELSE '' END"
+
+
+def _crawled(spark, d):
+    starts = spark.createDataFrame([("site.example.org", "https://site.example.org/p/0")], "site string, url string")
+    rules = spark.createDataFrame([("site.example.org", False, "/private")], "site string, allow boolean, path string")
+    return web.crawl_pages(_linked_pages(spark, d), rules, starts, 2, 9)
+
+
+@query(f"WITH {_WALK} SELECT 'site.example.org' AS site, (had + 1)::INT AS n, {_AT} AS url, '.html' AS ext, printf('%02d', (had + 1)::INT) || '-' || id || '.html' AS name FROM o WHERE good AND had < 9")
 def crawl_pages(spark, d):
-    p = table(spark, d, "pages").select("url", F.lit("text/html").alias("content_type"), "html")
-    site = F.regexp_extract("url", "^[^:]+://([^/?#]+)", 1)
-    starts = p.groupBy(site.alias("site")).agg(F.min("url").alias("url"))
-    rules = starts.select("site", F.lit(False).alias("allow"), F.lit("/private").alias("path"))
-    return web.crawl_pages(p, rules, starts, 3, 1000)[0]
+    """Two levels of a walk over the stored pages, nine pages at most: both limits are the feature."""
+    return _crawled(spark, d)[0].select("site", F.col("n").cast("int").alias("n"), "url", "ext", "name")
+
+
+@query(f"""WITH {_WALK} SELECT 'site.example.org' AS site, {_AT} AS url, CASE WHEN image THEN 'unsupported' ELSE 'noindex' END AS reason, CASE WHEN image THEN 'image/png' END AS detail FROM o WHERE NOT good AND had < 9
+UNION ALL SELECT 'site.example.org', 'https://site.example.org/private/x', 'robots', NULL""")
+def crawl_skipped(spark, d):
+    return _crawled(spark, d)[1].select("site", "url", "reason", "detail")
 
 
 _FILE = """concat(CASE c_custkey % 9 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/lib/' WHEN 2 THEN 'home/.ssh/' WHEN 3 THEN 'docs/build/' ELSE 'docs/' END,
@@ -301,7 +406,7 @@ def assign_kind(spark, d):
 
 @query(f"{_VERDICT} SELECT id, path FROM v WHERE reason IS NULL ORDER BY path, id LIMIT 200")
 def select_first(spark, d):
-    return listing.partition_listing(_files(spark, d))[0].orderBy("path", "id").limit(200).select("id", "path")
+    return listing.select_first(listing.partition_listing(_files(spark, d))[0], 200).select("id", "path")
 
 
 @query(r"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g')) < 25 THEN 'too-short' END AS reject_reason FROM documents")
@@ -365,7 +470,169 @@ def resolve_personas(spark, d):
     return planning.resolve_personas(lib, ["NATION_3", "nowhere", "NATION_9", "custom"], over, " a careful reader ").select("voice_index", "id", "role")
 
 
-@query(f"""WITH RECURSIVE {CHUNKS_SQL}, {SPECS_SQL} SELECT doc_id, index::INT AS chunk_index, 'Generate exactly ' || pairs || ' question-answer pairs from this document excerpt (part ' || (index + 1) || ' of ' || total || ').' AS head, greatest(1024, 300 * pairs)::INT AS max_tokens FROM s""")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _prompt_sql(what: str, head: str, body: str, styles: str, level: str) -> str:
+    """(user, system, max_tokens) of a prompt as SQL; what they say is fixed text, put together here once more."""
+    system = _quoted(f"You write training pairs for language models from a {what}.\nReturn only a JSON array of objects with instruction, output and type (factual or instruction).\nUse nothing but the {what}, never mention it, and vary the wording.")
+    asked = _quoted(f"\n\nStyle(s) to use:\n  - {styles}\n\nDifficulty level: {level}\n\n---\n{what.upper()}:\n")
+    return f"{head} || {asked} || {body} || {_quoted(chr(10) + '---' + chr(10) * 2 + 'Return only the raw JSON array.')} AS q, {system} AS system"
+
+
+_CHUNK_PROMPT = _prompt_sql("document excerpt", "'Generate exactly ' || pairs || ' question-answer pairs from this document excerpt (part ' || (index + 1) || ' of ' || total || ').'", "text", planning.STYLES["factual"], "basic\n" + planning.DEPTH["basic"])
+_PROMPTS = f"WITH RECURSIVE {CHUNKS_SQL}, {SPECS_SQL}, pr AS (SELECT doc_id, index, pairs, text, {_CHUNK_PROMPT} FROM s)"
+
+
+def _prompts(spark, d):
+    return planning.build_prompts(specs(spark, d).withColumn("index", F.col("chunk_index")), ["factual"], "basic")
+
+
+def _shown(p):
+    digest = lambda i: F.md5(F.col("messages")[i]["content"].cast("binary"))
+    roles = F.array_join(F.col("messages.role"), ",")
+    return p.select(*(c for c in ("doc_id", "chunk_index") if c in p.columns), roles.alias("roles"), digest(0).alias("system"), digest(1).alias("user"), "temperature", "max_tokens")
+
+
+@query(f"{_PROMPTS} SELECT doc_id, index::INT AS chunk_index, 'system,user' AS roles, md5(system) AS system, md5(q) AS user, 0.7::DOUBLE AS temperature, greatest(1024, 300 * pairs)::INT AS max_tokens FROM pr")
 def build_prompts(spark, d):
-    p = planning.build_prompts(specs(spark, d).withColumn("index", F.col("chunk_index")), ["factual"])
-    return p.select("doc_id", "chunk_index", F.substring_index(F.col("messages")[1]["content"], "\n", 1).alias("head"), "max_tokens")
+    return _shown(_prompts(spark, d))
+
+
+_DOC_PROMPT = _prompt_sql("document", "'Generate exactly 7 question-answer pairs from the document below.'", f"left(coalesce(text, ''), 6000) || CASE WHEN length(text) > 6000 THEN {_quoted(planning.CUT_NOTE)} ELSE '' END", planning.STYLES["factual"] + "\n  - " + planning.STYLES["instruction"] + "\nMix both styles across the pairs.", "advanced\n" + planning.DEPTH["advanced"])
+
+
+@query(f"WITH pr AS (SELECT doc_id, {_DOC_PROMPT} FROM documents) SELECT doc_id, 'system,user' AS roles, md5(system) AS system, md5(q) AS user, 1.0::DOUBLE AS temperature, 2100 AS max_tokens FROM pr")
+def build_document_prompts(spark, d):
+    """One request for each document: 6,000 characters of it are what this form of prompt holds."""
+    return _shown(planning.build_document_prompts(table(spark, d, "documents").select("doc_id", "text"), 7, ["factual", "instruction"], "advanced", hint="creative"))
+
+
+@query(f"""{_PROMPTS} SELECT doc_id, index::INT AS chunk_index, CASE WHEN length(q) % 7 > 0 THEN length(q) || '/' || greatest(1024, 300 * pairs) || '/0.7' END AS response, CASE WHEN length(q) % 7 = 0 THEN 'HTTP 502 at ' || length(q) END AS error FROM pr""")
+def complete(spark, d):
+    """The completion hook with a service that measures its prompt and fails on some."""
+
+    def service(messages, settings):
+        n = len(messages[1]["content"])
+        if n % 7 == 0:
+            raise ValueError(f"HTTP 502 at {n}")
+        return f"{n}/{settings['max_tokens']}/{settings['temperature']}"
+
+    return generate.complete(_prompts(spark, d), service).select("doc_id", "chunk_index", "response", "error")
+
+
+_HALF = "CASE WHEN {0} > 1200 THEN ceil({0} / 2)::INT ELSE {0} END"
+_LESS = "CASE WHEN {0} > 1200 THEN greatest(1, ceil({1} / 2))::INT ELSE {1} END"
+
+
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, {SPECS_SQL}, h0 AS (SELECT doc_id, index, text, length(text) AS n, pairs FROM s),
+h1 AS (SELECT doc_id, index, text, {_HALF.format('n')} AS n, {_LESS.format('n', 'pairs')} AS pairs FROM h0), h2 AS (SELECT doc_id, index, text, {_HALF.format('n')} AS n, {_LESS.format('n', 'pairs')} AS pairs FROM h1),
+h3 AS (SELECT doc_id, index, text, {_HALF.format('n')} AS n, {_LESS.format('n', 'pairs')} AS pairs FROM h2)
+SELECT doc_id, index::INT AS chunk_index, n::INT AS n_chars, pairs::INT AS pairs, md5(left(text, n)) AS response, NULL::VARCHAR AS error FROM h3""")
+def shrink_retry(spark, d):
+    """Excerpts of more than 1,200 characters overflow; the service answers with a digest of what it was shown."""
+
+    def service(messages, settings):
+        import hashlib
+
+        text = messages[1]["content"].split("DOCUMENT EXCERPT:\n", 1)[1].rsplit("\n---\n", 1)[0]
+        if len(text) > 1200:
+            raise ValueError("maximum context length exceeded")
+        return hashlib.md5(text.encode()).hexdigest()
+
+    done = generate.shrink_retry(specs(spark, d).withColumn("index", F.col("chunk_index")), service, styles=["factual"])
+    return done.select("doc_id", "chunk_index", F.length("text").alias("n_chars"), "pairs", "response", "error")
+
+
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, c0 AS (SELECT doc_id, length(text) AS n, total FROM k WHERE index = 0)
+SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'asked of part 1 of ' || total ELSE 'old' END AS instruction, CASE WHEN doc_id % 10 = 0 THEN n || ' characters' ELSE 'old' END AS output,
+CASE WHEN doc_id % 2 = 0 THEN 'instruction' ELSE 'factual' END AS type, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'up' END AS rating, doc_id % 10 <> 0 AS edited FROM c0""")
+def regenerate_pairs(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    old = lambda c: F.lit("old").alias(c)
+    pairs = docs.select(F.col("doc_id").alias("id"), "doc_id", old("instruction"), old("output"), F.when(F.col("doc_id") % 2 == 0, "instruction").otherwise("factual").alias("type"), F.lit("up").alias("rating"), F.lit(True).alias("edited"))
+
+    def service(messages, settings):
+        import json
+
+        asked = messages[1]["content"]
+        text = asked.split("DOCUMENT EXCERPT:\n", 1)[1].rsplit("\n---\n", 1)[0]
+        kind = "instruction" if "Instruction-following" in asked.split("\n---\n", 1)[0] else "factual"
+        return json.dumps([{"instruction": "asked of " + asked.split("(", 1)[1].split(")", 1)[0], "output": f"{len(text)} characters", "type": kind}])
+
+    return generate.regenerate_pairs(pairs, pairs.where("id % 10 = 0").select("id"), docs, service).select("id", "instruction", "output", "type", "rating", "edited")
+
+
+@query(f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN {_quoted(planning.PERSONA_HEAD)} || chr(10) || c_name ELSE {_quoted(planning.PERSONA_HEAD)} || ' ' || c_name || chr(10) || {" || chr(10) || ".join(_quoted(label + ': ') + f" || coalesce({column}, '') || '.'" for (_, label), column in zip(planning.PERSONA_LINES, ("c_mktsegment", "c_name", "NULL::VARCHAR", "c_custkey::VARCHAR", "''"), strict=True))} END AS text FROM customer""")
+def describe_persona(spark, d):
+    """Customers as voices, one in five in free text."""
+    c = table(spark, d, "customer")
+    known = {"name": F.col("c_name"), "role": F.col("c_mktsegment"), "goal": F.col("c_name"), "context": F.lit(None).cast("string"), "expertise": F.col("c_custkey").cast("string"), "asks": F.lit("")}
+    free = F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).alias("free_text")
+    return c.select(F.col("c_custkey").alias("id"), *(v.alias(k) for k, v in known.items()), free).select("id", planning.describe_persona().alias("text"))
+
+
+_SECTION = "replace(replace(coalesce(text, ''), '. ', concat('.', chr(10))), ', ', concat(',', chr(10), '  '))"
+
+
+def _code_break(st: str) -> str:
+    s = f"substr(text, {st} + 3201, 802)"
+    top = f"regexp_extract(reverse({s}), '(?s)^(.*?)[^ \\t]\\n', 1)"
+    any_ = f"substr(text, {st} + 3201, 801)"
+    return f"""CASE WHEN strpos({s}, chr(10) || chr(10)) > 0 THEN {st} + 3200 + length({s}) - strpos(reverse({s}), chr(10) || chr(10)) + 1
+    WHEN regexp_matches({s}, '(?s)\\n[^ \\t]') THEN {st} + 3200 + length({s}) - length({top}) - 1
+    WHEN strpos({any_}, chr(10)) > 0 THEN {st} + 3200 + length({any_}) - strpos(reverse({any_}), chr(10)) + 1 ELSE {st} + 4000 END"""
+
+
+@query(f"""WITH RECURSIVE sec AS (SELECT doc_id, {_SECTION} AS text FROM documents WHERE doc_id % 5 = 0),
+w(doc_id, text, index, st, fin) AS (SELECT doc_id, text, 0, 0, CASE WHEN length(text) <= 4000 THEN length(text) ELSE {_code_break('0')} END FROM sec
+  UNION ALL SELECT doc_id, text, index + 1, st, CASE WHEN st + 4000 >= length(text) THEN length(text) ELSE {_code_break('st')} END
+  FROM (SELECT doc_id, text, index, greatest(st + 1, fin - 300) AS st, fin FROM w WHERE fin < length(text)))
+SELECT doc_id, index::INT AS index, count(*) OVER (PARTITION BY doc_id)::INT AS total, st::INT AS start, fin::INT AS "end", md5(substr(text, st + 1, fin - st)) AS digest FROM w""")
+def chunk_code(spark, d):
+    """Documents of kind code: every fifth, with line feeds and indented lines put in."""
+    docs = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.expr(_SECTION).alias("text"), F.lit("code").alias("kind"))
+    return chunking.chunk_documents(docs).select("doc_id", "index", "total", "start", "end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, c_nationkey % 2 = 0 AS named FROM customer),
+r AS (SELECT c_nationkey, n, 'Record ' || n || chr(10) || CASE WHEN named THEN 'name' ELSE 'Column 1' END || ': ' || trim(c_name) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || CASE WHEN named THEN 'segment' ELSE 'Column 2' END || ': ' || trim(c_mktsegment) END || chr(10) || 'Column 3: ' || c_custkey AS text FROM c)
+SELECT 'nation-' || c_nationkey || '.csv' AS path, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM r GROUP BY c_nationkey""")
+def delimited_documents(spark, d):
+    """Customers as a delimited file a nation: every other one with a header of two names, and a third cell beyond it."""
+    c = table(spark, d, "customer")
+    cells = F.array("c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).otherwise(" "), F.col("c_custkey").cast("string"))
+    file = F.concat(F.lit("nation-"), F.col("c_nationkey"), F.lit(".csv"))
+    first = c.where("c_nationkey % 2 = 0").select(file.alias("path"), F.lit(-1).cast("long").alias("ord"), F.array(F.lit("name"), F.lit(" segment ")).alias("cells")).distinct()
+    return files.delimited_documents(c.select(file.alias("path"), F.col("c_custkey").cast("long").alias("ord"), cells.alias("cells")).union(first))
+
+
+def _output(spark, name: str) -> str:
+    """A new folder in the one that the cluster shares."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM p), c AS (SELECT max(n) AS n, greatest(1, floor(max(n) * 0.1 + 0.5))::BIGINT AS m FROM r),
+v AS (SELECT least(n - 1, floor(k * (n / m) + (n / m) / 2))::BIGINT AS i FROM c, unnest(range(0, m)) AS u(k))
+SELECT CASE WHEN i IN (SELECT i FROM v) THEN 'val' ELSE 'train' END AS split, to_json({{'instruction': instruction, 'input': '', 'output': output}})::VARCHAR AS line FROM r JOIN p USING (id)""")
+def write_dataset(spark, d):
+    """The split dataset written as JSON lines and read back."""
+    path = _output(spark, "dataset")
+    export.write_dataset(conversation_pairs(spark, d).orderBy("id"), path, "jsonl", "alpaca", 0.1)
+    part = lambda x: spark.read.text(f"{path}_{x}").select(F.lit(x).alias("split"), F.col("value").alias("line"))
+    return part("train").union(part("val"))
+
+
+_STREAMED = ALL_SQL.replace("item_index % 3 = 2 AS task", "false AS task")
+
+
+@query(f"{_STREAMED} SELECT doc_id, chunk_index::BIGINT AS chunk_index, item_index::BIGINT AS item_index, md5(instruction) AS instruction, md5(output) AS output, type FROM dp")
+def stream_generate(spark, d):
+    """Pairs of all documents, which arrive in a folder, generated as a stream and read back from the files it wrote."""
+    out = _output(spark, "stream")
+    table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{out}/arrived")
+    stream.stream_generate(spark, f"{out}/arrived", f"{out}/pairs", f"{out}/checkpoint").awaitTermination()
+    got = spark.read.schema("doc_id long, chunk_index long, item_index long, instruction string, output string, type string").json(f"{out}/pairs")
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return got.select("doc_id", "chunk_index", "item_index", digest("instruction"), digest("output"), "type")

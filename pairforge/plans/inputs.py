@@ -60,7 +60,7 @@ k AS (SELECT doc_id, lang, index, st AS start, fin AS "end", substr(text, st + 1
 SPECS_SQL = """s AS (SELECT doc_id, lang, index, total AS n_chunks_raw, least(total, 10) AS total, 10 // least(total, 10) + CASE WHEN index < 10 % least(total, 10) THEN 1 ELSE 0 END AS pairs, text
   FROM k WHERE index < 10)"""
 _W = r"[\s\x{00a0}\x{feff}]"
-DOC_PAIRS_SQL = rf"""t AS (SELECT *, regexp_replace(split_part(text, chr(10) || '---', 1), '^{_W}+|{_W}+$', '', 'g') AS x FROM s),
+DOC_PAIRS_SQL = rf"""t AS (SELECT *, regexp_replace(text, '^{_W}+|{_W}+$', '', 'g') AS x FROM s),
 b AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(x, '([.!?]){_W}+', '\1' || chr(1), 'g'), chr(1)), lambda y: regexp_replace(y, '^{_W}+|{_W}+$', '', 'g')), lambda y: length(y) >= 20) AS sen,
        regexp_split_to_array(x, '{_W}+') AS wd FROM t),
 g AS (SELECT *, CASE WHEN len(sen) >= 3 THEN sen ELSE list_filter(list_transform(range(0, (len(wd) - 1) // 12 + 1), lambda n: array_to_string(wd[n * 12 + 1:n * 12 + 12], ' ')), lambda y: length(y) >= 20) END AS pool FROM b),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,18 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Rows of cells, wide as the widest row: quoted delimiters and line feeds, doubled quotes; blank rows are left out."""
-    plain = spark.read.csv(path, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, enforceSchema=False)
-    return plain.where(F.coalesce(*(F.when(js_trim(F.col(c)) != "", F.lit(True)) for c in plain.columns), F.lit(False)))
+    """Rows of cells and _metadata, wide as the widest row: quoted delimiters and line feeds, doubled quotes; blank rows are left out."""
+    width = 32
+    while True:  # the reader drops cells beyond its schema: widen it until the last column stays empty
+        schema = ", ".join(f"_c{i} string" for i in range(width))
+        plain = spark.read.csv(path, schema=schema, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, enforceSchema=True)
+        filled = plain.agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in plain.columns)).first()
+        if not filled[-1]:
+            break
+        width *= 2
+    last = max((i for i, some in enumerate(filled) if some), default=0)
+    plain = plain.select(*plain.columns[: last + 1], "_metadata")
+    return plain.where(F.coalesce(*(F.when(js_trim(F.col(c)) != "", F.lit(True)) for c in plain.columns[:-1]), F.lit(False)))
 
 
 def is_header(cells: Column, n_rows: Column) -> Column:
@@ -43,3 +52,30 @@ def _xml_text(xml: pd.Series) -> pd.Series:
 def xml_to_text(xml: Column) -> Column:
     """The text content with white space squeezed; null where the document is not well formed."""
     return F.trim(F.regexp_replace(_xml_text(xml), r"\s+", " "))
+
+
+def delimited_documents(rows: DataFrame) -> DataFrame:
+    """(path, text): the rows (path, ord, cells) of each file as one document of labelled records.
+
+    The first row names the columns if it looks like a header (``is_header``);
+    else, and for cells beyond it, the name is ``Column i``. Blank cells are left
+    out. A file's records meet in one row, so files have to fit one (5 MiB is the
+    limit of listings). A file of a header alone gives no document.
+    """
+    first = rows.groupBy("path").agg(F.min_by("cells", "ord").alias("first"), F.min("ord").alias("least"), F.count("*").alias("n_rows"))
+    named = first.select("path", "least", F.when(is_header(F.col("first"), F.col("n_rows")), F.col("first")).alias("header"))
+    own = rows.join(named, "path").where("header is null or ord > least")
+    number = F.row_number().over(Window.partitionBy("path").orderBy("ord"))
+    name = lambda i: F.coalesce(js_trim(F.get("header", i)), F.concat(F.lit("Column "), (i + 1).cast("string")))
+    shown = F.transform("cells", lambda c, i: F.when(js_trim(c) != "", F.concat(name(i), F.lit(": "), js_trim(c))))
+    record = F.concat_ws("\n", F.concat(F.lit("Record "), F.col("n").cast("string")), F.filter(shown, lambda x: x.isNotNull()))
+    records = own.withColumn("n", number).select("path", F.struct("n", record.alias("text")).alias("r"))
+    return records.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"]), "\n\n").alias("text"))
+
+
+def read_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """(path, text): delimited files as documents of labelled records."""
+    rows = read_delimited(spark, path, delimiter)
+    cells = F.array(*(F.col(c) for c in rows.columns[:-1]))
+    width = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
+    return delimited_documents(rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"), F.slice(cells, 1, width).alias("cells")))

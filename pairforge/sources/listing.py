@@ -85,8 +85,8 @@ def partition_listing(listing: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def select_first(listing: DataFrame, n: int = 200) -> DataFrame:
-    """The first ``n`` by path: a top-k, as the feature asks."""
-    return listing.orderBy("path").limit(n)
+    """The first ``n`` by path (ties by id, where there is one): a top-k, as the feature asks."""
+    return listing.orderBy("path", *(c for c in ("id",) if c in listing.columns)).limit(n)
 
 
 def render_records(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:

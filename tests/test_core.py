@@ -177,3 +177,67 @@ def test_write_dataset(spark, tmp_path):
     assert export.write_dataset(pairs, str(tmp_path / "d"), "jsonl", "chatml", 0.2) == {"train": 8, "val": 2}
     assert export.write_dataset(pairs, str(tmp_path / "c"), "csv") == {"train": 10}
     assert files.read_delimited(spark, str(tmp_path / "c")).count() >= 10
+
+
+def test_delimited_files_become_documents(spark, tmp_path):
+    (tmp_path / "faq.csv").write_text('question,answer\n"What, exactly?","It is ""this""\nand that"\n\nWhy?, Because ,extra\n,,\n')
+    (tmp_path / "plain.csv").write_text("1,apples\n2,\n")
+    (tmp_path / "head.csv").write_text("only,a header\nsecond,row\n")
+    got = {r.path.rsplit("/", 1)[-1]: r.text for r in files.read_records(spark, str(tmp_path)).collect()}
+    assert got["faq.csv"] == 'Record 1\nquestion: What, exactly?\nanswer: It is "this"\nand that\n\nRecord 2\nquestion: Why?\nanswer: Because\nColumn 3: extra'
+    assert got["plain.csv"] == "Record 1\nColumn 1: 1\nColumn 2: apples\n\nRecord 2\nColumn 1: 2"
+    assert got["head.csv"] == "Record 1\nonly: second\na header: row"
+
+
+def test_headers(spark):
+    rows = [(["name", "age"], 2, True), (["name", "age"], 1, False), (["name", ""], 2, False), (["name", "-3.5"], 2, False), (["name", None], 2, False), (["a1", "3x"], 5, True)]
+    df = spark.createDataFrame(rows, "cells array<string>, n int, want boolean")
+    assert all(r.got == r.want for r in df.withColumn("got", files.is_header(F.col("cells"), F.col("n"))).collect())
+
+
+def test_text_files_are_documents(spark, tmp_path):
+    (tmp_path / "a.md").write_text("\n one\ntwo \u00a0\n")
+    (tmp_path / "Makefile").write_text("all:\n\tmake\n")
+    got = {r.name: r.text for r in files.read_text_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": "one\ntwo", "Makefile": "all:\n\tmake"}
+    kinds = {r.name: r.kind for r in listing.assign_kind(files.read_text_documents(spark, str(tmp_path))).collect()}
+    assert kinds == {"a.md": "prose", "Makefile": "code"}
+
+
+def test_document_prompts_cut_and_say_so(spark):
+    df = spark.createDataFrame([(1, "x" * 6001, "A nurse", "Nurse"), (2, "y" * 6000, None, None), (3, None, None, None)], "doc_id long, text string, persona string, persona_name string")
+    got = {r.doc_id: [m.content for m in r.messages] for r in planning.build_document_prompts(df, 5, ["factual", "instruction"], "basic", "law").collect()}
+    assert "x" * 6000 + planning.CUT_NOTE in got[1][1] and "x" * 6001 not in got[1][1]
+    assert planning.CUT_NOTE not in got[2][1] and "Generate exactly 5 question-answer pairs" in got[2][1] and 'Domain/context tag: "law".' in got[2][1]
+    assert "A nurse" in got[1][0] and "point of view of: Nurse." in got[1][1] and "point of view" not in got[2][1] and "Mix both styles" in got[2][1]
+
+
+def test_written_lines_are_those_of_the_pairs(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, 'say "hi", now', "two\nlines", "factual"), (2, " lead", None, "instruction"), (3, "plain", "", "factual")], "id int, instruction string, output string, type string")
+    export.write_dataset(pairs, str(tmp_path / "j"), "jsonl", "chatml")
+    want = sorted(r.line for r in export.serialize(pairs, "jsonl", "chatml").collect())
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "j")).collect()) == want
+    export.write_dataset(pairs, str(tmp_path / "c"), "csv")
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "c").glob("part-*")))
+    assert '"say ""hi"", now","two\nlines",factual' in lines and " lead,,instruction" in lines and "instruction,output,type" in lines
+
+
+def test_a_long_chain_of_near_duplicates_is_settled(spark):
+    edges = spark.createDataFrame([(i, i + 1, i) for i in range(12)], "i int, j int, ord_i int")
+    assert {r.dup_id: r.keep_id for r in dedup.greedy_keep(edges).collect()} == {i: i - 1 for i in range(1, 13, 2)}
+
+
+def test_groups_keep_the_kind_of_exact_copies(spark):
+    rows = ["what is the colour of the sky", "what is the colour of the sky", "what is the colour of the sky?!", "what is the colour of the skyx", "how do plants grow in the dark", "how do plants grow in the darkx"]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "id int, ord int, instruction string")
+    got = {r.dup_id: (r.keep_id, r.match_kind, r.group_kind) for r in dedup.find_duplicates(df, 0.8).collect()}
+    assert got == {1: (0, "exact", "exact"), 2: (0, "exact", "exact"), 3: (0, "fuzzy", "exact"), 5: (4, "fuzzy", "fuzzy")}
+    assert tuple(dedup.duplicate_counts(dedup.find_duplicates(df, 0.8)).first()) == (2, 2, 2)
+
+
+def test_chunks_leave_one_python_node_and_one_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "word " * 3000), (2, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    specs = planning.build_specs(chunking.chunk_documents(spark.read.parquet(str(tmp_path / "d"))), 4).withColumnRenamed("index", "chunk_index")
+    plan = generate.template_pairs(specs.select("doc_id", "chunk_index", "voice_index", "pairs", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan parquet") == 1
