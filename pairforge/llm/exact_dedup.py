@@ -117,12 +117,16 @@ def repeated_fingerprints(fps: DataFrame, quotient_bits: int = 16) -> DataFrame:
             yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: dict[int, CountingQuotientFilter] = {}
+        # filters wait until together they are as large as what is merged: each remainder takes part in few merges
+        merged: dict[int, list[CountingQuotientFilter]] = {}
         for batch in batches:
             for i, raw in zip(batch.column("slice").to_pylist(), batch.column("filter").to_pylist(), strict=True):
-                f = CountingQuotientFilter.read(raw)
-                merged[i] = CountingQuotientFilter.merge([merged[i], f]) if i in merged else f
-        for f in merged.values():
+                own = merged.setdefault(i, [])
+                own.append(CountingQuotientFilter.read(raw))
+                if len(own) > 1 and sum(len(f.counts) for f in own[1:]) >= len(own[0].counts) + 100_000:
+                    merged[i] = [CountingQuotientFilter.merge(own)]
+        for own in merged.values():
+            f = CountingQuotientFilter.merge(own)
             many = f.counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(f.fingerprints()[many].view(np.int64)), pa.array(f.counts[many])], names=["fp", "n"])
 

@@ -1,13 +1,15 @@
 """Licence scan by a positional rare-token index.
 
 Templates are short word lists with mandatory key phrases. Document frequencies
-of all template words are counted over the whole table; each template keeps its
-words of highest inverse document frequency, and their postings (word ->
-template, position) form the index. A rare word standing at place p of a file
-votes for every posting (template, q) with a start of p - q; starts with enough
-votes are candidates, and a candidate counts only if all its key phrases stand
-word for word at their places. Base phrases are templates that are their own key
-phrase and need a single vote, so every place of theirs is found.
+of all template words are counted over the whole table, and the postings of all
+of them (word -> template, position) form the index. A file looks up its licence
+words of highest inverse document frequency: of each template whose key words it
+has, the rarest few that stand in it. Such a word at place p votes for every
+posting (template, q) with a start of p - q; starts with enough votes are
+candidates, and a candidate counts only if all its key phrases stand word for
+word at their places. Base phrases are templates that are their own key phrase,
+looked up by their rarest word and content with its vote, so every place of
+theirs is found.
 
 Defined cases: null or empty text has no words, no places and score 0. A row is
 returned for each row, also for a null or repeated doc_id.
@@ -59,8 +61,8 @@ class Index:
     """Postings of each template's rarest words."""
 
     def __init__(self, templates: Sequence[Template], frequency: dict[str, int], rows: int, rare: int = 4, share: float = 0.5) -> None:
-        """rare: words kept for a template (a base phrase keeps one); share: of their postings, the votes needed."""
-        self.templates = templates
+        """rare: words that a file looks up for a template it may hold; share: of their postings in the template, the votes needed."""
+        self.templates, self.rare, self.share = templates, rare, share
         self.words = [t.text.split() for t in templates]
         vocabulary = sorted({w for t in self.words for w in t}, key=lambda w: K.hash_word(w.encode()))
         self.vocabulary = [w.encode() for w in vocabulary]
@@ -69,16 +71,31 @@ class Index:
         idf = {w: log((1 + rows) / (1 + frequency.get(w, 0))) for w in vocabulary}
         self.numbers = [np.array([number[w] for w in t]) for t in self.words]
         self.keys = [[(k, self._find(w, k.split())) for k in t.keys] for t, w in zip(templates, self.words, strict=True)]
-        postings: list[tuple[int, int, int]] = []
-        self.votes = np.zeros(len(templates), np.int64)
-        for i, t in enumerate(templates):
-            best = sorted(set(self.words[i]), key=lambda w: (-idf[w], w))[: 1 if t.base else rare]
-            own = [(number[w], i, q) for w in best for q, x in enumerate(self.words[i]) if x == w]
-            self.votes[i] = 1 if t.base else ceil(share * len(own))
-            postings += own
-        postings.sort()
-        self.posted = np.array([p[0] for p in postings])
-        self.template, self.place = np.array([p[1] for p in postings]), np.array([p[2] for p in postings])
+        self.base = np.array([t.base for t in templates])
+        #: Of each template: its words from the highest inverse document frequency down, and those of its key phrases.
+        self.by_idf = [np.array([number[w] for w in sorted(set(t), key=lambda w: (-idf[w], w))]) for t in self.words]
+        self.needed = [np.array(sorted({number[w] for k, _ in own for w in k.split()}), np.int64) for own in self.keys]
+        # a base phrase is looked up by its rarest word wherever that stands, other templates by any of their words
+        postings = sorted((x, i, q) for i, t in enumerate(templates) for q, x in enumerate(self.numbers[i].tolist()) if not t.base or x == self.by_idf[i][0])
+        self.posted, self.template, self.place = (np.array([p[k] for p in postings]) for k in range(3))
+        self.anchors = np.zeros(len(vocabulary), bool)
+        self.anchors[[int(w[0]) for w, t in zip(self.by_idf, templates, strict=True) if t.base]] = True
+        self.times = np.zeros((len(vocabulary), len(templates)), np.int64)
+        np.add.at(self.times, (self.posted, self.template), 1)
+
+    def rarest(self, present: np.ndarray) -> np.ndarray:
+        """Which words each file looks up (files by words): of each template whose key words it has, the rarest of those present.
+
+        present: which words of the vocabulary each file has.
+        """
+        out = np.zeros_like(present)
+        for base, words, needed in zip(self.base, self.by_idf, self.needed, strict=True):
+            if base:
+                continue
+            able = np.flatnonzero(present[:, needed].all(axis=1))
+            has = present[np.ix_(able, words)]
+            out[np.ix_(able, words)] |= has & (np.cumsum(has, axis=1) <= self.rare)
+        return out
 
     @staticmethod
     def _find(words: list[str], key: list[str]) -> int:
@@ -133,15 +150,22 @@ def _matched(index: Index, number: np.ndarray, cut: np.ndarray) -> tuple[np.ndar
 
     A template may begin before its file does or end after it, as long as its key phrases stand inside.
     """
-    rare = np.flatnonzero(np.isin(number, index.posted))
-    lo, hi = np.searchsorted(index.posted, number[rare], "left"), np.searchsorted(index.posted, number[rare], "right")
+    hit = np.flatnonzero(number >= 0)
+    owner, word = np.searchsorted(cut, hit, "right") - 1, number[hit]
+    present = np.zeros((len(cut) - 1, len(index.vocabulary)), bool)
+    present[owner, word] = True
+    looked = index.rarest(present)
+    hit = hit[looked[owner, word] | index.anchors[word]]
+    lo, hi = np.searchsorted(index.posted, number[hit], "left"), np.searchsorted(index.posted, number[hit], "right")
     posting, _ = K.ragged(lo, hi - lo)
-    place = np.repeat(rare, hi - lo)
+    place = np.repeat(hit, hi - lo)
     template, start = index.template[posting], place - index.place[posting]
     doc = np.searchsorted(cut, place, "right") - 1
-    votes, count = np.unique(np.stack([doc, template, start]), axis=1, return_counts=True)
+    own = looked[doc, number[place]] | index.base[template]  # an anchor votes for base phrases alone
+    votes, count = np.unique(np.stack([doc[own], template[own], start[own]]), axis=1, return_counts=True)
     doc, template, start = votes
-    enough = count >= index.votes[template] if len(count) else np.zeros(0, bool)
+    most = (looked.astype(np.int64) @ index.times)[doc, template]  # votes of a file that has the template whole
+    enough = index.base[template] | (count >= np.maximum(1, np.ceil(index.share * most)))
     doc, template, start = doc[enough], template[enough], start[enough]
     good, share = np.zeros(len(doc), bool), np.zeros(len(doc))
     for t, words in enumerate(index.numbers):
@@ -158,7 +182,7 @@ def _matched(index: Index, number: np.ndarray, cut: np.ndarray) -> tuple[np.ndar
 
 
 def _scanned(index: Index):
-    base = np.array([t.base for t in index.templates])
+    base = index.base
     labels = [t.label for t in index.templates]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import kernel as K
-from pairforge.llm.common import table, written
+from pairforge.llm.common import positional, table, written
 from pairforge.llm.graph import components
 
 BITS = 64
@@ -264,10 +264,14 @@ def simhash_components(docs: DataFrame, shingle: int = 4, threshold: int = 4) ->
 
 def near_deduplicated(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> DataFrame:
     """The columns of ``docs``: of each component only the document that names it (of rows equal in id and text, one)."""
-    kept = simhash_components(docs, shingle, threshold).where("doc_id <=> component_id and tag = keep_tag").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_kept")).distinct()
-    tagged = docs.withColumn("_tag", F.xxhash64("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_kept"))
-    return tagged.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
+    plain, name = positional(docs)
+    tagged = plain.withColumn("tag", F.xxhash64(name["text"])).withColumn("doc_id", F.col(name["doc_id"]).cast("long"))
+    rows = written(simhash_components(tagged.select("doc_id", F.col(name["text"]).alias("text")), shingle, threshold).select("doc_id", "tag", "component_id", "keep_tag"), "rows")
+    stays = F.expr("doc_id <=> component_id and tag = keep_tag")
+    kept = written(rows.where(stays).groupBy(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag")).agg(F.count("*").alias("times")), "kept")
+    left = tagged.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tag") == F.col("kept_tag")))
+    out = left.where("times = 1").unionByName(left.where("times > 1").dropDuplicates(["doc_id", "tag"]))
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
