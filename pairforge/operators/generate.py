@@ -64,7 +64,7 @@ def template_pairs(specs: DataFrame, styles: tuple[str, ...] = ("factual",)) ->
     items = lambda xs, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("item_index"), F.element_at(xs, i % F.size(xs) + 1).alias("_x")))
     asked = specs.where("pairs > 0")
     picked = asked.select(*keys, F.inline(let(pool, lambda xs: items(xs, F.col("pairs")))))
-    phrase = F.array_join(F.slice(F.split("_x", f"{WHITE}+"), 1, 5), " ")
+    phrase = F.array_join(F.slice(F.split("_x", f"{WHITE}+", 6), 1, 5), " ")
     both = "instruction" in styles and "factual" in styles
     told = (F.col("item_index") % 3 == 2) if both else F.lit("instruction" in styles)
     question = F.concat(F.lit(QUESTION), phrase, F.lit('"?'))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.functions.indexing import shared_dir
+from pairforge.functions.indexing import durable, shared_dir
 from pairforge.functions.text import normalise
 from pairforge.operators import chunking, curate, dedup, generate, planning, pricing, quality, web
 from pairforge.plans.inputs import ALL_SQL, CHUNKS_SQL, PAIRS_SQL, SPECS_SQL, conversation_pairs, document_pairs, specs, table
@@ -44,7 +44,7 @@ _VALID = f"WITH {PAIRS_SQL}, t AS (SELECT id, type, {_T.format('instruction')} A
 SELECT lang, count(*) AS n_pairs, count(DISTINCT key) AS n_distinct, count(*) FILTER (key = '' OR nth = 1) AS n_kept FROM n GROUP BY lang""")
 def flagship_pairs_by_lang(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of each language, their distinct instructions, and what is left of them without duplicates."""
-    pairs = document_pairs(spark, d).withColumn("ord", F.col("id"))
+    pairs = durable(document_pairs(spark, d).select("id", F.col("id").alias("ord"), "lang", "instruction"))  # made once, read three times
     kept = dedup.remove_duplicates(pairs, dedup.exact_duplicates(pairs)).groupBy("lang").agg(F.count("*").alias("n_kept"))
     own = pairs.groupBy("lang").agg(F.count("*").alias("n_pairs"), F.countDistinct(normalise(F.col("instruction"))).alias("n_distinct"))
     return own.join(kept.withColumnRenamed("lang", "own"), F.col("lang").eqNullSafe(F.col("own")), "left").select("lang", "n_pairs", "n_distinct", F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"))
