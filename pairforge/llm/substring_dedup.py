@@ -4,12 +4,15 @@ Each document is cut into windows of ``window`` consecutive words. The minimiser
 of a window is its smallest hashed m-gram; consecutive windows with the same
 minimiser form a super-k-mer and travel as one packed string to the minimiser's
 bucket, so a window of 13 words costs about three words of shuffle instead of 13.
-Equal super-k-mers of a slice are packed once with the list of their places, so a
-passage held by a third of the corpus costs its bucket a few bytes a document.
-In a bucket, windows are sorted by hash; members of a run of equal hashes are
-compared byte by byte with the run's first, so the result is exact. A bucket of
-any size is handled in bounded memory: its packed strings wait in a scratch file
-of the task and are scanned once for each residue class of window hashes.
+Of equal super-k-mers of a slice only those of the smallest doc_id travel; the
+others are known to repeat and leave as word ranges, so that a passage held by a
+third of the corpus reaches its bucket once a slice.
+The number of buckets grows with the text. Spark deals them to the partitions
+and sorts each partition by bucket; a bucket's windows are then sorted by hash,
+and members of a run of equal hashes are compared byte by byte with the run's
+first, so the result is exact. The windows of a bucket that holds more than
+``limit`` (a frequent minimiser) leave as plain rows, spread over all tasks by
+their words; an aggregate and a join find the smallest doc_id of each.
 
 Defined cases: null or empty text has no words. Rows without a doc_id keep all
 words and remove none from others. Rows that repeat a doc_id never remove each
@@ -18,8 +21,8 @@ other's words. Other columns are ignored.
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import kernel as K
-from pairforge.llm.common import partitions, table
+from pairforge.llm.common import partitions, table, written
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-_FAR = np.iinfo(np.int64).max
+#: Packed bytes that are unpacked at a time.
+_UNPACK = 700_000
+_RANGE = [("doc_id", np.int64), ("tag", np.int32), ("begin", np.int32), ("finish", np.int32)]
 
 
 class _Collision(Exception):
@@ -59,7 +64,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _super_kmers(batch: pa.RecordBatch, window: int, m: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, windows, packed super-k-mers) of one slice of documents."""
+    """(bucket, windows, packed super-k-mers) of one slice of documents; a row of no windows holds packed ranges of repeated words."""
     data, offsets = K.flat(batch.column("text"))
     starts, ends, rows = K.spans(data, offsets, K.NOT_SPACE)
     if len(starts) < window:
@@ -97,8 +102,16 @@ def _super_kmers(batch: pa.RecordBatch, window: int, m: int, buckets: int) -> It
     rank = rank[leader] if len(rep) < len(key) else rank
     order = np.argsort(rank, kind="stable")
     held = np.searchsorted(rank[order], np.arange(len(rep) + 1))
+    late = ids[order] > np.repeat(np.minimum.reduceat(ids[order], held[:-1]), np.diff(held))
+    gone = np.sort(order[late])
+    order, held = order[~late], np.concatenate(([0], np.cumsum(~late)))[held]
     cuts = np.append(np.flatnonzero(np.diff(bucket[rep], prepend=-1)), len(rep))
     pack = zstandard.ZstdCompressor(level=6)
+    if len(gone):
+        joins = (begin[gone[1:]] == begin[gone[:-1]] + count[gone[:-1]]) & (doc[begin[gone[1:]]] == doc[begin[gone[:-1]]])
+        head, tail = gone[np.append(True, ~joins)], gone[np.append(~joins, True)]
+        ranges = ids[head].astype(np.int64), tags[head], places[head], (places[tail] + count[tail] + window - 1).astype(np.int32)
+        yield int(K.mix(value[:1])[0] % np.uint64(buckets)), 0, pack.compress(b"".join(x.tobytes() for x in ranges))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         own, occ = rep[lo:hi], order[held[lo] : held[hi]]
         index, _ = K.ragged(b0[own], b1[own] - b0[own])
@@ -135,50 +148,48 @@ class _Chunk:
         self.first = np.repeat(np.minimum.reduceat(self.doc, self.held[:-1]), per)
         self.window = window
 
+    def _windows(self, occ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows at places ``occ``: the window, the place, and how many words after it the window starts."""
+        group = np.repeat(np.arange(len(self.held) - 1), np.diff(self.held))[occ]
+        per = np.diff(self.offsets)[group]
+        index, offsets = K.ragged(self.offsets[group], per)
+        return index, np.repeat(occ, per), np.arange(len(index)) - np.repeat(offsets[:-1], per)
+
     def repeats(self, earliest: np.ndarray) -> pa.RecordBatch | None:
         """Word ranges of documents whose windows start in an earlier one; earliest: of each window, the smallest doc_id."""
-        group = np.repeat(np.arange(len(self.held) - 1), np.diff(self.held))
         least = np.minimum.reduceat(earliest, self.offsets[:-1])
-        occ = np.flatnonzero(least[group] < self.doc)
+        occ = np.flatnonzero(np.repeat(least, np.diff(self.held)) < self.doc)
         if not len(occ):
             return None
-        index, offsets = K.ragged(self.offsets[group[occ]], np.diff(self.offsets)[group[occ]])
-        owner = np.repeat(occ, np.diff(offsets))
+        index, owner, step = self._windows(occ)
         late = earliest[index] < self.doc[owner]
         begin, end = late.copy(), late.copy()
         begin[1:] &= ~late[:-1] | (owner[1:] != owner[:-1])
         end[:-1] &= ~late[1:] | (owner[1:] != owner[:-1])
         b, e = np.flatnonzero(begin), np.flatnonzero(end)
-        step = np.arange(len(index)) - np.repeat(offsets[:-1], np.diff(offsets))
         at = self.place[owner[b]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.doc[owner[b]]), pa.array(self.tag[owner[b]]), pa.array((at + step[b]).astype(np.int32)), pa.array((at + step[e] + self.window).astype(np.int32))],
-            names=["doc_id", "tag", "begin", "finish"],
-        )
-
-
-def _pass(chunks: Callable[[int], Iterator[_Chunk]], base: int, residues: int, r: int) -> Iterator[pa.RecordBatch]:
-    """Sort the windows of one residue class and compare them with their places."""
-    keep = lambda c: slice(None) if residues == 1 else np.flatnonzero(c.hash % np.uint64(residues) == r)
-    hashes, firsts, texts, begins, sizes, base_at = [], [], [], [], [], 0
-    for c in chunks(base):
-        k = keep(c)
-        b0, b1, text = c.b0[k], c.b1[k], c.text
-        if residues > 1:
-            index, offsets = K.ragged(b0, b1 - b0)
-            text, b0, b1 = text[index], offsets[:-1], offsets[1:]
-        hashes.append(c.hash[k])
-        firsts.append(c.first[k])
-        texts.append(text)
-        begins.append(b0 + base_at)
-        sizes.append((b1 - b0).astype(np.int32))
-        base_at += len(text)
-    if not hashes:
-        return
-    hashed, first, text, begin, size = map(np.concatenate, (hashes, firsts, texts, begins, sizes))
-    del hashes, firsts, texts, begins, sizes
-    if not len(hashed):
-        return
+        return _found([self.doc[owner[b]], self.tag[owner[b]], at + step[b], at + step[e] + self.window])
+
+    def each(self, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+        """Every window at every place with its words."""
+        for i in range(0, len(self.doc), most):
+            index, owner, step = self._windows(np.arange(i, min(i + most, len(self.doc))))
+            for j in range(0, len(index), most):
+                k = slice(j, j + most)
+                begin = self.place[owner[k]] + step[k]
+                gram = K.gather(self.text, self.b0[index[k]], self.b1[index[k]]).cast(pa.binary())
+                yield _found([self.doc[owner[k]], self.tag[owner[k]], begin, begin + self.window], gram)
+
+
+def _found(ranges: list[np.ndarray], gram: pa.Array | None = None) -> pa.RecordBatch:
+    own = [pa.array(x.astype(kind)) for x, (_, kind) in zip(ranges, _RANGE, strict=True)]
+    return pa.RecordBatch.from_arrays([*own, pa.nulls(len(own[0]), pa.binary()) if gram is None else gram], names=[*(n for n, _ in _RANGE), "gram"])
+
+
+def _sorted_out(chunks: list[_Chunk]) -> list[pa.RecordBatch]:
+    """Sort the windows of one bucket and compare them with their places."""
+    base_at = np.cumsum([0, *(len(c.text) for c in chunks)])
+    hashed = np.concatenate([c.hash for c in chunks])
     order = np.argsort(hashed, kind="stable")
     ranked = hashed[order]
     new = np.ones(len(order), bool)
@@ -187,69 +198,54 @@ def _pass(chunks: Callable[[int], Iterator[_Chunk]], base: int, residues: int, r
     group = np.cumsum(new) - 1
     twins = np.flatnonzero(~new)
     a, b = order[twins], order[lead[group[twins]]]
-    if np.any(size[a] != size[b]) or not _same(text, begin[a], begin[b], size[a].astype(np.int64)):
+    begin = np.concatenate([c.b0 + at for c, at in zip(chunks, base_at[:-1], strict=True)])
+    size = np.concatenate([c.b1 - c.b0 for c in chunks])
+    text = np.concatenate([c.text for c in chunks])
+    if np.any(size[a] != size[b]) or not _same(text, begin[a], begin[b], size[a]):
         raise _Collision
     del text, begin, size, a, b
-    least = np.minimum.reduceat(first[order], lead)
-    unique, earliest = ranked[lead], np.empty(len(order), np.int64)
+    least = np.minimum.reduceat(np.concatenate([c.first for c in chunks])[order], lead)
+    earliest = np.empty(len(order), np.int64)
     earliest[order] = least[group]
-    at = 0
-    for c in chunks(base):
-        if residues == 1:
-            own = earliest[at : at + len(c.hash)]
-            at += len(c.hash)
-        else:
-            own, k = np.full(len(c.hash), _FAR), keep(c)
-            own[k] = least[np.searchsorted(unique, c.hash[k])]
-        if len(own) and (out := c.repeats(own)) is not None:
-            yield out
+    ends = np.cumsum([len(c.hash) for c in chunks])
+    found = [c.repeats(own) for c, own in zip(chunks, np.split(earliest, ends[:-1]), strict=True)]
+    return [x for x in found if x is not None]
+
+
+def _compared(packed: list[bytes], window: int) -> list[pa.RecordBatch]:
+    """The repeated ranges of one whole bucket."""
+    runs = np.cumsum([len(x) for x in packed]) // _UNPACK
+    for base in _BASES:
+        try:
+            return _sorted_out([_Chunk([x for _, x in g], window, base) for _, g in groupby(zip(runs, packed, strict=True), lambda x: x[0])])
+        except _Collision:
+            continue
+    raise RuntimeError("windows collide under every hash base")
 
 
 def _count_windows(batches: Iterator[pa.RecordBatch], window: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Exact window comparison of all buckets of one partition."""
-    with tempfile.SpooledTemporaryFile(max_size=32 << 20) as scratch:
-        sizes: list[int] = []
-        total = 0
-        for batch in batches:
-            for blob, n in zip(batch.column("packed"), batch.column("windows").to_pylist(), strict=True):
-                blob = blob.as_buffer()
-                scratch.write(blob)
-                sizes.append(blob.size)
-                total += n
-        if not total:
-            return
-        residues = -(-total // limit)
-        kept: dict[int, list[_Chunk]] = {}
-
-        def chunks(base: int) -> Iterator[_Chunk]:
-            if base in kept:
-                yield from kept[base]
-                return
-            store: list[_Chunk] = []
-            scratch.seek(0)
-            group, have = [], 0
-            for i, size in enumerate(sizes):
-                group.append(scratch.read(size))
-                have += size
-                if have > 700_000 or i == len(sizes) - 1:
-                    c = _Chunk(group, window, base)
-                    if residues == 1:
-                        store.append(c)
-                    yield c
-                    group, have = [], 0
-            if residues == 1:
-                kept[base] = store
-
-        for r in range(residues):
-            for base in _BASES:
-                try:
-                    out = list(_pass(chunks, base, residues, r)) if residues == 1 else _pass(chunks, base, residues, r)
-                    yield from out
-                    break
-                except _Collision:
-                    kept.clear()
-            else:
-                raise RuntimeError("windows collide under every hash base")
+    """Exact window comparison of buckets that come one after another; windows of a bucket beyond ``limit`` leave with their words."""
+    rows = (r for b in batches for r in zip(b.column("bucket").to_pylist(), b.column("windows").to_pylist(), b.column("packed"), strict=True))
+    for _, bucket in groupby(rows, lambda r: r[0]):
+        held, total = [], 0
+        for _, windows, packed in bucket:
+            if not windows:
+                raw = zstandard.ZstdDecompressor().decompress(packed.as_py())
+                n = len(raw) // sum(np.dtype(k).itemsize for _, k in _RANGE)
+                at, ranges = 0, []
+                for _, kind in _RANGE:
+                    ranges.append(np.frombuffer(raw, kind, n, at))
+                    at += ranges[-1].nbytes
+                yield _found(ranges)
+                continue
+            held.append(packed.as_py())
+            total += windows
+            if total > limit:
+                for x in held:
+                    yield from _Chunk([x], window, _BASES[0]).each()
+                held = []
+        if held and total <= limit:
+            yield from _compared(held, window)
 
 
 def repeated_ranges(docs: DataFrame, window: int = 13, m: int = 2, limit: int = 2_000_000) -> DataFrame:
@@ -257,16 +253,26 @@ def repeated_ranges(docs: DataFrame, window: int = 13, m: int = 2, limit: int =
 
     ``limit`` bounds the windows sorted at once by a task; it changes no result.
     """
-    buckets = 4 * partitions(docs.sparkSession)
+    parts = 4 * partitions(docs.sparkSession)
+    known = docs.select("doc_id", _tag(), "text").where("doc_id is not null and text is not null")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts, size // (3 * limit))  # six bytes a word: on average half of the limit
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text", 3 * K.SLICE_BYTES):
                 if rows := list(_super_kmers(part, window, m, buckets)):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "windows", "packed"])
-
-    sent = docs.select("doc_id", _tag(), "text").where("doc_id is not null and text is not null").mapInArrow(emit, "bucket int, windows long, packed binary")
-    return sent.repartition(buckets, "bucket").select("windows", "packed").mapInArrow(lambda it: _count_windows(it, window, limit), "doc_id long, tag int, begin int, finish int")
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "windows", "packed"])
+
+    sent = known.mapInArrow(emit, "bucket long, windows long, packed binary")
+    dealt = sent.repartitionById(parts, F.expr(f"int(bucket % {parts})")).sortWithinPartitions("bucket")
+    found = written(dealt.mapInArrow(lambda it: _count_windows(it, window, limit), "doc_id long, tag int, begin int, finish int, gram binary"), "ranges")
+    ranges, hot = found.where("gram is null").drop("gram"), found.where("gram is not null")
+    if hot.isEmpty():
+        return ranges
+    first = hot.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return ranges.unionByName(hot.join(first, "gram").where("first < doc_id").select(*ranges.columns))
 
 
 def _tag() -> F.Column:

@@ -60,7 +60,7 @@ def substring_model(rows, w=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 500])
+@pytest.mark.parametrize("limit", [2_000_000, 500, 20, 1])
 def test_substring_dedup(odd, empty, limit):
     got = sorted((tuple(r) for r in substring_dedup.substring_dedup(odd, limit=limit).collect()), key=repr)
     assert got == substring_model(collected(odd))
