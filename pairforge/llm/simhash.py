@@ -11,7 +11,9 @@ within t_i of its own; what meets is verified on all 64 bits.
 Only distinct fingerprints are searched, so exact copies cost nothing. In a
 group of probes, a pair is compared only while its two sides are not yet known
 to be connected, and one link for each newly connected component is emitted: a
-large family of near copies gives links in proportion to its size.
+large family of near copies gives links in proportion to its size. A group of
+more than ``GROUP_ROWS`` rows is dealt again by its value and one of threshold
++ 1 pieces of the other bits, of which near fingerprints share at least one.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any
 other; a null doc_id never names a component unless the component has no id.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import kernel as K
-from pairforge.llm.common import positional, table, written
+from pairforge.llm.common import positional, sized, table, written
 from pairforge.llm.graph import components
 
 BITS = 64
@@ -40,6 +42,9 @@ SEED = 42
 PROBE_COST = 100.0
 #: Rows of a group from which comparisons skip pairs that are already connected.
 LARGE_GROUP = 64
+#: Rows of a group from which it is split over tasks by further bits.
+GROUP_ROWS = 50_000
+_PROBED = "part byte, value long, probe boolean, fp long"
 
 
 def _fingerprints(shingle: int):
@@ -241,22 +246,50 @@ def _links(threshold: int):
     return run
 
 
-def links(distinct: DataFrame, threshold: int) -> DataFrame:
+def _finer(parts: list[tuple[list[int], int]], threshold: int):
+    """Rows of large groups under finer keys: the value, with the fingerprint's bits in each piece of what is outside the part."""
+    pieces = threshold + 1
+    rest = [[b for b in range(BITS) if b not in bits] for bits, _ in parts]
+    masks = np.array([[sum(1 << b for b in own[j::pieces]) for j in range(pieces)] for own in rest], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, value, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "fp"))
+            for j in range(pieces):
+                key = value.view(np.uint64) | fp.view(np.uint64) & masks[part, j]
+                yield pa.RecordBatch.from_arrays([pa.array(part * np.int8(pieces) + np.int8(j)), pa.array(key.view(np.int64)), batch.column("probe"), batch.column("fp")], names=["part", "value", "probe", "fp"])
+
+    return run
+
+
+def links(distinct: DataFrame, threshold: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(u, v): verified links that connect every two fingerprints which chains of links connect."""
-    parts = plan(*bit_statistics(distinct), threshold)
-    probes = distinct.select("fp").mapInArrow(_probes(parts), "part byte, value long, probe boolean, fp long")
-    return probes.repartition("part", "value").sortWithinPartitions("part", "value", "probe").mapInArrow(_links(threshold), "u long, v long")
 
+    def compared(probes: DataFrame) -> DataFrame:
+        return probes.repartition("part", "value").sortWithinPartitions("part", "value", "probe").mapInArrow(_links(threshold), "u long, v long")
 
-def simhash_components(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> DataFrame:
+    parts = plan(*bit_statistics(distinct), threshold)
+    probes = distinct.select("fp").mapInArrow(_probes(parts), _PROBED)
+    large = written(probes.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("part", "value"), "groups")
+    if large.isEmpty():
+        return compared(probes)
+    side = sized(large, 16)
+    split = probes.join(side, ["part", "value"], "left_semi").mapInArrow(_finer(parts, threshold), _PROBED)
+    # finer keys get part numbers of their own, beyond those of the parts
+    split = split.withColumn("part", (F.col("part") + len(parts)).cast("byte"))
+    return compared(probes.join(side, ["part", "value"], "left_anti").unionByName(split))
+
+
+def simhash_components(docs: DataFrame, shingle: int = 4, threshold: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, tag, fp, component_id, keep_tag), a row for each document; component_id is the smallest doc_id reachable over links.
 
-    keep_tag is the tag of the row that names the component.
+    keep_tag is the tag of the row that names the component; ``group_rows`` bounds
+    the groups compared at once and changes no result.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
     fps = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(least.alias("least")), "distinct")
-    roots = components(links(distinct, threshold)).withColumnRenamed("node", "fp")
+    roots = components(links(distinct, threshold, group_rows)).withColumnRenamed("node", "fp")
     known = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.tag").alias("keep_tag")), "root").select("fp", "component_id", "keep_tag")
     return fps.join(written(named, "named"), "fp")

@@ -143,6 +143,31 @@ def test_simhash_search_finds_all_links_at_any_plan(spark):
         for out in simhash._links(4)(iter(t.combine_chunks().to_batches(max_chunksize=700))):
             got |= {tuple(sorted((int(np.int64(a).view(np.uint64)), int(np.int64(b).view(np.uint64))))) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
         assert got == near
+    table = spark.createDataFrame([(int(np.int64(np.uint64(f).view(np.int64))),) for f in ordered], "fp long")
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in near:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    for rows in (1, 8):  # nearly every group is split over tasks
+        got = [tuple(int(np.int64(x).view(np.uint64)) for x in r) for r in simhash.links(table, 4, group_rows=rows).distinct().collect()]
+        assert {tuple(sorted(x)) for x in got} <= near
+        joined = {f: f for f in fps}
+
+        def top(f):
+            while joined[f] != f:
+                f = joined[f]
+            return f
+
+        for a, b in got:
+            x, y = sorted((top(a), top(b)))
+            joined[y] = x
+        assert all(top(f) == find(f) for f in fps)
     thresholds = simhash.allocate([[0.0, 5.0, 9.0, 30.0], [0.0, 4.0, 8.0, 9.0], [0.0, 7.0, 8.0, 50.0]], 2)
     assert sum(thresholds[1]) == 2
 
