@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round at least halves the way to the least node, so the rounds needed grow with the logarithm of a component's size.
     """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         e = written(_small_star(_large_star(e)), "stars")
         if _unsettled(e).isEmpty():
