@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairforge.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, simhash, substring_dedup, tokens, toxicity
+from pairforge.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, simhash, substring_dedup, token_counts, tokens, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         simhash.op8_simhash,
         decontaminate.op9_decontaminate,
         tokens.op10_tokens,
+        token_counts.op11_token_counts,
     )
 }
 
