@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairforge.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, simhash, substring_dedup, token_counts, tokens, toxicity
+from pairforge.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, resampling, simhash, substring_dedup, token_counts, tokens, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         decontaminate.op9_decontaminate,
         tokens.op10_tokens,
         token_counts.op11_token_counts,
+        resampling.op12_resampling,
     )
 }
 
