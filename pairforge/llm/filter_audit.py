@@ -86,7 +86,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tag = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     for whole in batches:
         for batch in K.slices(whole, "text", 4 * K.SLICE_BYTES):
-            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+            given = batch.column("text").cast(pa.binary()).fill_null(b"")
+            texts = given.cast(pa.large_binary())
             mask = text_masks(texts)
             coded = texts.dictionary_encode()
             code, n = coded.indices.to_numpy(), len(coded.dictionary)
@@ -103,7 +104,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(code.astype(np.int64) + tag), batch.column("doc_id"), batch.column("part"), pa.array(mask.astype(np.int32)), pa.array(least[code], mask=~has[code]),
-                    pa.compute.if_else(pa.array(carries), texts, pa.scalar(None, pa.large_binary())).cast(pa.binary()), pa.array(np.array(lead, np.int64)[code]),
+                    given.take(pa.array(np.arange(len(code)), mask=~carries)), pa.array(np.array(lead, np.int64)[code]),
                 ],
                 names=["tag", "doc_id", "part", "mask", "own_min", "text", "lead"],
             )
