@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tables of at most this size are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: lineage is cut, and later readers read only the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, as the small side of a join: broadcast if its rows, at ``row_bytes`` each, keep within the limit."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def dense_index(df: DataFrame, order: list[Column | str], name: str = "index") -> DataFrame:
     """Number the rows 0, 1, 2 … in ``order`` (ties in any order).
 

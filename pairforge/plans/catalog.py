@@ -88,14 +88,15 @@ def exact_duplicates(spark, d):
     return dedup.exact_duplicates(document_pairs(spark, d).withColumn("ord", F.col("id")))
 
 
-def _short_pairs(spark, d):
-    """A pair of each document: its first 80 characters, and the rest. Real exact and near duplicates."""
+def _sentence_pairs(spark, d):
+    """A pair of each document: its whole first sentence, and the rest. Real exact and near duplicates."""
     text = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.substring(text, 1, 80).alias("instruction"), text.substr(F.lit(81), F.length(text)).alias("output"))
+    first = F.substring_index(text, ". ", 1)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), first.alias("instruction"), text.substr(F.length(first) + 3, F.length(text)).alias("output"))
 
 
 _GRAMS = "CASE WHEN key = '' THEN [] WHEN length(key) < 3 THEN [key] ELSE list_distinct(list_transform(range(1, length(key) - 1), lambda x: substr(key, x, 3))) END"
-_EDGES = f"""p AS (SELECT doc_id AS id, left(coalesce(text, ''), 80) AS instruction FROM documents), n AS (SELECT id, {_NORM} AS key FROM p),
+_EDGES = f"""p AS (SELECT doc_id AS id, split_part(coalesce(text, ''), '. ', 1) AS instruction FROM documents), n AS (SELECT id, {_NORM} AS key FROM p),
 x AS (SELECT id, key, min(id) OVER (PARTITION BY key) AS first FROM n), gr AS (SELECT id, {_GRAMS} AS g FROM x WHERE key = '' OR id = first),
 e AS (SELECT a.id AS i, b.id AS j FROM gr a JOIN gr b ON a.id < b.id AND least(len(a.g), len(b.g)) >= greatest(len(a.g), len(b.g)) * {{0}} - 1e-9
   WHERE (len(a.g) = 0 AND len(b.g) = 0 AND a.id = (SELECT min(id) FROM gr WHERE len(g) = 0))
@@ -104,7 +105,7 @@ e AS (SELECT a.id AS i, b.id AS j FROM gr a JOIN gr b ON a.id < b.id AND least(l
 
 @query(f"WITH {_EDGES.format(0.7)} SELECT i, j FROM e")
 def near_duplicate_edges(spark, d):
-    return dedup.near_duplicate_edges(_short_pairs(spark, d), 0.7).select("i", "j")
+    return dedup.near_duplicate_edges(_sentence_pairs(spark, d), 0.7).select("i", "j")
 
 
 _FOUND = f"""WITH RECURSIVE {_EDGES.format(0.7)}, v AS (SELECT j AS id, list(i ORDER BY i) AS before FROM e GROUP BY j), m AS (SELECT id, before, row_number() OVER (ORDER BY id) AS k FROM v),
@@ -116,17 +117,17 @@ found AS (SELECT dup_id, keep_id, match_kind, CASE WHEN bool_or(match_kind = 'ex
 
 @query(f"{_FOUND} SELECT dup_id, keep_id, match_kind, group_kind FROM found")
 def find_duplicates(spark, d):
-    return dedup.find_duplicates(_short_pairs(spark, d), 0.7)
+    return dedup.find_duplicates(_sentence_pairs(spark, d), 0.7)
 
 
 @query(f"{_FOUND} SELECT count(*) FILTER (match_kind = 'exact') AS exact_count, count(*) FILTER (match_kind = 'fuzzy') AS fuzzy_count, count(DISTINCT keep_id) AS n_groups FROM found")
 def duplicate_counts(spark, d):
-    return dedup.duplicate_counts(dedup.find_duplicates(_short_pairs(spark, d), 0.7))
+    return dedup.duplicate_counts(dedup.find_duplicates(_sentence_pairs(spark, d), 0.7))
 
 
 @query(f"{_FOUND} SELECT id FROM p WHERE id NOT IN (SELECT dup_id FROM found)")
 def remove_duplicates(spark, d):
-    pairs = _short_pairs(spark, d)
+    pairs = _sentence_pairs(spark, d)
     return dedup.remove_duplicates(pairs, dedup.find_duplicates(pairs, 0.7)).select("id")
 
 
@@ -187,7 +188,7 @@ def filter_pairs_by_status(spark, d):
 
 @query(f"{_FOUND} SELECT dup_id AS id FROM found")
 def filter_pairs_duplicate(spark, d):
-    pairs = _short_pairs(spark, d)
+    pairs = _sentence_pairs(spark, d)
     return curate.filter_pairs(pairs, status="duplicate", duplicates=dedup.find_duplicates(pairs, 0.7)).select("id")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairforge.operators import chunking, curate, dedup, generate, planning, pricing, quality, web
+from pairforge.operators import chunking, curate, dedup, generate, planning, pricing, quality, similar, web
 from pairforge.sources import export, files, listing
 from pairforge.streaming.generate import pairs_of, stream_generate
 
@@ -19,8 +19,13 @@ def near(a, b, t):
     return True if not a and not b else len(a & b) / len(a | b) >= t
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_greedy_near_duplicates_equal_the_sequential_rule(spark, seed):
+@pytest.mark.parametrize(("seed", "shared", "room"), [(1, 1, 300_000), (2, 1, 150), (3, 2, 300)])
+def test_greedy_near_duplicates_equal_the_sequential_rule(spark, monkeypatch, seed, shared, room):
+    """Over one range or many, with keys of one gram or of two."""
+    monkeypatch.setattr(similar, "RANGE_PAIRS", room)
+    monkeypatch.setattr(similar, "ROW_PAIRS", 1)
+    monkeypatch.setattr(similar, "shared_grams", lambda sets, t: shared)
+    monkeypatch.setattr(similar, "TASK_EDGES", 0 if seed == 3 else 500_000)
     rng = random.Random(seed)
     base = ["what is the colour of the sky at noon", "how do plants turn light into sugar", "ab", ""]
     texts = []
@@ -47,9 +52,40 @@ def test_greedy_near_duplicates_equal_the_sequential_rule(spark, seed):
     df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id int, ord int, instruction string")
     got = {r.dup_id: r.keep_id for r in dedup.find_duplicates(df, 0.7).collect()}
     assert got == want
+    if seed > 1:
+        return
     assert dedup.remove_duplicates(df, dedup.find_duplicates(df, 0.7)).count() == len(texts) - len(want)
 
 
+def test_edges_are_all_similar_pairs_by_either_kind_of_key(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("ab c") for _ in range(rng.choice([1, 2, 3, 4, 30]))) for _ in range(70)} | {" ".join(rng.choices(["red", "green", "blue", "grey"], k=5)) for _ in range(50)})
+    df = spark.createDataFrame([(f"r{i}", i, t) for i, t in enumerate(texts)], "id string, ord int, instruction string")
+    norm = {f"r{i}": " ".join(t.split()) for i, t in enumerate(texts)}
+    first = {}
+    for k, t in norm.items():
+        first.setdefault(t or k, k)
+    own = [k for k, t in norm.items() if first[t or k] == k]
+    empty = [k for k in own if not norm[k]]
+    want = {(a, b) for x, a in enumerate(own) for b in own[x + 1 :] if norm[a] and norm[b] and near(norm[a], norm[b], 0.6)} | {(empty[0], b) for b in empty[1:]}
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 5)  # keys of more rows are split
+    for shared in (1, 2):
+        monkeypatch.setattr(similar, "shared_grams", lambda sets, t, shared=shared: shared)
+        assert {(r.i, r.j) for r in dedup.near_duplicate_edges(df, 0.6).collect()} == want
+
+
+def test_a_family_leaves_by_its_first_row(spark, monkeypatch):
+    base, rng = "what is the colour of the sky at noon over the old harbour", random.Random(6)
+    rows = [base[: (k := rng.randrange(len(base)))] + rng.choice("abcxyz") + base[k + 1 :] for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(rows)), "ord int, instruction string").withColumn("id", F.col("ord"))
+    monkeypatch.setattr(similar, "RANGE_PAIRS", 20_000)
+    made = []
+    monkeypatch.setattr(similar, "settled", lambda edges, f=similar.settled: (made.append(edges.count()), f(edges))[1])
+    found = dedup.find_duplicates(df, 0.7)
+    assert found.count() == 599 and found.where("match_kind = 'fuzzy'").select("keep_id").distinct().count() == 1
+    assert sum(made) < 10_000  # of 179,700 pairs
+
+
 def test_chunk_boundaries():
     assert chunking.spans("", 10, 2, False) == [(0, 0)]
     assert chunking.spans("x" * 25, 10, 3, False) == [(0, 10), (7, 17), (14, 24), (21, 25)]
