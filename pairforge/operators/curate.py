@@ -32,13 +32,26 @@ def filter_pairs(pairs: DataFrame, type: str | None = None, persona: str | None
 
 
 def upsert_pairs(pairs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Overwrite the given fields by id; null keeps the field; any change sets edited."""
-    fields = [c for c in changes.columns if c != "id"]
-    new = changes.select("id", *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_changed"))
-    joined = pairs.join(new, "id", "left")
-    for c in fields:
-        joined = joined.withColumn(c, F.coalesce(f"_{c}", c))
-    return joined.withColumn("edited", F.coalesce("_changed", F.col("edited"))).select(*pairs.columns)
+    """``pairs`` with ``changes`` applied by id: (id, any of the pairs' columns, and two that may be left out).
+
+    fields: names of the columns that a change gives, so that null can be given, too (a
+    cleared rating); where it is null or left out, what is not null is given. seq: the
+    order of changes to one id; of each field the last given value stays. Any change sets
+    edited, unless it gives edited itself. Ids that no pair has change nothing.
+
+    Changes of one id meet in an aggregation with one value a field, however many they
+    are, so each pair stays one row.
+    """
+    given = [c for c in changes.columns if c in pairs.columns and c != "id"]
+    order = F.coalesce("seq", F.lit(-1)) if "seq" in changes.columns else F.lit(0)
+    has = lambda c: F.coalesce(F.array_contains("fields", c), F.col(c).isNotNull()) if "fields" in changes.columns else F.col(c).isNotNull()
+    last = (F.max_by(F.struct(F.col(c).alias("v")), F.when(has(c), order)).alias(f"_{c}") for c in given)
+    merged = changes.where("id is not null").groupBy("id").agg(*last, F.lit(True).alias("_changed"))
+    joined = pairs.join(merged, "id", "left")
+    new = {c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(F.col(c)) for c in given}
+    touched = F.when(F.col("_changed"), True).otherwise(F.col("edited"))
+    new["edited"] = F.when(F.col("_edited").isNotNull(), F.col("_edited.v")).otherwise(touched) if "edited" in given else touched
+    return joined.select(*(new[c].alias(c) if c in new else c for c in pairs.columns))
 
 
 def delete_pairs(pairs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pairforge.functions.indexing import durable, shared_dir
 from pairforge.functions.text import normalise
 from pairforge.operators import chunking, curate, dedup, generate, planning, pricing, quality, web
 from pairforge.plans.inputs import ALL_SQL, CHUNKS_SQL, PAIRS_SQL, SPECS_SQL, conversation_pairs, document_pairs, specs, table
+from pairforge.operators import ledger as ledgers
 from pairforge.sources import export, files, listing
 from pairforge.streaming import generate as stream
 
@@ -192,10 +193,25 @@ def filter_pairs_duplicate(spark, d):
     return curate.filter_pairs(pairs, status="duplicate", duplicates=dedup.find_duplicates(pairs, 0.7)).select("id")
 
 
-@query(f"WITH {PAIRS_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN output || '!' ELSE output END AS output, id % 5 = 0 AS edited FROM p")
+@query(f"""WITH {PAIRS_SQL} SELECT id, CASE WHEN id % 15 = 0 THEN output || '?' WHEN id % 5 = 0 THEN output || '!' ELSE output END AS output,
+CASE WHEN id % 7 = 0 THEN NULL WHEN id % 15 = 0 THEN 'down' ELSE rating END AS rating, id % 5 = 0 OR id % 7 = 0 AS edited FROM p""")
 def upsert_pairs(spark, d):
+    """Outputs that change, some twice with the later change first, and ratings that are cleared."""
     pairs = conversation_pairs(spark, d)
-    return curate.upsert_pairs(pairs, pairs.where("id % 5 = 0").select("id", F.concat("output", F.lit("!")).alias("output"))).select("id", "output", "edited")
+    null = F.lit(None).cast("string")
+    change = lambda cond, seq, fields, output, rating: pairs.where(cond).select("id", F.lit(seq).alias("seq"), F.array(*map(F.lit, fields)).alias("fields"), output.alias("output"), rating.alias("rating"))
+    twice = change("id % 15 = 0", 2, ["output", "rating"], F.concat("output", F.lit("?")), F.lit("down"))
+    once = change("id % 5 = 0", 1, ["output"], F.concat("output", F.lit("!")), null)
+    cleared = change("id % 7 = 0", 3, ["rating"], null, null)
+    return curate.upsert_pairs(pairs, twice.union(once).union(cleared)).select("id", "output", "rating", "edited")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT id, CASE WHEN n > 0 THEN 'new' ELSE 'old' END AS version FROM (SELECT id, type, count(*) FILTER (id // 1000 % 3 = 0 AND type = 'factual') OVER (PARTITION BY id // 1000) AS n FROM p) WHERE n = 0 OR type = 'factual'")
+def replace_documents(spark, d):
+    """Conversations as documents: one in three comes again, with its factual pairs only."""
+    pairs = conversation_pairs(spark, d).select("id", F.floor(F.col("id") / 1000).alias("doc_id"), "type")
+    final = pairs.where("doc_id % 3 = 0 and type = 'factual'")
+    return curate.replace_documents(pairs.withColumn("version", F.lit("old")), final.withColumn("version", F.lit("new"))).select("id", "version")
 
 
 @query(f"""WITH {PAIRS_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (type = 'factual') AS factual, count(*) FILTER (type = 'instruction') AS instruction, sum(length(instruction) + length(output)) AS chars FROM p)
@@ -628,12 +644,85 @@ def write_dataset(spark, d):
 _STREAMED = ALL_SQL.replace("item_index % 3 = 2 AS task", "false AS task")
 
 
+def _arrived(spark, d, files_: int) -> str:
+    """Documents in a folder of so many files."""
+    out = _output(spark, "stream")
+    table(spark, d, "documents").select("doc_id", "text").repartition(files_).write.parquet(f"{out}/arrived")
+    return out
+
+
+def _digests(*names: str) -> list:
+    return [F.md5(F.col(c).cast("binary")).alias(c) for c in names]
+
+
 @query(f"{_STREAMED} SELECT doc_id, chunk_index::BIGINT AS chunk_index, item_index::BIGINT AS item_index, md5(instruction) AS instruction, md5(output) AS output, type FROM dp")
 def stream_generate(spark, d):
     """Pairs of all documents, which arrive in a folder, generated as a stream and read back from the files it wrote."""
-    out = _output(spark, "stream")
-    table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{out}/arrived")
-    stream.stream_generate(spark, f"{out}/arrived", f"{out}/pairs", f"{out}/checkpoint").awaitTermination()
-    got = spark.read.schema("doc_id long, chunk_index long, item_index long, instruction string, output string, type string").json(f"{out}/pairs")
-    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
-    return got.select("doc_id", "chunk_index", "item_index", digest("instruction"), digest("output"), "type")
+    out = _arrived(spark, d, 2)
+    stream.stream_generate(spark, f"{out}/arrived", f"{out}/out", f"{out}/checkpoint").awaitTermination()
+    got = stream.read_pairs(spark, f"{out}/out")
+    return got.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("item_index").cast("long").alias("item_index"), *_digests("instruction", "output"), "type")
+
+
+def _pair_service(messages, settings):
+    """Answers with as many pairs as it is asked for, and fails on excerpts whose length divides by seven."""
+    import json
+    import re
+
+    asked = messages[1]["content"]
+    text = asked.split("DOCUMENT EXCERPT:\n", 1)[1].rsplit("\n---\n", 1)[0]
+    if len(text) % 7 == 0:
+        raise ValueError(f"HTTP 502 at {len(text)}")
+    n, part, total = map(int, re.match(r"Generate exactly (\d+) .*?\(part (\d+) of (\d+)\)", asked).groups())
+    item = lambda i: {"instruction": f"What is item {i} of part {part} of {total}?", "output": f"{len(text)} characters, {i} of {n}.", "type": "factual"}
+    return json.dumps([item(i) for i in range(n)])
+
+
+_SERVED = f"""WITH RECURSIVE {CHUNKS_SQL}, {SPECS_SQL},
+served AS (
+  SELECT doc_id, index AS chunk_index, item_index,
+         'What is item ' || item_index || ' of part ' || (index + 1) || ' of ' || total || '?' AS instruction,
+         length(text) || ' characters, ' || item_index || ' of ' || pairs || '.' AS output
+  FROM s, unnest(range(0, pairs)) AS u(item_index) WHERE length(text) % 7 <> 0)"""
+
+
+def _served(spark, d) -> str:
+    out = _arrived(spark, d, 3)
+    stream.stream_generate(spark, f"{out}/arrived", f"{out}/out", f"{out}/checkpoint", fn=_pair_service, files_a_batch=1).awaitTermination()
+    return f"{out}/out"
+
+
+@query(f"""{_SERVED} SELECT doc_id, chunk_index::INT AS chunk_index, item_index::INT AS item_index, md5(instruction) AS instruction, md5(output) AS output,
+CASE WHEN length(output) < 20 THEN 'short_output' ELSE '' END AS codes FROM served""")
+def stream_complete(spark, d):
+    """Documents that arrive in three batches, to prompts, requests to a service, replies, flags and files."""
+    codes = F.array_join("issues.code", ",").alias("codes")
+    return stream.read_pairs(spark, _served(spark, d)).select("doc_id", "chunk_index", "item_index", *_digests("instruction", "output"), codes)
+
+
+@query(f"""{_SERVED}, f AS (SELECT count(*) AS n_failed FROM s WHERE length(text) % 7 = 0)
+SELECT count(*) AS n_pairs, count(*) FILTER (length(output) < 20) AS n_flagged, any_value(n_failed) AS n_failed, count(*) AS pairs_so_far FROM served, f""")
+def stream_progress(spark, d):
+    """What the batches counted while they wrote, added up, and the running count after the last."""
+    told = stream.progress(spark, _served(spark, d))
+    return told.agg(*(F.sum(c).alias(c) for c in stream.COUNTS), F.max("pairs_so_far").alias("pairs_so_far"))
+
+
+@query(f"""{_SERVED.replace("WHERE length(text) % 7 <> 0", "")} SELECT doc_id, chunk_index::INT AS chunk_index, item_index::INT AS item_index, md5(instruction) AS instruction, md5(output) AS output FROM served""")
+def recover_failed(spark, d):
+    """A run in which some requests fail, and the pairs of a second run over those alone, appended."""
+    ledger = _output(spark, "ledger")
+    own = durable(specs(spark, d).withColumn("index", F.col("chunk_index")))
+
+    def healthy(messages, settings):
+        try:
+            return _pair_service(messages, settings)
+        except ValueError:
+            text = messages[1]["content"].split("DOCUMENT EXCERPT:\n", 1)[1].rsplit("\n---\n", 1)[0]
+            changed = [messages[0], messages[1] | {"content": messages[1]["content"].replace(text, text + "x", 1)}]
+            return _pair_service(changed, settings).replace(f'"output": "{len(text) + 1} ', f'"output": "{len(text)} ')
+
+    first = ledgers.complete_once(planning.build_prompts(own, ["factual"]), _pair_service, ledger)
+    pairs, failures = generate.parse_responses(first.select(*generate.KEY, "response", "error"))
+    whole, _ = ledgers.recover(pairs, own, failures, healthy, ledger, styles=["factual"])
+    return whole.select("doc_id", "chunk_index", "item_index", *_digests("instruction", "output"))

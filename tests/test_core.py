@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.operators import chunking, curate, dedup, generate, planning, pricing, quality, similar, web
 from pairforge.sources import export, files, listing
-from pairforge.streaming.generate import pairs_of, stream_generate
+from pairforge.streaming.generate import pairs_of, read_pairs, stream_generate
 
 
 def grams(x):
@@ -192,6 +192,12 @@ def test_curation_and_pricing(spark):
     pairs = spark.createDataFrame([(1, "q1", "a", "factual", "up", False, 1), (2, "q2", "b", "instruction", None, False, 1)], "id int, instruction string, output string, type string, rating string, edited boolean, doc_id long")
     out = curate.upsert_pairs(pairs, spark.createDataFrame([(2, "z")], "id int, output string"))
     assert [(r.output, r.edited) for r in out.orderBy("id").collect()] == [("a", False), ("z", True)]
+    change = "id int, seq int, fields array<string>, output string, rating string, edited boolean"
+    rows = [(1, 1, ["rating"], None, None, None), (2, 2, ["output"], "second", None, None), (2, 1, ["output", "rating"], "first", "down", None), (9, 1, ["output"], "nobody", None, None)]
+    out = curate.upsert_pairs(pairs, spark.createDataFrame(rows, change))
+    assert [(r.id, r.output, r.rating, r.edited) for r in out.orderBy("id").collect()] == [(1, "a", None, True), (2, "second", "down", True)]
+    out = curate.upsert_pairs(pairs, spark.createDataFrame([(1, 1, ["edited", "rating"], None, "down", False), (2, None, None, "z", None, None), (None, 1, ["output"], "x", None, None)], change))
+    assert [(r.id, r.output, r.rating, r.edited) for r in out.orderBy("id").collect()] == [(1, "a", "down", False), (2, "z", None, True)]
     assert curate.filter_pairs(pairs, status="unrated").count() == 1 and curate.delete_pairs(pairs, pairs.where("id = 1")).count() == 1
     assert curate.replace_documents(pairs, pairs.where("id = 1")).count() == 1
     new = generate.regenerate_pairs(pairs, pairs.where("id = 1").select("id"), spark.createDataFrame([(1, "some text of the document")], "doc_id long, text string"), lambda m, s: '[{"instruction": "new", "output": "text"}]')
@@ -204,8 +210,7 @@ def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"Sentence number {i} is here for you. " * 8) for i in range(5)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
     stream_generate(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    got = spark.read.json(str(tmp_path / "out"))
-    assert got.count() == pairs_of(docs).count() == 50
+    assert read_pairs(spark, str(tmp_path / "out")).count() == pairs_of(docs).count() == 50
 
 
 def test_write_dataset(spark, tmp_path):
