@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.functions.indexing import durable
-from pairforge.functions.text import WHITE, js_trim
+from pairforge.functions.indexing import written
+from pairforge.functions.text import WHITE, js_trim, let
 
 #: Parameters that do not tell pages apart.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content utm_id gclid fbclid msclkid igshid mc_cid mc_eid ref ref_src referrer _ga yclid spm".split()
@@ -29,36 +29,121 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
-    """Scheme and host in lower case (default port dropped), path (at least /), query."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    scheme = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(bare, "^[^:]+://([^/?]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    path = F.regexp_extract(bare, r"^[^:]+://[^/?]*([^?]*)", 1)
-    return scheme, host, F.when(path == "", "/").otherwise(path), F.regexp_extract(bare, r"\?(.*)$", 1)
+#: Characters that are percent-encoded in a path, a query and a fragment, as classes of regular expressions.
+_IN_PATH, _IN_QUERY, _IN_FRAGMENT = (rf"\x00-\x20\x7f-\x{{10ffff}}\"<>{own}" for own in ("`{}^", "'", "`"))
+_DOT = r"(?:\.|%2[eE])"
+
+
+def _encoded(text: Column, bad: str) -> Column:
+    """``text`` with each character of the class ``bad`` as the percent-encoded bytes of its UTF-8."""
+    one = lambda c: F.when(c.rlike(f"[{bad}]"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+    return F.when(text.rlike(f"[{bad}]"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), one), "")).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its dot segments resolved: each of two dots takes the segment before off the stack."""
+    parts = F.transform(
+        F.split(F.substring(path, 2, 2147483647), "/"),
+        lambda s: F.struct(s.alias("s"), s.rlike(f"^{_DOT}$").alias("here"), s.rlike(f"^{_DOT}{_DOT}$").alias("up")),
+    )
+    push = lambda stack, x: F.when(x["up"], F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(x["here"], stack).otherwise(F.concat(stack, F.array(x["s"])))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), push)
+    ends = path.rlike(f"/{_DOT}{{1,2}}$")  # what a last dot segment leaves is a folder
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.rlike(f"/{_DOT}{{1,2}}(/|$)"), F.when(ends & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)).otherwise(path)
+
+
+def _parsed(url: Column) -> Column:
+    """(scheme, user, host, port, path, query, fragment) of an http address as browsers read it, null if it is none.
+
+    Scheme and host are in lower case, a default port is dropped, dot segments are
+    resolved, characters that may not stand are percent-encoded, and query and
+    fragment are null where there are none. Names beyond ASCII stay as they are
+    (no punycode), and numbers for hosts are not read as IPv4.
+    """
+    text = F.translate(js_trim(F.coalesce(url, F.lit(""))), "\t\n\r", "")
+    before, fragment = F.regexp_extract(text, "(?s)^([^#]*)", 1), F.regexp_extract(text, "(?s)#(.*)$", 1)
+    whole = r"(?is)^(https?):[/\\\\]*([^/\\\\?]*)([^?]*)"
+    part = lambda i: F.regexp_extract(before, whole, i)
+    host = F.regexp_extract(part(2), r"(?s)([^@]*)$", 1)
+    raw = let(
+        F.struct(
+            F.lower(part(1)).alias("scheme"),
+            F.regexp_extract(part(2), "(?s)^(.*)@", 1).alias("user"),
+            F.lower(F.regexp_extract(host, r"(?s)^(\[.*\]|[^:]*)", 1)).alias("host"),
+            F.regexp_extract(host, r"(?s)^(?:\[.*\]|[^:]*):(.*)$", 1).alias("port"),
+            F.translate(part(3), "\\", "/").alias("path"),
+        ),
+        lambda x: F.struct(
+            x["scheme"].alias("scheme"),
+            x["user"].alias("user"),
+            F.when(x["host"].contains("%"), F.lower(F.try_url_decode(F.replace(F.regexp_replace(x["host"], "%(?![0-9a-fA-F]{2})", "%25"), F.lit("+"), F.lit("%2B"))))).otherwise(x["host"]).alias("host"),
+            F.regexp_replace(x["port"], "^0+(?=.)", "").alias("port"),
+            _encoded(_without_dots(F.when(x["path"] == "", "/").otherwise(x["path"])), _IN_PATH).alias("path"),
+        ),
+    )
+    named = lambda x: (x["host"] != "") & (x["host"].rlike(r"^\[[0-9a-f:.]+\]$") | ~x["host"].rlike(r"[\x00-\x20\"#%/:<>?@\[\]\\^`{|}\x7f]"))
+    ported = lambda x: x["port"].rlike("^[0-9]{0,5}$") & (F.coalesce(x["port"].try_cast("int"), F.lit(0)) <= 65535)
+    return let(
+        raw,
+        lambda x: F.when(
+            before.rlike("(?i)^https?:") & named(x) & ported(x),
+            F.struct(
+                x["scheme"].alias("scheme"),
+                x["user"].alias("user"),
+                x["host"].alias("host"),
+                F.when((x["port"] == "") | ((x["scheme"] == "http") & (x["port"] == "80")) | ((x["scheme"] == "https") & (x["port"] == "443")), "").otherwise(F.concat(F.lit(":"), x["port"])).alias("port"),
+                x["path"].alias("path"),
+                F.when(before.contains("?"), _encoded(F.regexp_extract(before, r"(?s)\?(.*)$", 1), _IN_QUERY)).alias("query"),
+                F.when(text.contains("#"), _encoded(fragment, _IN_FRAGMENT)).alias("fragment"),
+            ),
+        ),
+    )
+
+
+def _parts(url: Column) -> tuple[Column, Column]:
+    """Host with port, and path."""
+    at = lambda f: let(_parsed(url), f)
+    return at(lambda x: F.concat(x["host"], x["port"])), at(lambda x: x["path"])
+
+
+def _given(mark: str, text: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(mark), text), F.lit(""))
+
+
+def canonical_url(url: Column) -> Column:
+    """The address as browsers write it, null for what is none."""
+    user = lambda x: F.when(x["user"].rlike("^:?$"), "").otherwise(F.concat(x["user"], F.lit("@")))
+    return let(_parsed(url), lambda x: F.concat(x["scheme"], F.lit("://"), user(x), x["host"], x["port"], x["path"], _given("?", x["query"]), _given("#", x["fragment"])))
 
 
 def normalize_url(raw: Column) -> Column:
-    """The address, https by default; null if it is none: blank, with spaces, another scheme, credentials, or a bare word."""
+    """The address that was meant, https by default; null if it is none: blank, with spaces, another scheme, credentials, or a bare word."""
     t = js_trim(F.coalesce(raw, F.lit("")))
     has = t.rlike("(?i)^[a-z][a-z0-9+.-]*://")
-    scheme, host, path, query = _parts(F.when(has, t).otherwise(F.concat(F.lit("https://"), t)))
-    name = F.regexp_replace(host, ":[0-9]*$", "")
-    bad = (t == "") | t.rlike(WHITE) | (has & ~t.rlike("(?i)^https?://")) | host.contains("@") | (name == "") | ~(name.contains(".") | (name == "localhost")) | ~host.rlike("^[^:]*(:[0-9]*)?$")
-    fragment = F.regexp_extract(t, "(#.+)$", 1)
-    return F.when(~bad, F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), fragment))
+    bad = (t == "") | t.rlike(WHITE) | (has & ~t.rlike("(?i)^https?://"))
+    meant = F.when(has, t).otherwise(F.concat(F.lit("https://"), t))
+    good = lambda x: ~bad & x["user"].rlike("^:?$") & (x["host"].contains(".") | (x["host"] == "localhost"))
+    return let(_parsed(meant), lambda x: F.when(good(x), F.concat(x["scheme"], F.lit("://"), x["host"], x["port"], x["path"], _given("?", x["query"]), _given("#", x["fragment"]))))
+
+
+def _form(query: Column) -> Column:
+    """A query's parameters read and written as forms are, without those that track, sorted by name (ties as they stood)."""
+    read = lambda t: F.try_url_decode(F.regexp_replace(t, "%(?![0-9a-fA-F]{2})", "%25"))
+    pairs = F.transform(
+        F.filter(F.split(query, "&"), lambda p: p != ""),
+        lambda p, i: F.struct(read(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), read(F.when(p.contains("="), F.regexp_replace(p, "(?s)^[^=]*=", "")).otherwise("")).alias("v")),
+    )
+    kept = F.array_sort(F.filter(pairs, lambda x: ~x["k"].isin(TRACKING)))
+    return F.array_join(F.transform(kept, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
 
 
 def url_dedupe_key(url: Column) -> Column:
-    """One key for all addresses of a page: no fragment, no tracking, sorted parameters, no trailing slash. For ASCII addresses."""
-    scheme, host, path, query = _parts(url)
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
-    name = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(TRACKING))
-    placed = F.array_sort(F.transform(kept, lambda p, i: F.struct(name(p).alias("k"), i.alias("i"), F.replace(F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))), F.lit("%20"), F.lit("+")).alias("p"))))
-    sorted_ = F.array_join(F.transform(placed, lambda x: x["p"]), "&")
-    return F.concat(scheme, F.lit("://"), host, path, F.when(sorted_ != "", F.concat(F.lit("?"), sorted_)).otherwise(""))
+    """One key for all addresses of a page, null for what is no address: no fragment, no tracking, parameters decoded, sorted and encoded one way, no trailing slash."""
+    user = lambda x: F.when(x["user"].rlike("^:?$"), "").otherwise(F.concat(x["user"], F.lit("@")))
+    path = lambda x: F.when(F.length(x["path"]) > 1, F.regexp_replace(x["path"], "/$", "")).otherwise(x["path"])
+    query = lambda x: let(_form(F.coalesce(x["query"], F.lit(""))), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return let(_parsed(url), lambda x: F.concat(x["scheme"], F.lit("://"), user(x), x["host"], x["port"], path(x), query(x)))
 
 
 def content_type_ext(content_type: Column, types: tuple[tuple[str, str], ...] = PAGE_TYPES) -> Column:
@@ -68,7 +153,7 @@ def content_type_ext(content_type: Column, types: tuple[tuple[str, str], ...] =
 
 def page_name(url: Column, ext: Column, n: Column | None = None) -> Column:
     """The last path segment (else the host) without its extension; with ``n``, a number of two digits or more before."""
-    _, host, path, _ = _parts(url)
+    host, path = _parts(url)
     host = F.regexp_replace(host, ":[0-9]*$", "")
     last = F.element_at(F.filter(F.split(path, "/"), lambda s: s != ""), -1)
     last = F.when(F.size(F.filter(F.split(path, "/"), lambda s: s != "")) > 0, last).otherwise(host)
@@ -216,7 +301,7 @@ def _links(url: pd.Series, html: pd.Series) -> pd.DataFrame:
 def extract_links(pages: DataFrame) -> DataFrame:
     """(url, noindex, nofollow, pos, key, href) of pages (url, html): same-origin links, a row for each key; first place, last address. A page without links has one row with null key."""
     read = pages.select("url", _links("url", "html").alias("l"))
-    every = read.select("url", "l.noindex", "l.nofollow", F.posexplode_outer("l.links").alias("pos", "href")).withColumn("key", url_dedupe_key(F.col("href")))
+    every = read.select("url", "l.noindex", "l.nofollow", F.posexplode_outer("l.links").alias("pos", "_raw")).withColumn("href", F.coalesce(canonical_url(F.col("_raw")), "_raw")).withColumn("key", url_dedupe_key(F.col("href")))
     return every.groupBy("url", "noindex", "nofollow", "key").agg(F.min("pos").alias("pos"), F.max_by("href", "pos").alias("href")).select("url", "noindex", "nofollow", "pos", "key", "href")
 
 
@@ -227,32 +312,51 @@ def dedupe_pages(pages: DataFrame) -> DataFrame:
     return keyed.join(first, ["key", "page_id"], "left_semi")
 
 
+def _counted(level: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Adds had: how many rows of the site without a reason stand before a row in order of place, those of ``before`` (site, had) included.
+
+    In two steps: rows are range-partitioned by site and place and counted inside each
+    range, and a row for each range and site tells what stood in the ranges before. A
+    site of any size is spread over all ranges.
+    """
+    n = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = F.when(F.col("reason").isNull(), 1).otherwise(0)
+    ranged = written(level.repartitionByRange(n, "site", "place").withColumn("_range", F.spark_partition_id()), "level")
+    sums = ranged.groupBy("_range", "site").agg(F.sum(good).alias("_n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_range", "site", F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("site").orderBy("_range"))), F.lit(0)).alias("_offset"))  # a row a range
+    inside = F.coalesce(F.sum(good).over(earlier(Window.partitionBy("_range", "site").orderBy("place"))), F.lit(0))
+    out = ranged.withColumn("had", inside).join(offsets, ["_range", "site"])
+    had = F.col("had") + F.col("_offset")
+    if before is not None:
+        out, had = out.join(before.withColumnRenamed("had", "_before"), "site", "left"), had + F.coalesce("_before", F.lit(0))
+    return out.withColumn("had", had).select(*level.columns, "had")
+
+
 def crawl_pages(pages: DataFrame, rules: DataFrame, starts: DataFrame, max_depth: int = 1, max_pages: int = 25) -> tuple[DataFrame, DataFrame]:
     """(imported, skipped) of a breadth-first walk over stored pages (url, content_type, html) from starts (site, url).
 
     imported: site, n, url, ext, name; skipped: site, url, reason, detail. At most ``max_pages`` are imported a site;
-    what lies beyond in the queue is neither imported nor reported.
+    what lies beyond in the queue is neither imported nor reported. A page is parsed when the walk reaches it: each level
+    meets the stored pages by key, and only the HTML of its own pages is read for links. Addresses that are none are left out.
     """
-    stored = durable(pages.withColumn("key", url_dedupe_key(F.col("url"))))
-    stored = stored.join(stored.groupBy("key").agg(F.min("url").alias("url")), ["key", "url"], "left_semi")
-    links = durable(extract_links(stored).join(stored.select("url", F.col("key").alias("from_key")), "url"))
-    flags = links.select("from_key", "noindex").distinct()
-    frontier = durable(starts.select("site", "url", url_dedupe_key(F.col("url")).alias("key"), F.array(F.lit(0)).alias("place")))
+    keyed = pages.select("url", "content_type", "html", url_dedupe_key(F.col("url")).alias("key")).where("key is not null")
+    stored = written(keyed.join(keyed.groupBy("key").agg(F.min("url").alias("url")), ["key", "url"], "left_semi").dropDuplicates(["key"]), "stored")
+    frontier = written(starts.select("site", "url", url_dedupe_key(F.col("url")).alias("key"), F.array(F.lit(0)).alias("place")).where("key is not null"), "frontier")
     seen = frontier.select("site", "key")
     imported = skipped = None
     for depth in range(max_depth + 1):
         path = F.regexp_extract("url", r"^[^:]+://[^/?#]*([^?#]*)", 1)
         asked = robots_allowed(frontier.withColumn("path", F.when(path == "", "/").otherwise(path)), rules)
-        got = asked.join(stored.select("key", "content_type"), "key", "left").join(flags.withColumnRenamed("from_key", "key"), "key", "left")
         ext = content_type_ext(F.col("content_type"), CRAWL_TYPES)
-        reason = F.when(~F.col("allowed"), "robots").when(F.col("content_type").isNull(), "fetch-error").when(ext.isNull(), "unsupported").when((ext == ".html") & F.coalesce("noindex", F.lit(False)), "noindex")
-        told = got.withColumn("ext", ext).withColumn("reason", reason).withColumn("depth", F.lit(depth))
-        before = F.lit(0) if imported is None else F.coalesce("_had", F.lit(0))
-        if imported is not None:
-            told = told.join(imported.groupBy("site").agg(F.count("*").alias("_had")), "site", "left")
-        w = Window.partitionBy("site").orderBy("place")
-        own = F.when(F.col("reason").isNull(), 1).otherwise(0)
-        level = durable(told.withColumn("had", before + F.coalesce(F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("had") < max_pages))
+        got = written(asked.join(stored.select("key", "content_type"), "key", "left").withColumn("ext", ext), "asked")
+        reached = got.where("allowed and ext = '.html'").select("key").distinct()
+        links = written(extract_links(stored.join(reached, "key", "left_semi").select("url", "html")).join(stored.select("url", F.col("key").alias("from_key")), "url"), "links")
+        flags = links.select(F.col("from_key").alias("key"), "noindex").distinct()
+        reason = F.when(~F.col("allowed"), "robots").when(F.col("content_type").isNull(), "fetch-error").when(F.col("ext").isNull(), "unsupported").when(F.coalesce("noindex", F.lit(False)), "noindex")
+        told = got.join(flags, "key", "left").withColumn("reason", reason)
+        before = None if imported is None else imported.groupBy("site").agg(F.count("*").alias("had"))
+        level = written(_counted(told, before).where(F.col("had") < max_pages), "counted")
         new = level.where("reason is null").select("site", (F.col("had") + 1).alias("n"), "url", "ext")
         out = level.where("reason is not null").select("site", "url", "reason", F.when(F.col("reason") == "unsupported", F.substring_index("content_type", ";", 1)).alias("detail"))
         imported = new if imported is None else imported.unionByName(new)
@@ -262,6 +366,6 @@ def crawl_pages(pages: DataFrame, rules: DataFrame, starts: DataFrame, max_depth
         followed = level.where("ext = '.html' and (reason is null or reason = 'noindex')").select("site", F.col("key").alias("from_key"), "place")
         next_ = followed.join(links.where("key is not null").select("from_key", "key", "href", "pos"), "from_key").select("site", "key", F.col("href").alias("url"), F.concat("place", F.array("pos")).alias("place"))
         first = next_.groupBy("site", "key").agg(F.min(F.struct("place", "url")).alias("f")).select("site", "key", "f.url", "f.place")
-        frontier = durable(first.join(seen, ["site", "key"], "left_anti"))
-        seen = durable(seen.union(frontier.select("site", "key")))
+        frontier = written(first.join(seen, ["site", "key"], "left_anti"), "frontier")
+        seen = seen.union(frontier.select("site", "key"))
     return imported.withColumn("name", page_name(F.col("url"), F.col("ext"), F.col("n"))), skipped

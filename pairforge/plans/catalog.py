@@ -292,6 +292,16 @@ def url_dedupe_key(spark, d):
     return table(spark, d, "pages").select("page_id", web.url_dedupe_key(F.col("url")).alias("key"))
 
 
+_FORMED = """concat(regexp_extract(url, '^[^:]+://[^/?#]*', 0), CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/x/..' WHEN 2 THEN '/./%2E' ELSE '/y/./z/%2e./..' END, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1),
+CASE page_id % 3 WHEN 0 THEN "?b=x+y&a=~1&c=(1)%27" WHEN 1 THEN "?c=%281)'&b=x%20y&a=%7e1&utm_source=q" ELSE "?a=%7E1&b=x y&c=%28%31%29%27#frag" END)"""
+
+
+@query(rf"""WITH {_KEY} SELECT page_id, regexp_replace(key, '\?.*$', '') || '?a=%7E1&b=x+y&c=%281%29%27' AS key FROM key""")
+def url_forms(spark, d):
+    """The addresses with dot segments put in and one query spelled three ways: a page keeps one key."""
+    return table(spark, d, "pages").select("page_id", web.url_dedupe_key(F.expr(_FORMED)).alias("key"))
+
+
 @query(f"WITH {_KEY} SELECT min(page_id) AS page_id, key FROM key GROUP BY key")
 def dedupe_pages(spark, d):
     return web.dedupe_pages(table(spark, d, "pages")).select("page_id", "key")
@@ -340,7 +350,8 @@ def html_to_text(spark, d):
 
 
 _LINKS = r"""lp AS (SELECT page_id, url, regexp_extract(url, '^[^:]+://[^/?#]+', 0) AS origin, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), 1) - 1 AS pos FROM pages),
-lh AS (SELECT url, pos, lower(origin) AS origin, regexp_replace(replace(raw, '&amp;', '&'), '#.*$', '') AS there FROM lp),
+lh AS (SELECT url, pos, lower(origin) AS origin, array_to_string(list_transform(string_split(regexp_replace(replace(raw, '&amp;', '&'), '#.*$', ''), ''),
+  lambda c: CASE WHEN ord(c) > 126 THEN url_encode(c) ELSE c END), '') AS there FROM lp),
 lk AS (SELECT url, pos, origin || there AS href, origin || CASE WHEN length(there) > 1 THEN regexp_replace(there, '/$', '') ELSE there END AS key FROM lh),
 lg AS (SELECT url, key, min(pos)::INT AS pos, arg_max(href, pos) AS href FROM lk GROUP BY url, key)"""
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,25 @@ def test_urls(spark):
     assert all(r.same == r.got for r in df.withColumn("got", web.url_dedupe_key(F.col("a")) == web.url_dedupe_key(F.col("b"))).collect())
 
 
+def test_addresses_are_read_as_browsers_do(spark):
+    cases = {
+        "https://example.com/a/../b/./c": "https://example.com/b/c", "https://x.com/a/b/..": "https://x.com/a/", "https://x.com/a/.": "https://x.com/a/", "https://x.com/../../a": "https://x.com/a", "https://x.com/a/%2E%2e/b": "https://x.com/b",
+        "https://x.com/..a/.b/...": "https://x.com/..a/.b/...", "http:example.com": "http://example.com/", "https:\\\\x.com\\a\\..\\b": "https://x.com/b", "HTTP://X.com:80": "http://x.com/", "https://x.com:0443/": "https://x.com/", "https://x.com:8080?q": "https://x.com:8080/?q",
+        "https://x.com/a b\"<>`{}é^|": "https://x.com/a%20b%22%3C%3E%60%7B%7D%C3%A9%5E|", "https://x.com/?a b'é`": "https://x.com/?a%20b%27%C3%A9`", "https://x.com/#a b`'": "https://x.com/#a%20b%60'", "https://x.com/%7e%zz": "https://x.com/%7e%zz",
+        "https://x.com/?": "https://x.com/?", "https://x.com#": "https://x.com/#", "https://[::1]:9/": "https://[::1]:9/", "https://@x.com": "https://x.com/", "https://u:p@x.com/": "https://u:p@x.com/", "https://%65x.com/": "https://ex.com/", "https://x.com/😀": "https://x.com/%F0%9F%98%80",
+        "https://x y.com/": None, "https://x.com:99999/": None, "https://x.com:8a/": None, "https://": None, "mailto:a@b.com": None, "/a": None, "": None, "https://a%20b.com/": None, "https://x.com/a//../b": "https://x.com/a/b", "https://x.com/a\t/b": "https://x.com/a/b",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "raw string").withColumn("u", web.canonical_url(F.col("raw")))
+    assert {r.raw: r.u for r in df.collect()} == cases | {None: None}
+    keys = {
+        "https://x.com/a/../b/./c": "https://x.com/b/c", "https://x.com/p?q=(1)'&u=~": "https://x.com/p?q=%281%29%27&u=%7E", "https://x.com/p?u=%7e&q=%281%29%27": "https://x.com/p?q=%281%29%27&u=%7E", "https://x.com/p?q=a+b": "https://x.com/p?q=a+b", "https://x.com/p?q=a%20b": "https://x.com/p?q=a+b",
+        "https://x.com/p/?%75tm_source=1&x": "https://x.com/p?x=", "https://x.com/p?b=2&a=2&b=1&&a=1": "https://x.com/p?a=2&a=1&b=2&b=1", "https://x.com/p?q=100%&r=%zz": "https://x.com/p?q=100%25&r=%25zz", "https://x.com/p?a=b=c": "https://x.com/p?a=b%3Dc", "https://x.com/?ref=1#x": "https://x.com/",
+        "https://x.com/a//": "https://x.com/a/", "http:example.com": "http://example.com/", "example.com": None, "ftp://x.com/": None, "https://x.com/p?é=1": "https://x.com/p?%C3%A9=1",
+    }
+    df = spark.createDataFrame([(k,) for k in keys], "raw string").withColumn("u", web.url_dedupe_key(F.col("raw")))
+    assert {r.raw: r.u for r in df.collect()} == keys
+
+
 def test_robots_and_crawl(spark):
     text = "User-agent: bad\nDisallow: /\n\nUser-agent: *\nDisallow: /private # no\nAllow: /private/ok\n"
     rules = web.parse_robots(spark.createDataFrame([("s.org", text)], "site string, text string"))
@@ -162,6 +182,33 @@ def test_robots_and_crawl(spark):
     assert web.crawl_pages(df, rules, starts, 2, 2)[0].count() == 2
 
 
+def test_the_crawl_parses_reached_pages_only_and_counts_over_ranges(spark, monkeypatch, tmp_path):
+    n, log = 300, str(tmp_path / "parsed")
+    read = web._links.func
+
+    def noted(url, html):
+        with open(log, "a") as f:
+            f.writelines(u + "\n" for u in url)
+        return read(url, html)
+
+    def _links(url: pd.Series, html: pd.Series) -> pd.DataFrame:
+        return noted(url, html)
+
+    monkeypatch.setattr(web, "_links", F.pandas_udf(_links, web._links.returnType))
+    own = [("https://s.org/", "text/html", "".join(f'<a href="/p/{i}">x</a>' for i in range(n)))]
+    own += [(f"https://s.org/p/{i}", "text/html", ('<meta name="robots" content="noindex">' if i % 10 == 3 else "") + f'<a href="/q/{i}">x</a>') for i in range(n)]
+    own += [(f"https://s.org/q/{i}", "text/html", "") for i in range(n)]
+    df = spark.createDataFrame(own, "url string, content_type string, html string").repartition(4)
+    starts = spark.createDataFrame([("s.org", "https://s.org/")], "site string, url string")
+    rules = spark.createDataFrame([], "site string, allow boolean, path string")
+    got, skipped = web.crawl_pages(df, rules, starts, 1, 200)
+    want = ["https://s.org/", *(f"https://s.org/p/{i}" for i in range(n) if i % 10 != 3)][:200]
+    assert [r.url for r in got.orderBy("n").collect()] == want and sorted(r.n for r in got.collect()) == list(range(1, 201))
+    assert skipped.count() == sum(i % 10 == 3 for i in range(int(want[-1].rsplit("/", 1)[1])))
+    parsed = open(log).read().split()
+    assert len(parsed) == len(set(parsed)) == n + 1 and not any("/q/" in u for u in parsed)
+
+
 def test_html_and_xml(spark):
     html = "<body><nav>menu</nav><article><h1>T</h1><script>var x='</p>'</script><p>one<p>two <b>three<footer>end</footer></article><p>out</body>"
     df = spark.createDataFrame([(html, "<r><a>x  y</a> <b>z</b></r>"), ("", "<r>")], "html string, xml string")
