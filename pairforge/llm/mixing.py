@@ -41,7 +41,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in K.slices(whole, "text"):
             _, _, rows = K.spans(*K.flat(batch.column("text")), K.NOT_SPACE)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "tag", "h")), pa.array(np.diff(rows).astype(np.int64))], names=["doc_id", "source", "tag", "h", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "tag")), pa.array(np.diff(rows).astype(np.int64))], names=["doc_id", "source", "tag", "size"])
 
 
 def targets(sources: DataFrame, share: float, weights: Sequence[float], max_epochs: float) -> DataFrame:
@@ -85,28 +85,34 @@ def mix(
     curriculum: Mapping[float, Sequence[tuple[float, float]]] = CURRICULUM,
     whole: bool = False,
 ) -> DataFrame:
-    """(doc_id, tag, source, size, source_size, target, taken, position), a row for each document.
+    """(doc_id, tag, source, no, of, size, source_size, target, taken, position, …), a row for each document.
 
     position is that of the first copy (null if none is taken). At the end of a
     source's demand one document is cut so that the target is met exactly; with
     ``whole`` its last copy is taken whole or not at all, whichever is nearer.
+    Rows equal in id, source and text (tag) are one unit until the end, so however
+    many they are they are one row in a slice; no and of: which of them, and how many.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("tag"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
-    sized = written(given.mapInArrow(_sized, "doc_id long, source string, tag long, h long, size long"), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("tag"), "text")
+    sizes = given.mapInArrow(_sized, "doc_id long, source string, tag long, size long")
+    units = sizes.groupBy("doc_id", "source", "tag").agg(F.first("size").alias("size"), F.count("*").alias("of")).withColumn("all", F.col("size") * F.col("of"))
+    units = written(units.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "tag")), "units")
+    sources = units.groupBy("source").agg(F.sum("all").alias("source_size"), F.count("*").alias("rows"))
     goal = written(targets(sources, share, weights, max_epochs), "targets")
     biggest = goal.agg(F.max("rows")).first()[0] or 0
     bits = max(1, (biggest // SLICE_ROWS).bit_length())
-    placed = sized.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "inner").drop("_source", "rows").withColumn("slice", F.shiftrightunsigned("h", 64 - bits))
-    sums = placed.groupBy("place", "slice").agg(F.sum("size").alias("n"))
+    placed = units.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "inner").drop("_source", "rows").withColumn("slice", F.shiftrightunsigned("h", 64 - bits))
+    sums = placed.groupBy("place", "slice").agg(F.sum("all").alias("n"))
     before = sums.select("place", "slice", F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = Window.partitionBy("place", "slice").orderBy("h", "doc_id", "size", "tag").rowsBetween(Window.unboundedPreceding, -1)
-    at = placed.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, ["place", "slice"]).withColumn("at", F.col("at") + F.col("before"))
+    at = placed.withColumn("at", F.coalesce(F.sum("all").over(inside), F.lit(0))).join(before, ["place", "slice"]).withColumn("at", F.col("at") + F.col("before"))
+    each = at.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), "of"))).withColumn("at", F.col("at") + (F.col("no") - 1) * F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long") - F.col("at")
     part = F.when(rest * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    taken = at.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
-    return taken.withColumn("position", F.when(F.col("taken") > 0, _position(F.col("at"), curriculum))).select("doc_id", "tag", "source", "size", "source_size", "target", "taken", "position", "weight", "at")
+    taken = each.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
+    position = F.when(F.col("taken") > 0, _position(F.col("at"), curriculum))
+    return taken.withColumn("position", position).select("doc_id", "tag", "source", "no", "of", "size", "source_size", "target", "taken", "position", "weight", "at")
 
 
 def _position(at: Column, curriculum: Mapping[float, Sequence[tuple[float, float]]]) -> Column:
@@ -120,23 +126,29 @@ def _position(at: Column, curriculum: Mapping[float, Sequence[tuple[float, float
 def mixed_documents(docs: DataFrame, curriculum: Mapping[float, Sequence[tuple[float, float]]] = CURRICULUM, **options) -> DataFrame:
     """The columns of ``docs``, a row for each whole copy that the mix takes, range-sorted by training position."""
     plain, name = positional(docs)
-    tagged = plain.withColumn("tag", F.xxhash64(name["text"])).withColumn("doc_id", F.col(name["doc_id"]).cast("long"))
-    given = tagged.select("doc_id", F.col(name["source"]).alias("source"), "tag", F.col(name["text"]).alias("text"))
-    plan = written(mix(given, curriculum=curriculum, whole=True, **options).select("doc_id", "tag", "size", "target", "source_size", "weight", "at", "taken"), "plan")
-    taken = plan.where("taken > 0")
-    copies = taken.select("doc_id", "tag", "target", "source_size", "weight", "at", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))).alias("copy"))
-    placed = copies.select(F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag"), _position(F.col("at") + F.col("copy") * F.col("source_size"), curriculum).alias("position"))
-    on = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("tag") == F.col("its_tag"))
-    times = written(plan.groupBy(F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag")).agg(F.count("*").alias("of")).where("of > 1"), "repeated")
-    if times.isEmpty():
-        out = tagged.join(sized(written(placed, "placed"), 120), on)
-    else:
-        # rows equal in id and text are interchangeable: number both sides, and give each row every of-th copy
-        single = tagged.join(sized(times, 64), on, "left_anti").join(placed, on)
-        many = tagged.join(sized(times, 64), on).withColumn("no", F.row_number().over(Window.partitionBy("its_id", "its_tag").orderBy("doc_id"))).drop("its_id", "its_tag")
-        copy = placed.join(sized(times.select("its_id", "its_tag"), 64).withColumnsRenamed({"its_id": "own_id", "its_tag": "own_tag"}), F.col("its_id").eqNullSafe(F.col("own_id")) & (F.col("its_tag") == F.col("own_tag")), "left_semi")
-        copy = copy.withColumn("copy", F.row_number().over(Window.partitionBy("its_id", "its_tag").orderBy("position")))
-        out = single.select(*tagged.columns, "position").unionByName(many.join(copy, on & ((F.col("copy") - 1) % F.col("of") + 1 == F.col("no"))).select(*tagged.columns, "position"))
+    own = ["doc_id", "own_source", "tag"]
+    tagged = plain.withColumn("tag", F.xxhash64(name["text"])).withColumn("doc_id", F.col(name["doc_id"]).cast("long")).withColumn("own_source", F.col(name["source"]).cast("string"))
+    given = tagged.select("doc_id", F.col("own_source").alias("source"), "tag", F.col(name["text"]).alias("text"))
+    plan = written(mix(given, curriculum=curriculum, whole=True, **options).drop("position"), "plan")
+    its = [F.col(c).alias(f"its_{c}") for c in ("doc_id", "source", "tag")]
+    copies = plan.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
+    placed = written(copies.select(*its, "of", F.col("no").alias("its_no"), _position(F.col("at") + F.col("copy") * F.col("source_size"), curriculum).alias("position")), "placed")
+    on = F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & F.col("own_source").eqNullSafe(F.col("its_source")) & (F.col("tag") == F.col("its_tag"))
+    # most rows are the only ones of their id, source and text
+    out = tagged.join(sized(placed.where("of = 1"), 120), on).select(*tagged.columns, "position")
+    repeated = written(plan.where("of > 1 and no = 1").select(*its), "repeated")
+    if not repeated.isEmpty():
+        # the others are numbered by the part they were written in, and what the parts before hold: no group meets in one task
+        many = written(tagged.join(sized(repeated, 80), on, "left_semi").withColumn("part", F.spark_partition_id()), "many")
+        held = many.groupBy("part", *own).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = written(held.select(*(F.col(c).alias(f"b_{c}") for c in ("part", *own)), before.alias("before")), "held")
+        numbered = many.withColumn("row", F.row_number().over(Window.partitionBy("part", *own).orderBy("part")))
+        same = F.col("part") == F.col("b_part")
+        for c in own:
+            same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+        numbered = numbered.join(sized(held, 80), same).withColumn("row", F.col("row") + F.col("before"))
+        out = out.unionByName(numbered.join(placed.where("of > 1"), on & (F.col("row") == F.col("its_no"))).select(*tagged.columns, "position"))
     ordered = out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
     return ordered.select(*plain.columns).toDF(*docs.columns)
 

@@ -44,7 +44,25 @@ def test_taken_words_equal_the_model(spark, monkeypatch, seed):
         rows.append((i, " ".join("w" for _ in range(rng.randrange(0, 40 if source != "a" else 3))), source))
     rows += [(300, None, "a"), (301, "", "only empty")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "doc_id", F.xxhash64("text").alias("tag"), "source", "text")
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")).alias("h"), "doc_id", F.xxhash64("text").alias("tag"), "source", "text")
     want = taken_by_model([tuple(r) for r in keyed.collect()])
     got = {(r.doc_id, r.tag): r.taken for r in mixing.mix(docs).collect()}
     assert got == want
+
+
+def test_equal_rows_and_null_ids_are_spread(spark, monkeypatch):
+    """A third of null ids fall into many slices, and rows that are equal are one unit of them."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 50)
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"), F.lit("one").alias("source"))
+    seen = []
+    real = mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name: (seen.append((name, real(df, name))), seen[-1][1])[1])
+    assert mixing.mix(docs).count() == 3000
+    units = dict(seen)["units"]
+    assert units.groupBy(F.shiftrightunsigned("h", 64 - 6)).count().agg(F.max("count")).first()[0] < 100
+    same = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit("one two three").alias("text"), F.lit(None).cast("string").alias("source"), F.lit("x").alias("lang"))
+    rest = spark.createDataFrame([(1, "a b", "s", "y"), (1, "a b", "s", "z"), (1, "a b", "t", "u"), (None, "c", "s", "v")], "doc_id int, text string, source string, lang string")
+    out = mixing.mixed_documents(same.union(rest), share=1.0, max_epochs=1.0)
+    assert dict(seen)["units"].where("doc_id = 7").count() == 1
+    got = {tuple(r)[:4]: r["count"] for r in out.groupBy(*out.columns).count().collect()}
+    assert got == {(7, "one two three", None, "x"): 20_000, (1, "a b", "s", "y"): 1, (1, "a b", "s", "z"): 1, (1, "a b", "t", "u"): 1, (None, "c", "s", "v"): 1}
