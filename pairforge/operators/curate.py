@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import half_up
@@ -74,15 +74,25 @@ def order_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy("doc_id", "chunk_index", "voice_index", "item_index")
 
 
-def dataset_stats(pairs: DataFrame, validation_ratio: float = 0.0) -> DataFrame:
-    """One row: counts by type, estimated tokens, sizes of both splits."""
+def _stats(validation_ratio: float) -> list[Column]:
     chars = F.coalesce(F.sum(F.length(F.coalesce("instruction", F.lit(""))) + F.length(F.coalesce("output", F.lit("")))), F.lit(0))
     n = F.count("*")
     val = F.lit(0) if validation_ratio <= 0 else n if validation_ratio >= 1 else F.when(n > 0, F.greatest(F.lit(1), half_up(n * validation_ratio))).otherwise(0)
-    return pairs.agg(
+    return [
         F.count_if(F.col("type") == "factual").alias("factual"), F.count_if(F.col("type") == "instruction").alias("instruction"),
         half_up(chars / 4).cast("long").alias("tokens"), (n - val).cast("long").alias("train"), val.cast("long").alias("val"),
-    )
+    ]
+
+
+def dataset_stats(pairs: DataFrame, validation_ratio: float = 0.0) -> DataFrame:
+    """One row: counts by type, estimated tokens, sizes of both splits."""
+    return pairs.agg(*_stats(validation_ratio))
+
+
+def with_stats(pairs: DataFrame, validation_ratio: float = 0.0) -> tuple[DataFrame, Observation]:
+    """``pairs`` and the same numbers, which fill while they are written or counted: no scan of their own."""
+    seen = Observation()
+    return pairs.observe(seen, *_stats(validation_ratio)), seen
 
 
 def personas_present(pairs: DataFrame) -> DataFrame:

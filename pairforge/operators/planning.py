@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import js_trim
@@ -41,7 +41,7 @@ def describe_persona() -> Column:
 
 
 def build_specs(chunks: DataFrame, pair_count: int, voices: DataFrame | None = None) -> DataFrame:
-    """A row for each request: chunks (doc_id, index, total, …) times voices, with the pairs it has to give.
+    """A row for each request: chunks (doc_id, index, total, …) times voices (voice_index, id, and persona and persona_name where prompts shall show them), with the pairs it has to give.
 
     Chunks beyond the pairs a voice can give are cut off; the raw number stays as n_chunks_raw.
     """
@@ -51,8 +51,9 @@ def build_specs(chunks: DataFrame, pair_count: int, voices: DataFrame | None = N
     cut = chunks.withColumn("n_chunks_raw", F.col("total")).where(F.col("index") < most).withColumn("total", F.least("total", F.lit(most)))
     if not given:
         crossed = cut.withColumn("voice_index", F.lit(0)).withColumn("persona_id", F.lit(None).cast("string"))
-    else:  # one row a persona of the run
-        crossed = cut.crossJoin(F.broadcast(voices.select("voice_index", F.col("id").alias("persona_id"))))
+    else:  # one row a persona of the run; their places are counted anew, since unknown ones leave gaps
+        place = (F.row_number().over(Window.orderBy("voice_index")) - 1).alias("voice_index")
+        crossed = cut.crossJoin(F.broadcast(voices.select(place, F.col("id").alias("persona_id"), *(c for c in ("persona", "persona_name") if c in voices.columns))))
     slots, slot = F.col("total") * n_voices, F.col("index") * n_voices + F.col("voice_index")
     n = F.floor(F.lit(pair_count) / slots) + F.when(slot < F.lit(pair_count) % slots, 1).otherwise(0)
     return crossed.withColumn("pairs", n.cast("int")).where("pairs > 0")

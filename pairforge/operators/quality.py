@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import js_trim
@@ -43,8 +43,18 @@ def validate_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
 
 
-def quality_summary(validated: DataFrame) -> DataFrame:
-    """One row: error_count, warn_count (warnings only), flagged_count."""
+def _summary() -> list[Column]:
     error = F.exists("issues", lambda x: x["severity"] == "error")
     some = F.size("issues") > 0
-    return validated.agg(F.count_if(error).alias("error_count"), F.count_if(some & ~error).alias("warn_count"), F.count_if(some).alias("flagged_count"))
+    return [F.count_if(error).alias("error_count"), F.count_if(some & ~error).alias("warn_count"), F.count_if(some).alias("flagged_count")]
+
+
+def quality_summary(validated: DataFrame) -> DataFrame:
+    """One row: error_count, warn_count (warnings only), flagged_count."""
+    return validated.agg(*_summary())
+
+
+def with_summary(validated: DataFrame) -> tuple[DataFrame, Observation]:
+    """``validated`` and the summary that fills while it is written or counted: no scan of its own."""
+    seen = Observation()
+    return validated.observe(seen, *_summary()), seen

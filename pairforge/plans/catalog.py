@@ -143,6 +143,21 @@ def validate_pairs(spark, d):
     return quality.validate_pairs(conversation_pairs(spark, d)).select("id", F.array_join(F.col("issues.code"), ",").alias("codes"))
 
 
+_SAID = """{'empty_instruction': 'no instruction', 'short_instruction': 'the instruction has just ' || length(i) || ' characters', 'empty_output': 'no output',
+'short_output': 'the output has just ' || length(o) || ' characters', 'truncated_output': 'the output ends without closing punctuation', 'source_leak': 'the output speaks of its source',
+'long_output': 'the output has ' || format('{:,}', length(o)) || ' characters', 'factual_no_question': 'a factual instruction that asks no question', 'echo': 'the output repeats the instruction',
+'bad_type': 'unknown type "' || type || '"'}"""
+
+
+@query(f"""{_VALID}, told AS (SELECT v.id, unnest(v.issues) AS code, generate_subscripts(v.issues, 1) AS n, {_SAID} AS w FROM v JOIN t ON t.id = v.id)
+SELECT id, n::INT AS n, code, CASE WHEN code IN ('empty_instruction', 'short_instruction', 'empty_output', 'short_output', 'truncated_output') THEN 'error' ELSE 'warn' END AS severity,
+CASE code {" ".join(f"WHEN '{c}' THEN w.{c}" for c in ("empty_instruction", "short_instruction", "empty_output", "short_output", "truncated_output", "source_leak", "long_output", "factual_no_question", "echo", "bad_type"))} END AS message FROM told""")
+def pair_issues(spark, d):
+    """Every issue of every pair with its place, severity and message."""
+    found = quality.validate_pairs(conversation_pairs(spark, d)).select("id", F.posexplode("issues").alias("n", "x"))
+    return found.select("id", (F.col("n") + 1).alias("n"), "x.code", "x.severity", "x.message")
+
+
 _ERR = "len(list_filter(issues, lambda x: x IN ('empty_instruction', 'short_instruction', 'empty_output', 'short_output', 'truncated_output')))"
 
 
@@ -344,7 +359,22 @@ def parse_robots(spark, d):
     return web.parse_robots(lines).distinct()
 
 
-@query()
+@query(r"""WITH tok AS (
+  SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS n
+  FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>|[^<]+') AS x FROM pages)),
+tag AS (SELECT *, lower(regexp_extract(t, '^</?([a-zA-Z0-9]+)', 1)) AS tag, starts_with(t, '</') AS ends FROM tok WHERE t NOT LIKE '<!%' AND t NOT LIKE '<script%' AND t NOT LIKE '<style%'),
+ev AS (
+  SELECT *, sum(CASE WHEN tag = 'article' AND NOT ends THEN 1 ELSE 0 END) OVER w AS nth,
+         sum(CASE WHEN tag <> 'article' THEN 0 WHEN ends THEN -1 ELSE 1 END) OVER w AS inside,
+         sum(CASE WHEN tag NOT IN ('nav', 'header', 'footer', 'aside', 'form', 'button', 'noscript', 'iframe', 'svg') THEN 0 WHEN ends THEN -1 ELSE 1 END) OVER w AS noise,
+         last_value(CASE WHEN tag = 'p' THEN NOT ends END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p_open
+  FROM tag WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+piece AS (
+  SELECT page_id, n, CASE WHEN tag = '' THEN replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')
+         WHEN tag = 'br' OR t = '</h1>' OR (tag = 'p' AND p_open) THEN chr(10) ELSE '' END AS s
+  FROM ev WHERE nth = 1 AND inside = 1 AND noise = 0),
+whole AS (SELECT page_id, regexp_replace(regexp_replace(string_agg(s, '' ORDER BY n), '[ \t\x{00a0}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS s FROM piece GROUP BY page_id)
+SELECT page_id, regexp_replace(regexp_replace(s, '(?m)^[ \t]+|[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM whole""")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", web.html_to_text(F.col("html")).alias("text"))
 
@@ -437,10 +467,13 @@ def select_first(spark, d):
     return listing.select_first(listing.partition_listing(_files(spark, d))[0], 200).select("id", "path")
 
 
-@query(r"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g')) < 25 THEN 'too-short' END AS reject_reason FROM documents")
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'unsupported' WHEN length(regexp_replace(coalesce(text, ''), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g')) < 25 THEN 'too-short' END AS reject_reason,
+CASE doc_id % 3 WHEN 0 THEN 'prose' WHEN 1 THEN CASE WHEN doc_id % 9 <> 4 THEN 'code' END ELSE 'data' END AS kind FROM documents""")
 def accept_documents(spark, d):
-    good, bad = listing.accept_documents(table(spark, d, "documents").select("doc_id", "text", F.concat("lang", F.lit(".txt")).alias("name")))
-    return good.select("doc_id", F.lit(None).cast("string").alias("reject_reason")).union(bad.select("doc_id", "reject_reason"))
+    """Documents under names of three kinds, some of no kind."""
+    name = F.expr("concat('d', doc_id, CASE WHEN doc_id % 9 = 4 THEN '.bmp' WHEN doc_id % 3 = 0 THEN '.TXT' WHEN doc_id % 3 = 1 THEN '.py' ELSE '.csv' END)")
+    good, bad = listing.accept_documents(table(spark, d, "documents").select("doc_id", "text", name.alias("name")))
+    return good.select("doc_id", F.lit(None).cast("string").alias("reject_reason"), "kind").union(bad.select("doc_id", "reject_reason", "kind"))
 
 
 @query("""SELECT row_number() OVER (ORDER BY c_custkey) AS n, 'Record ' || row_number() OVER (ORDER BY c_custkey) || chr(10) || 'c_custkey: ' || c_custkey || chr(10) || 'c_name: ' || trim(c_name) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || 'segment: ' || trim(c_mktsegment) END AS text FROM customer""")
@@ -613,14 +646,14 @@ def _code_break(st: str) -> str:
     WHEN strpos({any_}, chr(10)) > 0 THEN {st} + 3200 + length({any_}) - strpos(reverse({any_}), chr(10)) + 1 ELSE {st} + 4000 END"""
 
 
-@query(f"""WITH RECURSIVE sec AS (SELECT doc_id, {_SECTION} AS text FROM documents WHERE doc_id % 5 = 0),
+@query(f"""WITH RECURSIVE sec AS (SELECT doc_id, {_SECTION} AS text FROM documents),
 w(doc_id, text, index, st, fin) AS (SELECT doc_id, text, 0, 0, CASE WHEN length(text) <= 4000 THEN length(text) ELSE {_code_break('0')} END FROM sec
   UNION ALL SELECT doc_id, text, index + 1, st, CASE WHEN st + 4000 >= length(text) THEN length(text) ELSE {_code_break('st')} END
   FROM (SELECT doc_id, text, index, greatest(st + 1, fin - 300) AS st, fin FROM w WHERE fin < length(text)))
 SELECT doc_id, index::INT AS index, count(*) OVER (PARTITION BY doc_id)::INT AS total, st::INT AS start, fin::INT AS "end", md5(substr(text, st + 1, fin - st)) AS digest FROM w""")
 def chunk_code(spark, d):
-    """Documents of kind code: every fifth, with line feeds and indented lines put in."""
-    docs = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.expr(_SECTION).alias("text"), F.lit("code").alias("kind"))
+    """All documents as code, with line feeds and indented lines put in."""
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_SECTION).alias("text"), F.lit("code").alias("kind"))
     return chunking.chunk_documents(docs).select("doc_id", "index", "total", "start", "end", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -737,3 +770,66 @@ def recover_failed(spark, d):
     pairs, failures = generate.parse_responses(first.select(*generate.KEY, "response", "error"))
     whole, _ = ledgers.recover(pairs, own, failures, healthy, ledger, styles=["factual"])
     return whole.select("doc_id", "chunk_index", "item_index", *_digests("instruction", "output"))
+
+
+_RAGGED = """concat(c_custkey, ',', '"', c_name, '""x"" ', chr(10), '", ', c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ',' WHEN 2 THEN ',,last"," one' ELSE concat(',', chr(13)) END,
+CASE WHEN c_custkey % 5 = 0 THEN concat(chr(10), ' , ') ELSE '' END)"""
+
+
+@query("""SELECT c_custkey, c_name || '"x" ' || chr(10) AS name, ' ' || c_mktsegment AS segment, CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 2 THEN 5 ELSE 4 END AS n_cells, CASE WHEN c_custkey % 4 = 2 THEN 'last, one' END AS last FROM customer""")
+def read_delimited(spark, d):
+    """Customers written as delimited files with quotes, line feeds in cells, rows of three to five cells and blank rows, and read back."""
+    out, c = _output(spark, "delimited"), table(spark, d, "customer")
+    c.select(F.expr(_RAGGED.replace("chr(", "char(")).alias("value")).write.text(out)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return files.read_delimited(spark, out).select(cell(0).cast(dict(c.dtypes)["c_custkey"]).alias("c_custkey"), cell(1).alias("name"), cell(2).alias("segment"), F.size("cells").alias("n_cells"), cell(4).alias("last"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 > 1 THEN trim(regexp_replace(c_name || ' & <' || c_mktsegment || '> ' || c_custkey, '\\s+', ' ', 'g')) END AS text,
+CASE c_custkey % 7 WHEN 0 THEN 'malformed' WHEN 1 THEN 'no text' END AS reject_reason FROM customer""")
+def xml_to_text(spark, d):
+    """Customers as XML: one in seven is broken in one of three ways, and one in seven has no text."""
+    broken = "CASE c_custkey % 3 WHEN 0 THEN '<c><n>x</c>' WHEN 1 THEN '<c>a & b</c>' ELSE '<c/><c/>' END"
+    body = "concat('<c id=\"', c_custkey, '\"><n>', c_name, '</n> &amp;\\n<![CDATA[ <', c_mktsegment, '>]]>  <k>', c_custkey, '</k><!-- no --></c>')"
+    xml = F.expr(f"CASE c_custkey % 7 WHEN 0 THEN {broken} WHEN 1 THEN '<c><n> </n></c>' ELSE {body} END")
+    good, bad = files.xml_documents(table(spark, d, "customer").select("c_custkey", xml.alias("text")))
+    return good.select("c_custkey", "text", F.lit(None).cast("string").alias("reject_reason")).union(bad.select("c_custkey", F.lit(None).cast("string"), "reject_reason"))
+
+
+@query("""SELECT c_nationkey AS nation, md5(string_agg(c_name, chr(10) || ' ' ORDER BY c_custkey)) AS digest, 5 + sum(strlen(c_name) + 2)::BIGINT AS size FROM customer GROUP BY c_nationkey""")
+def read_text_documents(spark, d):
+    """Customers of each nation as a text file with blanks around, read back as a document."""
+    out = _output(spark, "texts")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), "\n ")
+    lists = table(spark, d, "customer").groupBy("c_nationkey").agg(names.alias("names"))
+    lists.select("c_nationkey", F.concat(F.lit("\n\t "), "names", F.lit(" \u00a0")).alias("value")).write.partitionBy("c_nationkey").text(out)
+    nation = F.regexp_extract("path", "c_nationkey=(\\d+)", 1).cast(dict(table(spark, d, "customer").dtypes)["c_nationkey"])
+    return files.read_text_documents(spark, out).select(nation.alias("nation"), F.md5(F.col("text").cast("binary")).alias("digest"), "size")
+
+
+_VOICES = f"""voices AS (
+  SELECT 0 AS v, 'NATION_3' AS name, {_quoted(planning.PERSONA_HEAD)} || ' NATION_3' || chr(10) || {" || chr(10) || ".join(_quoted(f"{label}: {value}.") for (_, label), value in zip(planning.PERSONA_LINES, ("changed", "", "", "", ""), strict=True))} AS persona
+  UNION ALL SELECT 1, n_name, {_quoted(planning.PERSONA_HEAD)} || ' ' || n_name || chr(10) || {" || chr(10) || ".join(_quoted(f"{label}: ") + (" || 'region ' || n_regionkey" if not i else "") + " || '.'" for i, (_, label) in enumerate(planning.PERSONA_LINES))} FROM nation WHERE n_name = 'NATION_9'
+  UNION ALL SELECT 2, 'Custom', {_quoted(planning.PERSONA_HEAD)} || chr(10) || 'a careful reader')"""
+_VOICED = f"""WITH RECURSIVE {CHUNKS_SQL}, {_VOICES},
+vs AS (
+  SELECT doc_id, index, v, name, persona, text, least(total, 3) AS total, least(total, 3) * 3 AS slots, index * 3 + v AS slot FROM k, voices WHERE index < 3),
+vp AS (SELECT *, 10 // slots + CASE WHEN slot < 10 % slots THEN 1 ELSE 0 END AS pairs FROM vs),
+vq AS (SELECT doc_id, index, v, name, persona, pairs, {_CHUNK_PROMPT} FROM vp WHERE pairs > 0)"""
+
+
+@query(f"""{_VOICED} SELECT doc_id, index::INT AS chunk_index, v::INT AS voice_index, pairs::INT AS pairs,
+md5(system || chr(10) || chr(10) || persona || chr(10) || chr(10) || 'Ask and answer for this person without naming or addressing them; the facts stay those of the text.') AS system,
+md5(regexp_replace(q, '^([^\n]*)', '\\1' || chr(10) || chr(10) || 'Every pair must be written from the point of view of: ' || name || '.')) AS user FROM vq""")
+def voice_prompts(spark, d):
+    """Voices end to end: chosen from the nations (one overridden, one unknown, one in free text), crossed with chunks, described and put into prompts."""
+    n = table(spark, d, "nation")
+    blank = [F.lit("").alias(c) for c in ("goal", "context", "expertise", "asks")]
+    library = n.select(F.col("n_name").alias("id"), F.col("n_name").alias("name"), F.lit("").alias("summary"), F.concat(F.lit("region "), F.col("n_regionkey")).alias("role"), *blank)
+    over = library.where("id = 'NATION_3'").select("id", *(F.lit("changed" if c == "role" else None).cast("string").alias(c) for c in planning.FIELDS))
+    voices = planning.resolve_personas(library, ["NATION_3", "nowhere", "NATION_9", "custom"], over, " a careful reader ")
+    voices = voices.select("voice_index", "id", planning.describe_persona().alias("persona"), F.col("name").alias("persona_name"))
+    chunks = chunking.chunk_documents(table(spark, d, "documents").select("doc_id", "text"))
+    prompts = planning.build_prompts(planning.build_specs(chunks, 10, voices), ["factual"], "basic")
+    digest = lambda i: F.md5(F.col("messages")[i]["content"].cast("binary"))
+    return prompts.select("doc_id", F.col("index").alias("chunk_index"), F.col("voice_index").cast("int").alias("voice_index"), "pairs", digest(0).alias("system"), digest(1).alias("user"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -18,19 +19,37 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).select("path", "name", "text", "size")
 
 
+def _quoted_runs(plain: str) -> str:
+    """A pattern for characters of the class ``plain`` and quoted sections, in any order; a quote that is never closed runs to the end."""
+    return rf'{plain}*+(?:"[^"]*+(?:"|\z){plain}*+)*+'
+
+
+def _cell(raw: Column) -> Column:
+    """What a cell says: quoted sections without their quotes, doubled quotes as one, no carriage returns outside."""
+    pieces = F.regexp_extract_all(raw, F.lit(r'(?s)"[^"]*+(?:""[^"]*+)*+(?:"|\z)|[^"]++'), 0)
+    inner = lambda x: F.replace(F.regexp_extract(x, r'(?s)^"([^"]*+(?:""[^"]*+)*+)', 1), F.lit('""'), F.lit('"'))
+    said = F.array_join(F.transform(pieces, lambda x: F.when(x.startswith('"'), inner(x)).otherwise(F.translate(x, "\r", ""))), "")
+    return F.when(raw.contains('"'), said).otherwise(F.translate(raw, "\r", ""))
+
+
+def split_delimited(files: DataFrame, delimiter: str = ",") -> DataFrame:
+    """(path, ord, cells): the rows of files (path, value), each with as many cells as it has; blank rows are left out.
+
+    A file's text is cut into rows, and each row into cells, by patterns that know
+    quotes: one pass, whatever the widths, and a row of its own for each line.
+    """
+    d = re.escape(delimiter)
+    rows = F.regexp_extract_all("value", F.lit(rf'(?s){_quoted_runs("[^" + chr(34) + chr(92) + "n]")}(?:\n|\z)'), 0)
+    line = F.regexp_replace("line", r"\n\z", "")
+    each = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf'(?s){d}({_quoted_runs("[^" + chr(34) + d + "]")})'), 1)
+    cells = F.transform(each, _cell)
+    out = files.select("path", F.posexplode(rows).alias("ord", "line")).select("path", F.col("ord").cast("long").alias("ord"), cells.alias("cells"))
+    return out.where(F.exists("cells", lambda c: js_trim(c) != ""))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Rows of cells and _metadata, wide as the widest row: quoted delimiters and line feeds, doubled quotes; blank rows are left out."""
-    width = 32
-    while True:  # the reader drops cells beyond its schema: widen it until the last column stays empty
-        schema = ", ".join(f"_c{i} string" for i in range(width))
-        plain = spark.read.csv(path, schema=schema, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, enforceSchema=True)
-        filled = plain.agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in plain.columns)).first()
-        if not filled[-1]:
-            break
-        width *= 2
-    last = max((i for i, some in enumerate(filled) if some), default=0)
-    plain = plain.select(*plain.columns[: last + 1], "_metadata")
-    return plain.where(F.coalesce(*(F.when(js_trim(F.col(c)) != "", F.lit(True)) for c in plain.columns[:-1]), F.lit(False)))
+    """(path, ord, cells) of delimited files, which are read whole (5 MiB is the limit of listings)."""
+    return split_delimited(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), delimiter)
 
 
 def is_header(cells: Column, n_rows: Column) -> Column:
@@ -75,7 +94,12 @@ def delimited_documents(rows: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """(path, text): delimited files as documents of labelled records."""
-    rows = read_delimited(spark, path, delimiter)
-    cells = F.array(*(F.col(c) for c in rows.columns[:-1]))
-    width = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
-    return delimited_documents(rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"), F.slice(cells, 1, width).alias("cells")))
+    return delimited_documents(read_delimited(spark, path, delimiter))
+
+
+def xml_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected with reject_reason) of files (text, …): the text of each, or that it is malformed or has none."""
+    read = files.withColumn("text", xml_to_text(F.col("text")))
+    reason = F.when(F.col("text").isNull(), "malformed").when(F.col("text") == "", "no text")
+    seen = read.withColumn("reject_reason", reason)
+    return seen.where("reject_reason is null").drop("reject_reason"), seen.where("reject_reason is not null").drop("text")

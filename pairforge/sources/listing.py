@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pairforge.functions.indexing import durable
+from pairforge.functions.indexing import written
 from pairforge.functions.text import js_trim
 
 #: Extensions by kind.
@@ -28,6 +28,7 @@ SECRET_NAMES = (
     r"^secrets?\.(json|ya?ml|toml|ini|txt)$", r"^id_(rsa|dsa|ecdsa|ed25519)(\.pub)?$", r"^known_hosts$", r"^service[-_]?account.*\.json$",
     r"^.*[-_.](secret|secrets|credential|credentials|token|password)s?\.(json|ya?ml|toml|ini|txt|env)$",
 )
+REASONS = ("secret", "noise", "empty", "too-large", "unsupported")
 MAX_BYTES = 5 * 1024 * 1024
 MIN_CHARS = 25
 NOMINAL_BYTES = 4096
@@ -84,6 +85,16 @@ def partition_listing(listing: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     return seen.where("not excluded").drop("excluded", "reason", "detail"), out, out.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def partition_written(listing: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The same with one pass: the classified listing is written under ``path``, and counts by reason are observed on the way."""
+    tally = Observation()
+    counts = (F.count_if(F.col("reason") == r).alias(r) for r in REASONS)
+    classify_paths(listing).observe(tally, *counts).write.partitionBy("excluded").parquet(path)
+    seen = listing.sparkSession.read.parquet(path)
+    by_reason = {r: n for r, n in tally.get.items() if n}
+    return seen.where("excluded = 'false'").drop("excluded", "reason", "detail"), seen.where("excluded = 'true'").withColumn("excluded", F.lit(True)), by_reason
+
+
 def select_first(listing: DataFrame, n: int = 200) -> DataFrame:
     """The first ``n`` by path (ties by id, where there is one): a top-k, as the feature asks."""
     return listing.orderBy("path", *(c for c in ("id",) if c in listing.columns)).limit(n)
@@ -98,14 +109,24 @@ def render_records(rows: DataFrame, columns: list[str], order: list[str]) -> Dat
 
 
 def listing_paths(nodes: DataFrame) -> DataFrame:
-    """(id, path, name, size): full paths of the files of a folder tree (id, parent_id, name, mime, size, is_folder)."""
+    """(id, path, name, size): full paths of the files of a folder tree (id, parent_id, name, mime, size, is_folder).
+
+    Each node knows an ancestor and the path from below it; in every round it takes over its ancestor's
+    ancestor and path, so the ways double and rounds grow with the logarithm of the depth. Nodes whose
+    way up ends at no root (a missing parent, a parent that is no folder, a ring) have no path.
+    """
     native = F.when(F.col("mime").endswith("document"), ".txt").when(F.col("mime").endswith("spreadsheet"), ".csv").otherwise("")
     native = F.when(F.col("mime").startswith("application/vnd.google-apps."), native).otherwise("")
     shown = nodes.withColumn("name", F.concat("name", F.when(F.col("is_folder"), "").otherwise(native)))
-    level = durable(shown.where("parent_id is null").select("id", F.col("name").alias("path"), "is_folder"))
-    done = level.where("not is_folder")
-    while level.head(1):
-        level = durable(shown.join(level.where("is_folder").select(F.col("id").alias("parent_id"), F.col("path").alias("_p")), "parent_id").select("id", F.concat_ws("/", "_p", "name").alias("path"), "is_folder"))
-        done = done.union(level.where("not is_folder"))
+    state = written(shown.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"), "is_folder"), "tree")
+    waiting = state.where("up is not null").count()
+    while waiting:
+        above = state.where("is_folder").select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        way = state.where("up is not null").join(above, F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"), "is_folder")
+        state = written(state.where("up is null").unionByName(way), "tree")
+        left = state.where("up is not null").count()
+        if left == waiting:  # every open way up that ends passes a node that ends in this round: these are rings
+            break
+        waiting = left
     size = F.when(F.coalesce("size", F.lit(0)) == 0, F.lit(NOMINAL_BYTES)).otherwise(F.col("size")).cast("long")
-    return done.select("id", "path").join(shown.select("id", "name", size.alias("size")), "id")
+    return state.where("up is null and not is_folder").select("id", "path").join(shown.select("id", "name", size.alias("size")), "id")

@@ -277,6 +277,58 @@ def test_delimited_files_become_documents(spark, tmp_path):
     assert got["head.csv"] == "Record 1\nonly: second\na header: row"
 
 
+def test_delimited_text_is_cut_as_it_is_quoted(spark):
+    cases = {
+        'a,b\nc\n': [["a", "b"], ["c"]], 'a,"b,""c""\nd",\r\n': [["a", 'b,"c"\nd', ""]], 'x"y,z"w,v': [["xy,zw", "v"]], '"open,\nto the end': [["open,\nto the end"]], '""\n , \n\n"""",1': [['"', "1"]],
+        'a,,\n,b': [["a", "", ""], ["", "b"]], "": [], "one": [["one"]], 'a\rb,"c\r"': [["ab", "c\r"]], '"a""': [['a"']], "x" * 100_000 + ',"' + "y\n" * 50_000 + '"': [["x" * 100_000, "y\n" * 50_000]],
+    }
+    files_ = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(cases)], "path string, value string")
+    got = {}
+    for r in files.split_delimited(files_).orderBy("path", "ord").collect():
+        got.setdefault(r.path, []).append(r.cells)
+    assert {f"f{i}": rows for i, rows in enumerate(cases.values()) if rows} == got
+    tabs = files.split_delimited(spark.createDataFrame([("t", "a,b\tc|d")], "path string, value string"), "\t").first()
+    assert tabs.cells == ["a,b", "c|d"]
+    assert files.split_delimited(spark.createDataFrame([("t", "a|b")], "path string, value string"), "|").first().cells == ["a", "b"]
+
+
+def test_a_deep_chain_of_folders_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = listing.written
+    monkeypatch.setattr(listing, "written", lambda df, name: (rounds.append(name), real(df, name))[1])
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, f"d{i}", None, 0, i < 500) for i in range(501)]
+    rows += [("lost", "nowhere", "l", None, 1, False), ("under a file", "n500", "u", None, 1, False), ("r1", "r2", "r", None, 0, True), ("r2", "r1", "r", None, 0, True), ("in ring", "r1", "f", None, 1, False), ("top", None, "t.txt", "text/plain", 7, False)]
+    df = spark.createDataFrame(rows, "id string, parent_id string, name string, mime string, size long, is_folder boolean")
+    got = {r.id: r.path for r in listing.listing_paths(df).collect()}
+    assert got == {"n500": "/".join(f"d{i}" for i in range(501)), "top": "t.txt"}
+    assert len(rounds) <= 12
+
+
+def test_tallies_fill_while_the_rows_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("a.md", "a.md", 9), (".env", ".env", 9), ("x.pem", "x.pem", 1), ("b.bmp", "b.bmp", 9), ("e.md", "e.md", 0)], "path string, name string, size long")
+    kept, out, counts = listing.partition_written(df, str(tmp_path / "l"))
+    assert kept.count() == 1 and out.count() == 4 and counts == {"secret": 2, "unsupported": 1, "empty": 1}
+    pairs = spark.createDataFrame([("What is it now?", "It is a thing of some length.", "factual"), ("", "x", "instruction")], "instruction string, output string, type string")
+    validated, summary = quality.with_summary(quality.validate_pairs(pairs))
+    both, stats = curate.with_stats(validated, 0.5)
+    both.write.parquet(str(tmp_path / "p"))
+    assert tuple(summary.get.values()) == tuple(quality.quality_summary(validated).first()) and tuple(stats.get.values()) == tuple(curate.dataset_stats(pairs, 0.5).first())
+    assert both._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+def test_malformed_xml_is_told_apart(spark):
+    df = spark.createDataFrame([(1, "<r><a>x  y</a> <b>z</b></r>"), (2, "<r>"), (3, "<r/>"), (4, None), (5, "<r>a & b</r>")], "id int, text string")
+    good, bad = files.xml_documents(df)
+    assert {r.id: r.text for r in good.collect()} == {1: "x y z"} and {r.id: r.reject_reason for r in bad.collect()} == {2: "malformed", 3: "no text", 4: "malformed", 5: "malformed"}
+
+
+def test_voices_with_gaps_share_the_pairs(spark):
+    chunks = spark.createDataFrame([(1, i, 2, "t") for i in range(2)], "doc_id long, index int, total int, text string")
+    voices = spark.createDataFrame([(0, "a", "A is this"), (3, "b", "B is that")], "voice_index int, id string, persona string")
+    got = sorted((r["index"], r.voice_index, r.persona_id, r.persona, r.pairs) for r in planning.build_specs(chunks, 6, voices).collect())
+    assert got == [(0, 0, "a", "A is this", 2), (0, 1, "b", "B is that", 2), (1, 0, "a", "A is this", 1), (1, 1, "b", "B is that", 1)]
+
+
 def test_headers(spark):
     rows = [(["name", "age"], 2, True), (["name", "age"], 1, False), (["name", ""], 2, False), (["name", "-3.5"], 2, False), (["name", None], 2, False), (["a1", "3x"], 5, True)]
     df = spark.createDataFrame(rows, "cells array<string>, n int, want boolean")
