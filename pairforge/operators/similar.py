@@ -32,8 +32,8 @@ _W = len(_CHARS)
 _GRAMS = _W**3 + _W + _W**2
 _CODE = np.zeros(256, np.int64)
 _CODE[np.frombuffer(_CHARS.encode(), np.uint8)] = np.arange(_W)
-#: Candidates of a range: so many, or so many for each row that is left.
-RANGE_PAIRS, ROW_PAIRS = 300_000, 20
+#: Candidates of a range (keys that meet, most of which the filters stop): so many, or so many for each row that is left.
+RANGE_PAIRS, ROW_PAIRS = 3_000_000, 200
 #: Rows of one key that meet in one task; keys with more are split.
 BLOCK_ROWS = 5_000
 #: Stretches of order that a range is cut from.
@@ -134,13 +134,13 @@ def tokens(sets: DataFrame, t: float, shared: int) -> DataFrame:
     return two.union(few)
 
 
-def shared_grams(sets: DataFrame, t: float) -> int:
-    """1, or 2 where keys of two grams cost less: they are more than single ones, but meet far less often."""
+def shared_grams(sets: DataFrame, t: float) -> tuple[int, float]:
+    """1, or 2 where keys of two grams cost less: they are more than single ones, but meet far less often. And how often single ones meet at most."""
     one = sets.where("n > 0").select(_prefix(t, 1).alias("p"), F.explode(F.slice("grams", F.lit(1), _prefix(t, 1))).alias("gram"))
     meetings = one.groupBy("gram").agg(F.count("*").alias("c")).agg(F.sum(F.col("c").cast("double") * F.col("c") / 2)).first()[0] or 0
     p = _prefix(t, 2).cast("double")
     rows = sets.agg(F.sum(p * (p - 1) / 2)).first()[0] or 0
-    return 2 if meetings > 40 * rows else 1
+    return (2 if meetings > 40 * rows else 1), meetings
 
 
 def matches(a: DataFrame, b: DataFrame, sets: DataFrame, t: float, big: bool) -> DataFrame:
@@ -235,14 +235,15 @@ def _range_end(keyed: DataFrame, first: int, last: int, room: float) -> int:
 def near_duplicates(rows: DataFrame, t: float) -> DataFrame:
     """(j, i): of rows (seq, key), which are near duplicates of an earlier kept row, and the earliest such."""
     sets = ranked_sets(rows.where("key <> ''"))
-    shared = shared_grams(sets, t)
-    rest, found = sets, None
+    shared, meetings = shared_grams(sets, t)
+    rest, found, room = sets, None, 0
     while True:
         n, first, last = rest.agg(F.count("*"), F.min("seq"), F.max("seq")).first()
         if not n:
             break
         keyed = tokens(rest, t, shared)
-        end = _range_end(keyed.select("key", "seq"), first, last, max(RANGE_PAIRS, ROW_PAIRS * n))
+        room = room or max(RANGE_PAIRS, ROW_PAIRS * n)
+        end = last if meetings <= room else _range_end(keyed.select("key", "seq"), first, last, room)
         here, later = F.col("seq") <= end, F.col("seq") > end
         own = written(settled(matches(keyed.where(here), keyed.where(here), rest, t, n > 200 * BLOCK_ROWS)), "settled")
         found = own if found is None else found.union(own)
@@ -262,7 +263,7 @@ def near_duplicates(rows: DataFrame, t: float) -> DataFrame:
 def near_edges(rows: DataFrame, t: float) -> DataFrame:
     """(i, j): all pairs of rows (seq, key) that reach the threshold; empty keys are linked to the first of them."""
     sets = ranked_sets(rows.where("key <> ''"))
-    keyed = tokens(sets, t, shared_grams(sets, t))
+    keyed = tokens(sets, t, shared_grams(sets, t)[0])
     none = rows.where("key = ''")
     least = none.agg(F.min("seq").alias("i"))
     return matches(keyed, keyed, sets, t, True).union(none.join(F.broadcast(least), F.col("seq") > F.col("i")).select("i", F.col("seq").alias("j")))

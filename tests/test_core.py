@@ -25,7 +25,7 @@ def test_greedy_near_duplicates_equal_the_sequential_rule(spark, monkeypatch, se
     """Over one range or many, with keys of one gram or of two."""
     monkeypatch.setattr(similar, "RANGE_PAIRS", room)
     monkeypatch.setattr(similar, "ROW_PAIRS", 1)
-    monkeypatch.setattr(similar, "shared_grams", lambda sets, t: shared)
+    monkeypatch.setattr(similar, "shared_grams", lambda sets, t: (shared, 1e9))
     monkeypatch.setattr(similar, "TASK_EDGES", 0 if seed == 3 else 500_000)
     rng = random.Random(seed)
     base = ["what is the colour of the sky at noon", "how do plants turn light into sugar", "ab", ""]
@@ -71,7 +71,7 @@ def test_edges_are_all_similar_pairs_by_either_kind_of_key(spark, monkeypatch):
     want = {(a, b) for x, a in enumerate(own) for b in own[x + 1 :] if norm[a] and norm[b] and near(norm[a], norm[b], 0.6)} | {(empty[0], b) for b in empty[1:]}
     monkeypatch.setattr(similar, "BLOCK_ROWS", 5)  # keys of more rows are split
     for shared in (1, 2):
-        monkeypatch.setattr(similar, "shared_grams", lambda sets, t, shared=shared: shared)
+        monkeypatch.setattr(similar, "shared_grams", lambda sets, t, shared=shared: (shared, 1e9))
         assert {(r.i, r.j) for r in dedup.near_duplicate_edges(df, 0.6).collect()} == want
 
 
