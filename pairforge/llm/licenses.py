@@ -1,6 +1,7 @@
 """Licence scan by a positional rare-token index.
 
-Templates are short word lists with mandatory key phrases. Document frequencies
+Templates are word lists, from base phrases of two words to licence texts of several
+paragraphs, with mandatory key phrases. Document frequencies
 of all template words are counted over the whole table, and the postings of all
 of them (word -> template, position) form the index. A file looks up its licence
 words of highest inverse document frequency: of each template whose key words it
@@ -17,6 +18,7 @@ returned for each row, also for a null or repeated doc_id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from math import ceil, log
@@ -57,6 +59,78 @@ NOTICES = (
 )
 
 
+def _body(label: str, keys: tuple[str, ...], text: str) -> Template:
+    """A licence text or header as words, in the order in which they stand."""
+    return Template(label, " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())), keys)
+
+
+#: Whole licence texts and file headers of several paragraphs; names and years are not part of them.
+BODIES = (
+    _body(
+        "mit-notice",
+        ("permission is hereby granted free of charge", "obtaining a copy"),
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+        Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    _body(
+        "bsd-3-clause",
+        ("redistribution and use in source and binary forms", "neither the name"),
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+        provided with the distribution.
+
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission.""",
+    ),
+    _body(
+        "bsd-disclaimer",
+        ("this software is provided by the copyright holders and contributors", "consequential damages"),
+        """This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of
+        merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental,
+        special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business
+        interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the
+        use of this software, even if advised of the possibility of such damage.""",
+    ),
+    _body(
+        "isc",
+        ("permission to use copy modify and or distribute this software for any purpose",),
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies.
+
+        The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.""",
+    ),
+    _body(
+        "apache-2.0",
+        ("licensed under the apache license version 2 0",),
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+        http://www.apache.org/licenses/LICENSE-2.0
+
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
+        KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    _body(
+        "gpl-notice",
+        ("you can redistribute it and or modify it under the terms of the gnu general public license",),
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
+        either version 3 of the License, or (at your option) any later version.
+
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE. See the GNU General Public License for more details.""",
+    ),
+)
+
+
 class Index:
     """Postings of each template's rarest words."""
 
@@ -220,7 +294,7 @@ def _scanned(index: Index):
     return run
 
 
-def license_scan(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES) -> DataFrame:
+def license_scan(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES + BODIES) -> DataFrame:
     """A row for each document with its word count, base places, labels, score and the places of all verified templates."""
     words = sorted({w for t in templates for w in t.text.split()})
     rows, frequency = word_frequencies(docs, words)
