@@ -26,31 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import kernel as K
-from pairforge.llm.common import partitions, table, written
+from pairforge.llm.common import partitions, sized, table, written
 
 _WHITE = bytes([0x20, *range(0x09, 0x0E)])
 
 
 class CountingQuotientFilter:
-    """Sorted remainders with counts, in runs by quotient: the run lengths stand for the filter's metadata bits."""
+    """Sorted remainders with counts, in runs by quotient: the run lengths stand for the filter's metadata bits.
+
+    Written out, a fingerprint takes the bytes of its remainder (six at 16 bits of
+    quotient) and one for its count; counts of 255 and more follow in a list. The
+    quotients take a run length each, whatever the filter holds.
+    """
 
     def __init__(self, quotient_bits: int, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray, first: int = 0) -> None:
         self.bits, self.runs, self.remainders, self.counts, self.first = quotient_bits, runs, remainders, counts, first
 
     @staticmethod
-    def build(fingerprints: np.ndarray, quotient_bits: int, counts: np.ndarray | None = None, first: int = 0, quotients: int | None = None) -> CountingQuotientFilter:
-        """first, quotients: the range of quotients that the filter covers."""
-        counts = np.ones(len(fingerprints), np.int64) if counts is None else counts
-        order = np.argsort(fingerprints, kind="stable")
-        ranked = fingerprints[order]
+    def build(fingerprints: np.ndarray, quotient_bits: int) -> CountingQuotientFilter:
+        """The filter of all quotients for fingerprints in any order."""
+        return CountingQuotientFilter._of(np.sort(fingerprints), np.ones(len(fingerprints), np.int64), quotient_bits, 0, 1 << quotient_bits)
+
+    @staticmethod
+    def _of(ranked: np.ndarray, counts: np.ndarray, quotient_bits: int, first: int, quotients: int) -> CountingQuotientFilter:
+        """From sorted fingerprints: those that are equal add their counts."""
         lead = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, np.int64)
-        total = np.add.reduceat(counts[order], lead) if len(lead) else np.empty(0, np.int64)
+        total = np.add.reduceat(counts, lead) if len(lead) else np.empty(0, np.int64)
         shift = np.uint64(64 - quotient_bits)
         quotient = (ranked[lead] >> shift).astype(np.int64) - first
-        runs = np.bincount(quotient, minlength=(1 << quotient_bits) if quotients is None else quotients)
-        return CountingQuotientFilter(quotient_bits, runs, ranked[lead] & ((np.uint64(1) << shift) - np.uint64(1)), total, first)
+        return CountingQuotientFilter(quotient_bits, np.bincount(quotient, minlength=quotients), ranked[lead] & ((np.uint64(1) << shift) - np.uint64(1)), total, first)
 
     def fingerprints(self) -> np.ndarray:
+        """In ascending order."""
         quotient = np.repeat(np.arange(len(self.runs), dtype=np.uint64) + np.uint64(self.first), self.runs)
         return (quotient << np.uint64(64 - self.bits)) | self.remainders
 
@@ -58,24 +65,41 @@ class CountingQuotientFilter:
         """n equal ranges of quotients, serialised; empty ones are left out."""
         width = len(self.runs) // n
         at = np.concatenate(([0], np.cumsum(self.runs)))
+        wide = (64 - self.bits + 7) // 8
         for i in range(n):
             lo, hi = at[i * width], at[(i + 1) * width]
             if hi > lo:
-                head = np.array([self.bits, i * width, width, hi - lo], np.int64)
-                yield i, b"".join(x.tobytes() for x in (head, self.runs[i * width : (i + 1) * width].astype(np.int32), self.remainders[lo:hi], self.counts[lo:hi]))
+                runs, counts = self.runs[i * width : (i + 1) * width], self.counts[lo:hi]
+                many = counts[counts >= 255]
+                head = np.array([self.bits, i * width, width, hi - lo, len(many)], np.int64)
+                packed = self.remainders[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]
+                yield i, b"".join(x.tobytes() for x in (head, runs.astype("<u4"), packed, np.minimum(counts, 255).astype(np.uint8), many.astype("<i8")))
 
     @staticmethod
     def read(raw: bytes) -> CountingQuotientFilter:
-        bits, first, width, n = (int(x) for x in np.frombuffer(raw, np.int64, 4))
-        runs = np.frombuffer(raw, np.int32, width, 32)
-        at = 32 + runs.nbytes
-        return CountingQuotientFilter(bits, runs, np.frombuffer(raw, np.uint64, n, at), np.frombuffer(raw, np.int64, n, at + 8 * n), first)
+        bits, first, width, n, many = (int(x) for x in np.frombuffer(raw, np.int64, 5))
+        wide, at = (64 - bits + 7) // 8, 40
+        runs = np.frombuffer(raw, "<u4", width, at)
+        at += runs.nbytes
+        remainders = np.zeros((n, 8), np.uint8)
+        remainders[:, :wide] = np.frombuffer(raw, np.uint8, n * wide, at).reshape(n, wide)
+        at += n * wide
+        counts = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+        counts[counts == 255] = np.frombuffer(raw[at + n :], "<i8", many)
+        return CountingQuotientFilter(bits, runs, remainders.view("<u8").ravel(), counts, first)
+
+    def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Of one range of quotients: the sorted remainders of both are merged into place and counts of equal ones added; nothing is lost."""
+        own, theirs = self.fingerprints(), other.fingerprints()
+        place = np.searchsorted(own, theirs)
+        return CountingQuotientFilter._of(np.insert(own, place, theirs), np.insert(self.counts, place, other.counts), self.bits, self.first, len(self.runs))
 
     @staticmethod
     def merge(filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """Of one range of quotients: remainders are merged in order and counts added; nothing is lost."""
-        f = filters[0]
-        return CountingQuotientFilter.build(np.concatenate([x.fingerprints() for x in filters]), f.bits, np.concatenate([x.counts for x in filters]), f.first, len(f.runs))
+        """Neighbours first, so that each remainder takes part in few merges."""
+        while len(filters) > 1:
+            filters = [a.merged(b) for a, b in zip(filters[::2], filters[1::2], strict=False)] + filters[len(filters) // 2 * 2 :]
+        return filters[0]
 
 
 def _normal(batch: pa.RecordBatch) -> list[bytes]:
@@ -159,11 +183,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     given = docs.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     meta = written(given.mapInArrow(_described, "doc_id long, n int, fp long, digest binary"), "described")
     many = written(repeated_fingerprints(meta), "repeated")
-    routed = given.mapInArrow(_combined, "fp long, normal binary, n int, doc_id long, size long").join(many.select("fp"), "fp", "left_semi")
+    routed = given.mapInArrow(_combined, "fp long, normal binary, n int, doc_id long, size long").join(sized(many.select("fp"), 16), "fp", "left_semi")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id"))
     verified = routed.groupBy("fp", "normal").agg(best.alias("best"), F.sum("size").alias("group_size")).where("group_size > 1")
     groups = verified.select(F.unhex(F.sha2("normal", 256)).alias("digest"), F.col("best.doc_id").alias("keep_id"), "group_size", F.lit(True).alias("grouped"))
-    return meta.join(written(groups, "groups"), "digest", "left").select(
+    return meta.join(sized(written(groups, "groups"), 80), "digest", "left").select(
         "doc_id",
         F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
