@@ -10,9 +10,12 @@ order, so a passage whose parts are moved around is still covered. An item is
 found in a document if tiles cover at least ``coverage`` of its words.
 
 The benchmark is a stated query set: its distinct texts are cut into blocks of
-about ``block_words`` words. Each block is sent to all tasks, run over all
-documents and its hits written before the next is read; there is no limit on the
-number of blocks, and the driver holds one at a time.
+about ``block_words`` words. A benchmark of one block is run over all documents.
+Of a larger one, the seeds of all blocks go into a sieve of bounded size first; one
+pass over the documents writes those that hold as many of its seeds as the shortest
+item needs, and each block is run over these alone. The sieve lets too many pass
+when it is full, never too few; there is no limit on the number of blocks, and the
+driver holds one at a time.
 
 Defined cases: null or empty texts share nothing; an item of fewer than ``k``
 words is never found; items of equal text are found together; a row is returned
@@ -22,6 +25,7 @@ for each document row; an empty benchmark finds nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ from pairforge.llm.common import positional, sized, table, written
 SEED_WORDS = 5
 COVERAGE = 0.8
 BLOCK_WORDS = 200_000
+#: 64 MB of bits.
+SIEVE_BITS = 29
 
 
 class Texts:
@@ -167,6 +173,56 @@ def blocks(items: DataFrame, k: int, block_words: int) -> Iterator[Block]:
         yield Block(sorted(tuple(r) for r in items.where(F.pmod("key", F.lit(n)) == i).select("key", "text").collect()), k)
 
 
+class Sieve:
+    """Seeds by four bits each in at most 2**``SIEVE_BITS`` bits: those put in are held, and few others."""
+
+    def __init__(self, seeds: int) -> None:
+        self.bits = min(SIEVE_BITS, max(16, (16 * seeds).bit_length()))
+        self.map = np.zeros(1 << self.bits - 3, np.uint8)
+
+    def _places(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for odd in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93):
+            at = (grams * np.uint64(odd)) >> np.uint64(64 - self.bits)
+            yield (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, grams: np.ndarray) -> None:
+        for byte, bit in self._places(grams):
+            np.bitwise_or.at(self.map, byte, bit)
+
+    def holds(self, grams: np.ndarray) -> np.ndarray:
+        out = np.ones(len(grams), bool)
+        for byte, bit in self._places(grams):
+            out &= (self.map[byte] & bit) != 0
+        return out
+
+
+def _sieved(sieve, k: int, least: int):
+    """The rows that hold at least so many seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, "text"):
+                grams, row, _ = Texts(batch.column("text")).grams(k)
+                many = np.bincount(row[sieve.value.holds(grams)], minlength=batch.num_rows)
+                if (many >= least).any():
+                    yield batch.filter(pa.array(many >= least))
+
+    return run
+
+
+def suspects(given: DataFrame, items: DataFrame, k: int, coverage: float, block_words: int) -> DataFrame:
+    """The documents that may hold an item, written: they have as many seeds as tiles need to cover the shortest item."""
+    sieve = Sieve(items.agg(F.sum("n")).first()[0] or 0)
+    shortest = None
+    for block in blocks(items, k, block_words):
+        sieve.add(block.grams)
+        words = np.diff(block.texts.cut)
+        shortest = min([*words[words >= k].tolist(), *([shortest] if shortest else [])], default=None)
+    least = max(1, ceil(ceil(coverage * (shortest or 0) - 1e-9) / (2 * k - 1)))
+    shared = given.sparkSession.sparkContext.broadcast(sieve)
+    return written(given.mapInArrow(_sieved(shared, k, least), given.schema), "suspects")
+
+
 def _searched(block: Block, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,6 +240,8 @@ def hits(given: DataFrame, benchmark: DataFrame, k: int, coverage: float, block_
     own = benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("key"), "text")
     items = written(own.groupBy("key").agg(F.min("text").alias("text")).withColumn("n", F.size(F.split("text", r"\s+"))), "items")
     out = None
+    if (items.agg(F.sum("n")).first()[0] or 0) > block_words:
+        given = suspects(given, items, k, coverage, block_words)
     for block in blocks(items, k, block_words):
         found = written(given.mapInArrow(_searched(block, coverage), "doc_id long, tag long, key long, share double"), "hits")
         out = found if out is None else out.unionByName(found)

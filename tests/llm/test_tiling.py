@@ -71,3 +71,26 @@ def test_an_item_quoted_in_overlapping_pieces_is_found(spark):
     bench = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
     got = {r.doc_id: (list(r["found"]), r.coverage) for r in decontaminate.search(docs, bench).withColumnRenamed("items", "found").collect()}
     assert got == {0: ([7], 1.0), 1: ([], 0.0)}
+
+
+def test_a_benchmark_of_many_blocks_reads_the_suspects_alone(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([5, 12, 40])))) for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, k=200))) for i in range(150)]
+    for i in range(0, 150, 10):  # whole items, and items in pieces that are moved around
+        w = items[i % 60][1].split()
+        docs.append((1000 + i, f"so {' '.join(w[len(w) // 2 :])} and {' '.join(w[: len(w) // 2])} {docs[i][1]} {items[(i + 7) % 60][1]}"))
+    docs += [(None, items[3][1]), (5000, None), (5001, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda **k: sorted(((r.doc_id, tuple(r["found"]), r.coverage) for r in decontaminate.search(d, b, **k).withColumnRenamed("items", "found").collect()), key=str)
+    seen = []
+    real = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: (seen.append((name, real(df, name))), seen[-1][1])[1])
+    want = rows()
+    assert "suspects" not in dict(seen) and sum(bool(r[1]) for r in want) >= 16
+    assert rows(block_words=200) == want
+    assert sum(bool(r[1]) for r in want) <= dict(seen)["suspects"].count() < 40
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", 4)  # a full sieve stops nothing
+    monkeypatch.setattr(decontaminate.Sieve, "__init__", lambda self, seeds: (setattr(self, "bits", 4), setattr(self, "map", np.zeros(2, np.uint8)))[0])
+    assert rows(block_words=200) == want
