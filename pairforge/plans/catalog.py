@@ -110,7 +110,8 @@ def near_duplicate_edges(spark, d):
 
 
 _FOUND = f"""WITH RECURSIVE {_EDGES.format(0.7)}, v AS (SELECT j AS id, list(i ORDER BY i) AS before FROM e GROUP BY j), m AS (SELECT id, before, row_number() OVER (ORDER BY id) AS k FROM v),
-r(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT m.k, CASE WHEN len(list_filter(before, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, id) ELSE gone END FROM r JOIN m ON m.k = r.k + 1),
+r(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT m.k, CASE
+  WHEN len(list_filter(before, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, id) ELSE gone END FROM r JOIN m ON m.k = r.k + 1),
 last AS (SELECT gone FROM r ORDER BY k DESC LIMIT 1), near AS (SELECT id AS dup_id, list_filter(before, lambda y: NOT list_contains(gone, y))[1] AS keep_id FROM m, last WHERE list_contains(gone, id)),
 f AS (SELECT id AS dup_id, first AS keep_id, 'exact' AS match_kind FROM x WHERE key <> '' AND id <> first UNION ALL SELECT dup_id, keep_id, 'fuzzy' FROM near),
 found AS (SELECT dup_id, keep_id, match_kind, CASE WHEN bool_or(match_kind = 'exact') OVER (PARTITION BY keep_id) THEN 'exact' ELSE 'fuzzy' END AS group_kind FROM f)"""
@@ -240,8 +241,10 @@ def personas_present(spark, d):
     return curate.personas_present(conversation_pairs(spark, d))
 
 
-@query(f"""WITH {PAIRS_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM p), c AS (SELECT max(n) AS n, greatest(1, floor(max(n) * 0.1 + 0.5))::BIGINT AS m FROM r),
-v AS (SELECT least(n - 1, floor(k * (n / m) + (n / m) / 2))::BIGINT AS i FROM c, unnest(range(0, m)) AS u(k)) SELECT id, CASE WHEN i IN (SELECT i FROM v) THEN 'val' ELSE 'train' END AS split FROM r""")
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n
+  FROM p), c AS (SELECT max(n) AS n, greatest(1, floor(max(n) * 0.1 + 0.5))::BIGINT AS m FROM r),
+v AS (SELECT least(n - 1, floor(k * (n / m) + (n / m) / 2))::BIGINT AS i FROM c, unnest(range(0, m)) AS u(k)) SELECT id, CASE WHEN i IN (SELECT i
+  FROM v) THEN 'val' ELSE 'train' END AS split FROM r""")
 def split_train_val(spark, d):
     return export.split_train_val(conversation_pairs(spark, d), 0.1, ["id"]).select("id", "split")
 
@@ -282,7 +285,8 @@ def retry_failed(spark, d):
     return generate.retry_failed(specs(spark, d), _results(spark, d).where("error is not null")).select("doc_id", "chunk_index")
 
 
-_RAW = """CASE page_id % 8 WHEN 1 THEN concat('  ', url, ' ') WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 3 THEN concat('ftp://', regexp_replace(url, '^[a-z]+://', '')) WHEN 4 THEN concat('https://me@', regexp_replace(url, '^[a-z]+://', ''))
+_RAW = """CASE page_id % 8 WHEN 1 THEN concat('  ', url, ' ') WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 3 THEN concat('ftp://', regexp_replace(url, '^[a-z]+://', ''))
+  WHEN 4 THEN concat('https://me@', regexp_replace(url, '^[a-z]+://', ''))
 WHEN 5 THEN concat(url, ' x') WHEN 6 THEN concat('word', cast(page_id as varchar(20))) WHEN 7 THEN upper(url) ELSE url END"""
 
 
@@ -298,7 +302,8 @@ def normalize_url(spark, d):
 _KEY = r"""kk AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS b FROM pages),
 k2 AS (SELECT page_id, url, lower(regexp_extract(b, '^[^:]+://[^/?]*', 0)) AS origin, regexp_extract(b, '^[^:]+://[^/?]*([^?]*)', 1) AS path, regexp_extract(b, '\?(.*)$', 1) AS q FROM kk),
 k3 AS (SELECT page_id, url, origin, CASE WHEN length(path) > 1 THEN regexp_replace(path, '/$', '') WHEN path = '' THEN '/' ELSE path END AS path,
-  array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'gclid', 'fbclid', 'msclkid', 'igshid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'referrer', '_ga', 'yclid', 'spm'))), '&') AS q FROM k2),
+  array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> ''
+  AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'gclid', 'fbclid', 'msclkid', 'igshid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'referrer', '_ga', 'yclid', 'spm'))), '&') AS q FROM k2),
 key AS (SELECT page_id, url, origin || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS key FROM k3)"""
 
 
@@ -307,7 +312,8 @@ def url_dedupe_key(spark, d):
     return table(spark, d, "pages").select("page_id", web.url_dedupe_key(F.col("url")).alias("key"))
 
 
-_FORMED = """concat(regexp_extract(url, '^[^:]+://[^/?#]*', 0), CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/x/..' WHEN 2 THEN '/./%2E' ELSE '/y/./z/%2e./..' END, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1),
+_FORMED = """concat(regexp_extract(url, '^[^:]+://[^/?#]*', 0), CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/x/..'
+  WHEN 2 THEN '/./%2E' ELSE '/y/./z/%2e./..' END, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1),
 CASE page_id % 3 WHEN 0 THEN "?b=x+y&a=~1&c=(1)%27" WHEN 1 THEN "?c=%281)'&b=x%20y&a=%7e1&utm_source=q" ELSE "?a=%7E1&b=x y&c=%28%31%29%27#frag" END)"""
 
 
@@ -323,7 +329,8 @@ def dedupe_pages(spark, d):
 
 
 @query(r"""WITH s AS (SELECT page_id, list_filter(string_split(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[^:]+://[^/]*(.*)$', 1), '/'), lambda x: x <> '') AS seg, lower(regexp_extract(url, '^[^:]+://([^/?#:]+)', 1)) AS host FROM pages)
-SELECT page_id, lpad(page_id::VARCHAR, greatest(2, length(page_id::VARCHAR))::INT, '0') || '-' || CASE WHEN len(seg) = 0 THEN regexp_replace(host, '\.[a-z0-9]{1,8}$', '', 'i') ELSE regexp_replace(seg[-1], '\.[a-z0-9]{1,8}$', '', 'i') END || '.html' AS name FROM s""")
+SELECT page_id, lpad(page_id::VARCHAR, greatest(2, length(page_id::VARCHAR))::INT, '0') || '-' || CASE
+  WHEN len(seg) = 0 THEN regexp_replace(host, '\.[a-z0-9]{1,8}$', '', 'i') ELSE regexp_replace(seg[-1], '\.[a-z0-9]{1,8}$', '', 'i') END || '.html' AS name FROM s""")
 def page_name(spark, d):
     return table(spark, d, "pages").select("page_id", web.page_name(F.col("url"), F.lit(".html"), F.col("page_id")).alias("name"))
 
@@ -405,10 +412,13 @@ def _linked_pages(spark, d):
 _WALK = """z AS (SELECT count(*) AS n FROM pages), ln AS (SELECT page_id AS a, k - 1 AS pos, (page_id * 7 + k * 31) % n AS b FROM pages, z, unnest([1, 2, 3]) AS u(k)),
 lu AS (SELECT a, b, min(pos) AS pos, arg_max(a % 2 = 0, pos) AS tracked FROM ln GROUP BY a, b),
 d0 AS (SELECT 0::BIGINT AS id, '0' AS place, 0 AS depth, false AS tracked),
-d1 AS (SELECT b AS id, arg_min(tracked, place) AS tracked, min(place) AS place FROM (SELECT b, d0.place || ',' || lu.pos AS place, lu.tracked FROM d0 JOIN lu ON lu.a = d0.id) WHERE b NOT IN (SELECT id FROM d0) GROUP BY b),
-d2 AS (SELECT b AS id, arg_min(tracked, place) AS tracked, min(place) AS place FROM (SELECT b, d1.place || ',' || lu.pos AS place, lu.tracked FROM d1 JOIN lu ON lu.a = d1.id WHERE d1.id % 13 <> 6) WHERE b NOT IN (SELECT id FROM d0 UNION ALL SELECT id FROM d1) GROUP BY b),
+d1 AS (SELECT b AS id, arg_min(tracked, place) AS tracked, min(place) AS place FROM (SELECT b, d0.place || ',' || lu.pos AS place, lu.tracked FROM d0 JOIN lu ON lu.a = d0.id)
+  WHERE b NOT IN (SELECT id FROM d0) GROUP BY b),
+d2 AS (SELECT b AS id, arg_min(tracked, place) AS tracked, min(place) AS place FROM (SELECT b, d1.place || ',' || lu.pos AS place, lu.tracked FROM d1 JOIN lu ON lu.a = d1.id
+  WHERE d1.id % 13 <> 6) WHERE b NOT IN (SELECT id FROM d0 UNION ALL SELECT id FROM d1) GROUP BY b),
 w AS (SELECT id, place, 0 AS depth, tracked FROM d0 UNION ALL SELECT id, place, 1, tracked FROM d1 UNION ALL SELECT id, place, 2, tracked FROM d2),
-t AS (SELECT id, depth, place, tracked, id % 13 = 6 AS image, id % 11 = 5 AS hidden FROM w), o AS (SELECT *, NOT image AND NOT hidden AS good, coalesce(sum((NOT image AND NOT hidden)::INT) OVER (ORDER BY depth, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM t)"""
+t AS (SELECT id, depth, place, tracked, id % 13 = 6 AS image, id % 11 = 5 AS hidden FROM w), o AS (SELECT *, NOT image AND NOT hidden AS good, coalesce(sum((NOT image
+  AND NOT hidden)::INT) OVER (ORDER BY depth, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM t)"""
 _AT = "'https://site.example.org/p/' || id || CASE WHEN tracked THEN '?utm_source=x' ELSE '' END"
 
 
@@ -424,7 +434,8 @@ def crawl_pages(spark, d):
     return _crawled(spark, d)[0].select("site", F.col("n").cast("int").alias("n"), "url", "ext", "name")
 
 
-@query(f"""WITH {_WALK} SELECT 'site.example.org' AS site, {_AT} AS url, CASE WHEN image THEN 'unsupported' ELSE 'noindex' END AS reason, CASE WHEN image THEN 'image/png' END AS detail FROM o WHERE NOT good AND had < 9
+@query(f"""WITH {_WALK} SELECT 'site.example.org' AS site, {_AT} AS url, CASE WHEN image THEN 'unsupported' ELSE 'noindex' END AS reason, CASE WHEN image THEN 'image/png' END AS detail
+  FROM o WHERE NOT good AND had < 9
 UNION ALL SELECT 'site.example.org', 'https://site.example.org/private/x', 'robots', NULL""")
 def crawl_skipped(spark, d):
     return _crawled(spark, d)[1].select("site", "url", "reason", "detail")
@@ -437,9 +448,12 @@ _SIZE = "CASE WHEN c_custkey % 13 = 0 THEN 0 WHEN c_custkey % 17 = 0 THEN 629145
 _LIST = f"l0 AS (SELECT c_custkey AS id, {_FILE} AS path, {_SIZE} AS size FROM customer), l AS (SELECT *, split_part(path, '/', -1) AS name FROM l0)"
 _VERDICT = f"""WITH {_LIST}, x AS (SELECT *, lower(regexp_extract(name, '\\.[^.]*$', 0)) AS e FROM l),
 v AS (SELECT id, path, size, CASE WHEN path LIKE 'home/.ssh/%' THEN 'secret' WHEN path LIKE 'node_modules/%' OR path LIKE 'docs/build/%' THEN 'noise' WHEN e = '.pem' THEN 'secret'
-  WHEN name IN ('.env.local', 'id_rsa', 'api_tokens.yaml') THEN 'secret' WHEN size = 0 THEN 'empty' WHEN size > 5242880 THEN 'too-large' WHEN e NOT IN ('.csv', '.md') AND name <> 'Makefile' THEN 'unsupported' END AS reason,
-  CASE WHEN path LIKE 'home/.ssh/%' THEN 'inside .ssh/' WHEN path LIKE 'node_modules/%' THEN 'inside node_modules/' WHEN path LIKE 'docs/build/%' THEN 'inside build/' WHEN e = '.pem' THEN '.pem key or certificate'
-  WHEN name IN ('.env.local', 'id_rsa', 'api_tokens.yaml') THEN name WHEN size = 0 THEN NULL WHEN size > 5242880 THEN '6.0 MB' WHEN e NOT IN ('.csv', '.md') AND name <> 'Makefile' THEN CASE WHEN e = '' THEN 'no extension' ELSE e END END AS detail FROM x)"""
+  WHEN name IN ('.env.local', 'id_rsa', 'api_tokens.yaml') THEN 'secret' WHEN size = 0 THEN 'empty' WHEN size > 5242880 THEN 'too-large' WHEN e NOT IN ('.csv', '.md')
+  AND name <> 'Makefile' THEN 'unsupported' END AS reason,
+  CASE WHEN path LIKE 'home/.ssh/%' THEN 'inside .ssh/' WHEN path LIKE 'node_modules/%' THEN 'inside node_modules/' WHEN path LIKE 'docs/build/%' THEN 'inside build/'
+  WHEN e = '.pem' THEN '.pem key or certificate'
+  WHEN name IN ('.env.local', 'id_rsa', 'api_tokens.yaml') THEN name WHEN size = 0 THEN NULL WHEN size > 5242880 THEN '6.0 MB' WHEN e NOT IN ('.csv', '.md') AND name <> 'Makefile' THEN
+  CASE WHEN e = '' THEN 'no extension' ELSE e END END AS detail FROM x)"""
 
 
 def _files(spark, d):
@@ -467,7 +481,8 @@ def select_first(spark, d):
     return listing.select_first(listing.partition_listing(_files(spark, d))[0], 200).select("id", "path")
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'unsupported' WHEN length(regexp_replace(coalesce(text, ''), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g')) < 25 THEN 'too-short' END AS reject_reason,
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'unsupported'
+  WHEN length(regexp_replace(coalesce(text, ''), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g')) < 25 THEN 'too-short' END AS reject_reason,
 CASE doc_id % 3 WHEN 0 THEN 'prose' WHEN 1 THEN CASE WHEN doc_id % 9 <> 4 THEN 'code' END ELSE 'data' END AS kind FROM documents""")
 def accept_documents(spark, d):
     """Documents under names of three kinds, some of no kind."""
@@ -482,7 +497,8 @@ def render_records(spark, d):
     return listing.render_records(c, ["c_custkey", "c_name", "segment"], ["c_custkey"])
 
 
-@query("""SELECT c_custkey AS id, r_name || '/' || n_name || '/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '.txt' ELSE '' END AS path, (CASE WHEN c_custkey % 5 = 0 THEN 4096 ELSE c_custkey END)::BIGINT AS size
+@query("""SELECT c_custkey AS id, r_name || '/' || n_name || '/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '.txt' ELSE '' END AS path, (CASE
+  WHEN c_custkey % 5 = 0 THEN 4096 ELSE c_custkey END)::BIGINT AS size
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def listing_paths(spark, d):
     c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
@@ -500,8 +516,10 @@ _PROVIDER = "CASE WHEN c_custkey % 10 = 0 THEN 'mock' ELSE 'api' END"
 
 
 @query(f"""WITH r AS (SELECT c_custkey AS id, {_PROVIDER} AS provider, lower({_MODEL}) AS model FROM customer)
-SELECT id, CASE WHEN provider = 'mock' THEN 0.0 WHEN contains(model, 'gpt-4o-mini') THEN 0.15 WHEN contains(model, 'gpt-4o') THEN 2.5 WHEN contains(model, 'llama') THEN 0.18 WHEN contains(model, 'o1-mini') THEN 1.1 END::DOUBLE AS price_in,
-CASE WHEN provider = 'mock' THEN 0.0 WHEN contains(model, 'gpt-4o-mini') THEN 0.6 WHEN contains(model, 'gpt-4o') THEN 10.0 WHEN contains(model, 'llama') THEN 0.18 WHEN contains(model, 'o1-mini') THEN 4.4 END::DOUBLE AS price_out FROM r""")
+SELECT id, CASE WHEN provider = 'mock' THEN 0.0 WHEN contains(model, 'gpt-4o-mini') THEN 0.15 WHEN contains(model, 'gpt-4o') THEN 2.5 WHEN contains(model, 'llama') THEN 0.18
+  WHEN contains(model, 'o1-mini') THEN 1.1 END::DOUBLE AS price_in,
+CASE WHEN provider = 'mock' THEN 0.0 WHEN contains(model, 'gpt-4o-mini') THEN 0.6 WHEN contains(model, 'gpt-4o') THEN 10.0 WHEN contains(model, 'llama') THEN 0.18
+  WHEN contains(model, 'o1-mini') THEN 4.4 END::DOUBLE AS price_out FROM r""")
 def price_lookup(spark, d):
     runs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(_PROVIDER).alias("provider"), F.expr(_MODEL).alias("model"))
     return pricing.price_lookup(runs).select("id", "price_in", "price_out")
@@ -521,7 +539,8 @@ def estimate_from_listing(spark, d):
     return pricing.estimate_from_listing(_files(spark, d), 12, 3, "api", "gpt-4o")
 
 
-@query("""SELECT (CASE n_name WHEN 'NATION_3' THEN 0 ELSE 2 END)::INT AS voice_index, n_name AS id, CASE n_name WHEN 'NATION_3' THEN 'changed' ELSE 'region ' || n_regionkey END AS role FROM nation WHERE n_name IN ('NATION_3', 'NATION_9')
+@query("""SELECT (CASE n_name WHEN 'NATION_3' THEN 0 ELSE 2 END)::INT AS voice_index, n_name AS id, CASE n_name WHEN 'NATION_3' THEN 'changed' ELSE 'region ' || n_regionkey END AS role
+  FROM nation WHERE n_name IN ('NATION_3', 'NATION_9')
 UNION ALL SELECT 4, 'custom', NULL""")
 def resolve_personas(spark, d):
     n = table(spark, d, "nation")
@@ -588,7 +607,8 @@ _LESS = "CASE WHEN {0} > 1200 THEN greatest(1, ceil({1} / 2))::INT ELSE {1} END"
 
 
 @query(f"""WITH RECURSIVE {CHUNKS_SQL}, {SPECS_SQL}, h0 AS (SELECT doc_id, index, text, length(text) AS n, pairs FROM s),
-h1 AS (SELECT doc_id, index, text, {_HALF.format('n')} AS n, {_LESS.format('n', 'pairs')} AS pairs FROM h0), h2 AS (SELECT doc_id, index, text, {_HALF.format('n')} AS n, {_LESS.format('n', 'pairs')} AS pairs FROM h1),
+h1 AS (SELECT doc_id, index, text, {_HALF.format('n')} AS n, {_LESS.format('n', 'pairs')} AS pairs
+  FROM h0), h2 AS (SELECT doc_id, index, text, {_HALF.format('n')} AS n, {_LESS.format('n', 'pairs')} AS pairs FROM h1),
 h3 AS (SELECT doc_id, index, text, {_HALF.format('n')} AS n, {_LESS.format('n', 'pairs')} AS pairs FROM h2)
 SELECT doc_id, index::INT AS chunk_index, n::INT AS n_chars, pairs::INT AS pairs, md5(left(text, n)) AS response, NULL::VARCHAR AS error FROM h3""")
 def shrink_retry(spark, d):
@@ -658,7 +678,8 @@ def chunk_code(spark, d):
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, c_nationkey % 2 = 0 AS named FROM customer),
-r AS (SELECT c_nationkey, n, 'Record ' || n || chr(10) || CASE WHEN named THEN 'name' ELSE 'Column 1' END || ': ' || trim(c_name) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || CASE WHEN named THEN 'segment' ELSE 'Column 2' END || ': ' || trim(c_mktsegment) END || chr(10) || 'Column 3: ' || c_custkey AS text FROM c)
+r AS (SELECT c_nationkey, n, 'Record ' || n || chr(10) || CASE WHEN named THEN 'name' ELSE 'Column 1' END || ': ' || trim(c_name) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) ||
+  CASE WHEN named THEN 'segment' ELSE 'Column 2' END || ': ' || trim(c_mktsegment) END || chr(10) || 'Column 3: ' || c_custkey AS text FROM c)
 SELECT 'nation-' || c_nationkey || '.csv' AS path, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM r GROUP BY c_nationkey""")
 def delimited_documents(spark, d):
     """Customers as a delimited file a nation: every other one with a header of two names, and a third cell beyond it."""
@@ -674,7 +695,8 @@ def _output(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"""WITH {PAIRS_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM p), c AS (SELECT max(n) AS n, greatest(1, floor(max(n) * 0.1 + 0.5))::BIGINT AS m FROM r),
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n
+  FROM p), c AS (SELECT max(n) AS n, greatest(1, floor(max(n) * 0.1 + 0.5))::BIGINT AS m FROM r),
 v AS (SELECT least(n - 1, floor(k * (n / m) + (n / m) / 2))::BIGINT AS i FROM c, unnest(range(0, m)) AS u(k))
 SELECT CASE WHEN i IN (SELECT i FROM v) THEN 'val' ELSE 'train' END AS split, to_json({{'instruction': instruction, 'input': '', 'output': output}})::VARCHAR AS line FROM r JOIN p USING (id)""")
 def write_dataset(spark, d):

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pairforge.functions.text import normalise
 from pairforge.operators import chunking, curate, dedup, generate, planning, pricing, quality, similar, web
 from pairforge.sources import export, files, listing
 from pairforge.streaming.generate import pairs_of, read_pairs, stream_generate
@@ -75,6 +76,29 @@ def test_edges_are_all_similar_pairs_by_either_kind_of_key(spark, monkeypatch):
         assert {(r.i, r.j) for r in dedup.near_duplicate_edges(df, 0.6).collect()} == want
 
 
+def test_duplicates_among_generated_pairs_equal_the_sequential_rule(spark):
+    from pairforge.plans.inputs import document_pairs
+
+    pairs = document_pairs(spark, "/root/testdata/sf0.001").withColumn("ord", F.col("id"))
+    rows = pairs.select("id", normalise(F.col("instruction")).alias("key")).orderBy("id").collect()
+    first, want, kept = {}, {}, []
+    for r in rows:
+        if r.key in first:
+            want[r.id] = (first[r.key], "exact")
+        else:
+            first[r.key] = r.id
+    for r in rows:
+        if r.id not in want:
+            own = grams(r.key)
+            hit = next((k for k, other in kept if len(own & other) / len(own | other) >= 0.8), None)
+            if hit is None:
+                kept.append((r.id, own))
+            else:
+                want[r.id] = (hit, "fuzzy")
+    assert {r.dup_id: (r.keep_id, r.match_kind) for r in dedup.find_duplicates(pairs, 0.8).collect()} == want
+    assert {"exact", "fuzzy"} == {kind for _, kind in want.values()}
+
+
 def test_a_family_leaves_by_its_first_row(spark, monkeypatch):
     base, rng = "what is the colour of the sky at noon over the old harbour", random.Random(6)
     rows = [base[: (k := rng.randrange(len(base)))] + rng.choice("abcxyz") + base[k + 1 :] for _ in range(600)]
