@@ -259,13 +259,21 @@ def _tagged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def search(docs: DataFrame, benchmark: DataFrame, k: int = SEED_WORDS, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with items (ids found in the text, ascending) and coverage (the highest share, 0 if none is found)."""
+    """``docs`` with items (ids found in the text, ascending) and coverage (the highest share, 0 if none is found).
+
+    Where ``docs`` has a column of such a name, whatever its case, the added one is called items_found or coverage_found, with more of ``_found`` until it is free.
+    """
     tagged, given = _tagged(docs)
     found = hits(given, benchmark, k, coverage, block_words)
     on = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag"))
     out = tagged.join(sized(found, 64), on, "left")
     added = F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")
-    return out.select(*(f"c{i}" for i in range(len(docs.columns))), *added).toDF(*docs.columns, "items", "coverage")
+    names, taken = [], {c.lower() for c in docs.columns}
+    for name in ("items", "coverage"):
+        while name in taken:
+            name += "_found"
+        names.append(name)
+    return out.select(*(f"c{i}" for i in range(len(docs.columns))), *added).toDF(*docs.columns, *names)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

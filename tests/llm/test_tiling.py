@@ -94,3 +94,11 @@ def test_a_benchmark_of_many_blocks_reads_the_suspects_alone(spark, monkeypatch)
     monkeypatch.setattr(decontaminate, "SIEVE_BITS", 4)  # a full sieve stops nothing
     monkeypatch.setattr(decontaminate.Sieve, "__init__", lambda self, seeds: (setattr(self, "bits", 4), setattr(self, "map", np.zeros(2, np.uint8)))[0])
     assert rows(block_words=200) == want
+
+
+def test_added_columns_get_names_of_their_own(spark):
+    b = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so one two three four five six", "x", 0.5, "y"), (2, None, None, None, None)], "doc_id long, text string, Items string, coverage double, coverage_found string")
+    out = decontaminate.search(docs, b)
+    assert out.columns == [*docs.columns, "items_found", "coverage_found_found"]
+    assert {r.doc_id: (r["Items"], r.coverage, r.items_found, r.coverage_found_found) for r in out.collect()} == {1: ("x", 0.5, [7], 1.0), 2: (None, None, [], 0.0)}
