@@ -187,6 +187,8 @@ def _trained(groups: Sequence[Sequence[int]], *options):
         else:
             words, w, b = fit(rows, groups, *options)
         yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([float(b)])], names=["words", "weights", "bias"])
+        rows.clear()
+        pa.default_memory_pool().release_unused()  # a reused worker keeps nothing
 
     return run
 
@@ -231,6 +233,7 @@ def _scores(model: Model, columns: list[str], text: str):
                     z += np.bincount(seen // len(words), weights=weights[seen % len(words)], minlength=batch.num_rows)
                 score = 1 / (1 + np.exp(-np.clip(z, -700, 700))) if np.isfinite(bias) else np.zeros(batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], names=[*columns, "score"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
