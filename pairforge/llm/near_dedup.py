@@ -1,11 +1,15 @@
 """Near-duplicates by the Jaccard similarity of five-word shingle sets, verified exactly.
 
-SimHash cannot search this: at similarity 0.8 two fingerprints of 64 bits differ
-by about 10 bits, a radius at which a pigeonhole index meets nearly everything.
-Candidates come from MinHash instead: ``BANDS`` keys of ``ROWS`` minima each.
+Each set has a SimHash fingerprint over its shingles, and the pairs that the
+generalised pigeonhole index of ``simhash`` gives within ``RADIUS`` bits are
+compared on the shingles themselves. That settles the nearest copies. At
+similarity 0.8 two fingerprints of 64 bits differ by about 10 bits, a radius at
+which a pigeonhole index meets nearly everything, so what the fingerprints leave
+apart is completed by MinHash: ``BANDS`` keys of ``ROWS`` minima each.
 Two sets of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS,
 all but 3 in 100,000 pairs at 0.8, fewer above. Sets that share a key are
-compared on the shingles themselves, and components are taken of the links.
+compared in the same way, but where all sets of a key are connected already, and
+components are taken of all links.
 
 Texts of equal shingle sets are one set, so copies cost nothing. The sets of a
 key travel as packed text to one task, which counts the shingles that one set
@@ -39,6 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.llm import kernel as K
+from pairforge.llm import simhash
 from pairforge.llm.common import positional, sized, written
 from pairforge.llm.graph import components
 
@@ -46,6 +51,8 @@ SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 20, 4
+#: Bits by which fingerprints of candidates differ at most.
+RADIUS = 4
 #: Sets and shingles of a block, about; a task compares two blocks at once.
 BLOCK_SETS, BLOCK_SHINGLES = 1_000, 400_000
 #: Blocks of a key up to which each meets each other; beyond, components and rare shingles narrow the search first.
@@ -80,6 +87,8 @@ def _sketches(shingle: int):
                 h, at = _shingles(batch.column("text"), shingle)
                 sets = [_distinct(h[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 sid = K.mix(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64))
+                n = np.array([len(s) for s in sets], np.int32)
+                fp = simhash.majority(np.concatenate(sets), np.concatenate(([0], np.cumsum(n, dtype=np.int64))))
                 some = np.flatnonzero(np.diff(at))
                 keys = np.zeros((batch.num_rows, BANDS), np.uint64)
                 if len(some):
@@ -90,8 +99,8 @@ def _sketches(shingle: int):
                         keys[some, i // ROWS] = K.mix(keys[some, i // ROWS] + np.minimum.reduceat(now, at[some]) + np.uint64(i))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), batch.column("tag"), pa.array(sid.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), bands],
-                    names=["doc_id", "tag", "sid", "n", "bands"],
+                    [batch.column("doc_id").cast(pa.int64()), batch.column("tag"), pa.array(sid.view(np.int64)), pa.array(n), pa.array(fp.view(np.int64)), bands],
+                    names=["doc_id", "tag", "sid", "n", "fp", "bands"],
                 )
         pa.default_memory_pool().release_unused()  # a reused worker keeps nothing
 
@@ -255,24 +264,58 @@ def _wide_links(wide: DataFrame, found: DataFrame, packed: DataFrame, compared:
     return found.unionByName(compared(_outside_to_all(_in_families(members, packed, shingle, similarity))))
 
 
-def links(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(u, v): verified links that connect all sets which links connect; docs (doc_id, tag, text), reps (sid, n, bands, and its least document)."""
-    rows = reps.select("sid", "n", F.explode("bands").alias("key"))
-    stats = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).where("m > 1")
-    shared = written(stats.select("key", _blocks(F.col("m"), F.col("shingles")).alias("blocks")), "keys")
-    met = written(rows.join(sized(shared, 40), "key").select("sid", "key", "n", "blocks"), "met")
-    needed = written(reps.join(met.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("least.doc_id").alias("kept_id"), F.col("least.tag").alias("kept_tag")), "needed")
+def _packed_sets(docs: DataFrame, reps: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, packed): the text of one document of each set that ``sids`` names."""
+    needed = written(reps.join(sids.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("least.doc_id").alias("kept_id"), F.col("least.tag").alias("kept_tag")), "needed")
     on = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tag") == F.col("kept_tag"))
-    packed = written(docs.join(sized(needed, 64), on).select("sid", "text").mapInArrow(_packed, "sid long, packed binary"), "packed")
+    return written(docs.join(sized(needed, 64), on).select("sid", "text").mapInArrow(_packed, "sid long, packed binary"), "packed")
+
+
+def _comparer(packed: DataFrame, shingle: int, similarity: tuple[int, int]) -> Callable[[DataFrame], DataFrame]:
+    """A function from (sid, gid) to the links (u, v) that connect similar sets of each gid."""
 
     def compared(dealt: DataFrame) -> DataFrame:
         together = dealt.join(packed, "sid").select("gid", "sid", "packed").repartition("gid").sortWithinPartitions("gid", "sid")
         return written(together.mapInArrow(_linked(shingle, similarity), "u long, v long"), "links")
 
+    return compared
+
+
+def fingerprint_links(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(u, v): verified links among the pairs that the SimHash index gives; reps (sid, fp, and its least document).
+
+    The index gives no more pairs than connect all fingerprints within ``radius``
+    bits, and sets of one fingerprint meet the first of them: so many pairs as sets.
+    """
+    first = written(reps.groupBy("fp").agg(F.min("sid").alias("u"), F.count("*").alias("sets")), "fingerprints")
+    near = written(simhash.links(first.select("fp"), radius).distinct(), "near")
+    ends = [sized(first.select(F.col("fp").alias(f"{c}_fp"), F.col("u").alias(c)), 24) for c in "ab"]
+    pairs = near.withColumnsRenamed({"u": "a_fp", "v": "b_fp"}).join(ends[0], "a_fp").join(ends[1], "b_fp").select("a", "b")
+    equal = reps.join(sized(written(first.where("sets > 1"), "shared"), 24), "fp").where("sid <> u").select(F.col("u").alias("a"), F.col("sid").alias("b"))
+    pairs = written(pairs.unionByName(equal).select(F.explode(F.array("a", "b")).alias("sid"), F.xxhash64("a", "b").alias("gid")), "pairs")
+    return _comparer(_packed_sets(docs, reps, pairs), shingle, similarity)(pairs)
+
+
+def links(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
+    """(u, v): verified links that connect all sets which links connect; docs (doc_id, tag, text), reps (sid, n, bands, and its least document).
+
+    ``known``: links found before. They are given back with the others, and keys whose sets they connect are not searched.
+    """
+    labelled = reps.select("sid", "n", "bands", F.col("sid").alias("label"))
+    if known is not None:
+        roots = written(components(known).withColumnRenamed("node", "sid"), "roots")
+        labelled = reps.select("sid", "n", "bands").join(sized(roots, 16), "sid", "left").select("sid", "n", "bands", F.coalesce("root", "sid").alias("label"))
+    rows = labelled.select("sid", "n", "label", F.explode("bands").alias("key"))
+    stats = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    shared = written(stats.select("key", _blocks(F.col("m"), F.col("shingles")).alias("blocks")), "keys")
+    met = written(rows.join(sized(shared, 40), "key").select("sid", "key", "n", "blocks"), "met")
+    packed = _packed_sets(docs, reps, met)
+    compared = _comparer(packed, shingle, similarity)
     # a set of block b goes to all pairs of blocks that b is in
     narrow = met.where(F.col("blocks") <= NARROW_BLOCKS)
     pairs = narrow.select("sid", "key", _block("blocks").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     found = compared(pairs.select("sid", F.xxhash64("key", F.least("b", "j"), F.greatest("b", "j")).alias("gid")))
+    found = found if known is None else known.unionByName(found)
     if shared.where(F.col("blocks") > NARROW_BLOCKS).isEmpty():
         return found
     return _wide_links(met.where(F.col("blocks") > NARROW_BLOCKS), found, packed, compared, shingle, similarity)
@@ -283,14 +326,15 @@ def near_deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple
     plain, name = positional(docs)
     tagged = plain.withColumn("tag", F.xxhash64(name["text"])).withColumn("doc_id", F.col(name["doc_id"]).cast("long"))
     given = tagged.select("doc_id", "tag", F.col(name["text"]).alias("text"))
-    sketches = written(given.mapInArrow(_sketches(shingle), "doc_id long, tag long, sid long, n int, bands array<long>"), "sketches")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n", "bands")).alias("least")
+    sketches = written(given.mapInArrow(_sketches(shingle), "doc_id long, tag long, sid long, n int, fp long, bands array<long>"), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n", "fp", "bands")).alias("least")
     reps = sketches.groupBy("sid").agg(least, F.count("*").alias("rows"))
-    reps = written(reps.select("sid", F.struct("least.none", "least.doc_id", "least.tag").alias("least"), "least.n", "least.bands", "rows"), "sets")
-    roots = components(links(given, reps, shingle, similarity)).withColumnRenamed("node", "sid")
-    known = written(reps.select("sid", "least", "rows").join(roots, "sid", "left").where("root is not null or rows > 1"), "touched")
-    best = known.where("root is not null").groupBy("root").agg(F.min("least").alias("best"))
-    stays = known.join(best, "root", "left").select("sid", F.coalesce("best", "least").alias("best"))
+    reps = written(reps.select("sid", F.struct("least.none", "least.doc_id", "least.tag").alias("least"), "least.n", "least.fp", "least.bands", "rows"), "sets")
+    known = fingerprint_links(given, reps, shingle, similarity)
+    roots = components(links(given, reps, shingle, similarity, known)).withColumnRenamed("node", "sid")
+    touched = written(reps.select("sid", "least", "rows").join(roots, "sid", "left").where("root is not null or rows > 1"), "touched")
+    best = touched.where("root is not null").groupBy("root").agg(F.min("least").alias("best"))
+    stays = touched.join(best, "root", "left").select("sid", F.coalesce("best", "least").alias("best"))
     rows = written(sketches.select("doc_id", "tag", "sid").join(stays, "sid"), "rows")
     stay = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tag") == F.col("best.tag"))
     gone = written(rows.where(~stay).select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")).distinct(), "gone")

@@ -38,6 +38,8 @@ from pairforge.llm.graph import components
 
 BITS = 64
 SEED = 42
+#: Hashes whose bits are counted at once.
+VOTES = 1 << 16
 #: Cost of one probe row against one compared pair, for choosing thresholds.
 PROBE_COST = 100.0
 #: Rows of a group from which comparisons skip pairs that are already connected.
@@ -47,6 +49,18 @@ GROUP_ROWS = 50_000
 _PROBED = "part byte, value long, probe boolean, fp long"
 
 
+def majority(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row of hashes, rows being cut at ``cut``: the bits that more than half of them have."""
+    count = np.diff(cut)
+    votes = np.zeros((len(count), BITS), np.int32)
+    for at in range(0, len(h), VOTES):  # a row may go on in the next block
+        bits = np.unpackbits(h[at : at + VOTES].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.searchsorted(cut, at, "right") - 1
+        own = first + np.flatnonzero(count[first : np.searchsorted(cut, at + len(bits))])
+        votes[own] += np.add.reduceat(bits, np.maximum(cut[own] - at, 0), axis=0, dtype=np.int32)
+    return np.packbits(votes * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -61,13 +75,7 @@ def _fingerprints(shingle: int):
                 size = np.repeat(np.minimum(words, shingle), count)
                 raw, digest = text.tobytes(), xxhash.xxh64_intdigest
                 h = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(at[first].tolist(), (at[first + size] - 1).tolist(), strict=True)), np.uint64, len(first))
-                out = np.zeros(batch.num_rows, np.uint64)
-                some = np.flatnonzero(count)
-                if len(some):
-                    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    votes = np.add.reduceat(bits, cut[some], axis=0, dtype=np.int32)
-                    out[some] = np.packbits(votes * 2 > count[some, None], axis=1, bitorder="little").view("<u8").ravel()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tag"), pa.array(out.view(np.int64))], names=["doc_id", "tag", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tag"), pa.array(majority(h, cut).view(np.int64))], names=["doc_id", "tag", "fp"])
 
     return run
 

@@ -121,3 +121,41 @@ def test_candidates_reach_pairs_at_the_threshold():
     assert len(a & b) * 5 == len(a | b) * 4
     assert (keys[::2] == keys[1::2]).any(axis=1).all()
     assert abs((keys[::2] == keys[1::2]).mean() - 0.8**near_dedup.ROWS) < 0.03
+
+
+def test_fingerprints_link_sets_without_a_common_key(spark):
+    """The SimHash index alone connects the nearest copies, verified on their shingles; MinHash keys of connected sets are left out."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        x = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(x), " ".join([*x[:-1], "other"]), " ".join(x[:150] + [f"v{rng.randrange(10**6)}" for _ in range(150)])]
+    texts += ["", "a b c d e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "tag", "text"])
+    rows = [r for out in near_dedup._sketches(5)(iter([batch])) for r in out.to_pylist()]
+    near = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows[:i]) if ((a["fp"] ^ b["fp"]) & (1 << 64) - 1).bit_count() <= near_dedup.RADIUS}
+    sets = [shingle_set(t) for t in texts]
+    similar = {(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(similar) >= 8
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, tag long, text string")
+    schema = "sid long, n int, fp long, bands array<long>, least struct<none:boolean,doc_id:long,tag:long>"
+    reps = spark.createDataFrame([(i, r["n"], r["fp"], [i], (False, i, i)) for i, r in enumerate(rows)], schema)
+    known = near_dedup.fingerprint_links(docs, reps)
+    assert {(max(r.u, r.v), min(r.u, r.v)) for r in known.collect()} == similar
+    found = near_dedup.links(docs, reps, known=known)
+    assert {(max(r.u, r.v), min(r.u, r.v)) for r in found.collect()} == similar
+
+
+@pytest.mark.parametrize("votes", [1 << 16, 7])
+def test_majorities_are_those_of_a_count(monkeypatch, votes):
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup.simhash, "VOTES", votes)
+    rng = np.random.default_rng(1)
+    n = np.array([0, 3, 0, 0, 20, 1, 14, 7, 0])
+    h = rng.integers(0, 1 << 64, n.sum(), np.uint64, endpoint=False)
+    cut = np.concatenate(([0], np.cumsum(n)))
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[a:c]) > c - a) for a, c in zip(cut[:-1], cut[1:], strict=True)]
+    assert near_dedup.simhash.majority(h, cut).tolist() == want
