@@ -102,7 +102,7 @@ def _sketches(shingle: int):
                     [batch.column("doc_id").cast(pa.int64()), batch.column("tag"), pa.array(sid.view(np.int64)), pa.array(n), pa.array(fp.view(np.int64)), bands],
                     names=["doc_id", "tag", "sid", "n", "fp", "bands"],
                 )
-        pa.default_memory_pool().release_unused()  # a reused worker keeps nothing
+        K.release()
 
     return run
 
@@ -113,7 +113,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(whole, "text"):
             texts = batch.column("text").cast(pa.large_binary())
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([pack.compress(t.as_py() or b"") for t in texts], pa.binary())], names=["sid", "packed"])
-    pa.default_memory_pool().release_unused()
+    K.release()
 
 
 def spanning_links(sets: list[np.ndarray], similarity: tuple[int, int]) -> Iterator[tuple[int, int]]:
@@ -175,7 +175,7 @@ def _linked(shingle: int, similarity: tuple[int, int]):
                 packed += batch.column("packed").slice(a, b - a).to_pylist()
         if sids and (out := links(sids, packed)):
             yield out
-        pa.default_memory_pool().release_unused()
+        K.release()
 
     return run
 

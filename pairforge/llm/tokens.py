@@ -37,7 +37,7 @@ from pairforge.llm.common import partitions, shared_dir, table, written
 BLOCK_IDS = coder.LANES * coder.STEPS
 END_ID = 0
 #: Pieces that a worker remembers; beyond it keeps the half that it meets most.
-REMEMBERED = 1_500_000
+REMEMBERED = 200_000
 #: White space beyond ASCII, and control characters that some libraries take for it.
 _WIDE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Kinds of bytes, as bits of one table.
@@ -309,6 +309,8 @@ def _encoded(path: str, block_ids: int):
         def out() -> pa.RecordBatch:
             nonlocal block
             own = np.concatenate(ids)
+            ids.clear()
+            K.release()  # the coder takes as much again
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), _one(pa.concat_arrays(docs)), _one(pa.array(np.concatenate(sizes))), pa.array([len(own)], pa.int64()), pa.array([coder.encode(own, tokenizer.size)], pa.binary())],
                 names=["part", "block", "doc_ids", "lengths", "n_ids", "coded"],
@@ -316,11 +318,10 @@ def _encoded(path: str, block_ids: int):
             block += 1
             docs.clear()
             sizes.clear()
-            ids.clear()
             return row
 
         for whole in batches:
-            for batch in K.slices(whole, "text", 2 * K.SLICE_BYTES):
+            for batch in K.slices(whole, "text"):
                 part = batch.column("part")[0].as_py()
                 flat, n = tokenizer.encode(batch.column("text"))
                 docs.append(batch.column("doc_id").cast(pa.int64()))
@@ -330,7 +331,7 @@ def _encoded(path: str, block_ids: int):
                     yield out()
         if ids:
             yield out()
-        pa.default_memory_pool().release_unused()  # a reused worker keeps nothing but the pieces it knows
+        K.release()  # but for the pieces it knows
 
     return run
 
@@ -353,6 +354,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(n.tolist(), ends.tolist(), strict=True)]
             full = lambda name, r=r, n=n: pa.array(np.full(len(n), batch.column(name)[r].as_py(), np.int32))
             yield pa.RecordBatch.from_arrays([full("part"), full("block"), batch.column("doc_ids")[r].values, pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
+    K.release()
 
 
 def read_tokens(spark, path: str) -> DataFrame:

@@ -188,7 +188,7 @@ def _trained(groups: Sequence[Sequence[int]], *options):
             words, w, b = fit(rows, groups, *options)
         yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([float(b)])], names=["words", "weights", "bias"])
         rows.clear()
-        pa.default_memory_pool().release_unused()  # a reused worker keeps nothing
+        K.release()
 
     return run
 
@@ -233,7 +233,7 @@ def _scores(model: Model, columns: list[str], text: str):
                     z += np.bincount(seen // len(words), weights=weights[seen % len(words)], minlength=batch.num_rows)
                 score = 1 / (1 + np.exp(-np.clip(z, -700, 700))) if np.isfinite(bias) else np.zeros(batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], names=[*columns, "score"])
-        pa.default_memory_pool().release_unused()
+        K.release()
 
     return run
 
@@ -255,8 +255,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """The columns of ``docs``, without rows whose score reaches the threshold."""
     model = train(labelled_rows(docs, labels, ~held_out(F.col("doc_id"))))
     columns = docs.columns
-    renamed = docs.toDF(*(f"c{i}" for i in range(len(columns)))).withColumn("_text", F.col(f"c{columns.index('text')}"))
-    kept = renamed.mapInArrow(_scores(model, renamed.columns[:-1], "_text"), ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes)) + ", score double")
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    kept = renamed.mapInArrow(_scores(model, renamed.columns, f"c{columns.index('text')}"), ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes)) + ", score double")
     return kept.where(F.col("score") < threshold).drop("score").toDF(*columns)
 
 
