@@ -40,6 +40,8 @@ FILTERS = "ABCDE"
 _BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 #: Bytes of a prefix that ranges are cut by at one level, and the most levels.
 _LEAD, _LEVELS = 7, 6
+#: Bytes in which texts of a heavy prefix are compared at a level.
+_PIECE = 1 << 16
 #: Text that a trie holds before what is finished is released.
 TRIE_BYTES = 32 << 20
 _MARKS = np.zeros(256, bool)
@@ -126,40 +128,138 @@ def _shared(low: bytes, high: bytes) -> int:
     return int(unlike[0]) if len(unlike) else n
 
 
+class Prefixes:
+    """The heavy prefixes of each level: (node, code) with the node below it, and where the texts below go on after what they share."""
+
+    def __init__(self) -> None:
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        self.start: dict[int, int] = {}  # where texts go on below each node of the last level
+
+    def add(self, rows: list[tuple[int, int, int, int]]) -> None:
+        """A level of rows (node, code, child, next)."""
+        node, code, child, after = np.array(sorted(rows), np.int64).reshape(-1, 4).T
+        self.levels.append((np.unique(code), node, code, child, after))
+        self.start = dict(zip(child.tolist(), after.tolist(), strict=True))
+
+    def with_level(self, rows: list[tuple[int, int, int, int]]) -> Prefixes:
+        out = Prefixes()
+        out.levels = list(self.levels)
+        out.add(rows)
+        return out
+
+    def descend(self, texts: pa.Array, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The node that each text ends in (-1: above the last level), where it goes on there, and its codes."""
+        data, offsets = K.flat(texts)
+        node, at, codes = np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64), [lead]
+        for distinct, nodes, own, child, after in self.levels:
+            place = np.searchsorted(distinct, codes[-1])
+            known = (node >= 0) & (place < len(distinct))
+            known[known] = distinct[place[known]] == codes[-1][known]
+            pairs = nodes * len(distinct) + np.searchsorted(distinct, own)  # in the order of the rows
+            pair = node * len(distinct) + place
+            row = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
+            known[known] = pairs[row[known]] == pair[known]
+            node = np.where(known, child[row], -1)
+            at = np.where(known, after[row], at)
+            code, inside = np.zeros(len(lead), np.int64), np.flatnonzero(known)
+            for i in range(_LEAD):
+                place = offsets[:-1][inside] + at[inside] + i
+                there = place < offsets[1:][inside]
+                byte = np.zeros(len(inside), np.int64)
+                byte[there] = data[place[there]]
+                code[inside] = code[inside] << 8 | byte
+            codes.append(code)
+        return node, at, codes
+
+
+def _weights(prefixes: Prefixes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, "text"):
+                node, _, codes = prefixes.descend(batch.column("text"), batch.column("lead").to_numpy())
+                size = np.diff(K.flat(batch.column("text"))[1]) + 16
+                yield pa.RecordBatch.from_arrays([pa.array(x[node >= 0]) for x in (node, codes[-1], size)], names=["node", "code", "bytes"])
+
+    return run
+
+
+def _ends(prefixes: Prefixes):
+    """Of each slice and node the least and the greatest of what its texts go on with, up to a bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, "text"):
+                texts = batch.column("text")
+                node, at, _ = prefixes.descend(texts, batch.column("lead").to_numpy())
+                ends: dict[int, tuple[int, bytes, bytes]] = {}
+                for i in np.flatnonzero(node >= 0).tolist():
+                    piece = texts[i].as_py()[at[i] : at[i] + _PIECE]
+                    _, low, high = ends.get(int(node[i]), (0, piece, piece))
+                    ends[int(node[i])] = int(at[i]), min(low, piece), max(high, piece)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(ends), pa.int64()), *(pa.array([e[k] for e in ends.values()], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))],
+                    names=["child", "at", "low", "high"],
+                )
+
+    return run
+
+
+def _going_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(child, next) of the nodes whose texts are not all equal from where they stand on: where they go on after what they share."""
+    for batch in batches:
+        child, after = [], []
+        for r in batch.to_pylist():
+            shared = _shared(r["low"], r["high"])
+            if r["low"] != r["high"] or shared == _PIECE:
+                child.append(r["child"])
+                after.append(r["at"] + shared)
+        yield pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(after, pa.int64())], names=["child", "next"])
+
+
+def _keyed(prefixes: Prefixes, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, "text"):
+                codes = prefixes.descend(batch.column("text"), batch.column("lead").to_numpy())[2]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *map(pa.array, codes)], names=[*columns, *(f"k{i}" for i in range(len(codes)))])
+
+    return run
+
+
 def with_prefix_keys(records: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
     """``records`` with columns of prefix codes that sort as the texts do, as many levels as heavy prefixes need.
 
     A prefix is heavy if its records hold more than half of an n-th of all bytes,
     so there are fewer than 2n of them at a level, however large the table is.
+    Tasks hold the heavy prefixes and look each record's up, in one pass a step
+    over the records below heavy first codes; no level repeats those before it.
     """
-    spark = records.sparkSession
-    # a slice of text at a time is compared: what many texts of more than that share is looked at level by level
-    piece = F.substring("text", F.col("at") + 1, F.lit(1 << 16))
+    weight = records.groupBy("lead").agg(F.sum(F.length("text") + 16).alias("bytes"), F.count("*").alias("rows"))
     total = records.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    keyed = records.withColumns({"at": F.lit(0).cast("int"), "node": F.lit(0).cast("int"), "k0": F.col("lead")})
-    keys = ["k0"]
-    for level in range(1, _LEVELS):
-        last = keys[-1]
-        weight = keyed.where(F.col("node") >= 0).groupBy("node", last).agg(F.sum(F.length("text") + 16).alias("bytes"), F.count("*").alias("rows"))
-        heavy = weight.where((F.col("bytes") > total / (2 * n)) & (F.col("rows") > 1)).select("node", last)
-        found = [(r["node"], r[last]) for r in heavy.collect()]
+    is_heavy = (F.col("bytes") > total / (2 * n)) & (F.col("rows") > 1)
+    found = [(0, r["lead"]) for r in weight.where(is_heavy).collect()]
+    prefixes, below = Prefixes(), F.col("lead").isin([code for _, code in found])
+    deep = records.where(below)
+    for _ in range(1, _LEVELS):
         if not found:
             break
-        named = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(found)], f"node int, {last} long, child int")
-        inside = keyed.join(F.broadcast(named), ["node", last])
-        ends = inside.groupBy("child").agg(F.min(piece).alias("low"), F.max(piece).alias("high"), F.first("at").alias("at"))
-        nodes = []
-        for r in ends.toLocalIterator():  # two stretches of 64 KB each
-            shared = _shared(bytes(r["low"]), bytes(r["high"]))
-            if r["low"] != r["high"] or shared == 1 << 16:  # else all its texts are equal from here on
-                nodes.append((*found[r["child"]], len(nodes), r["at"] + shared))
+        # texts go on from where their node stands until it is known what they share
+        tried = prefixes.with_level([(*f, i, prefixes.start.get(f[0], 0)) for i, f in enumerate(found)])
+        ends = deep.select("text", "lead").mapInArrow(_ends(tried), "child long, at long, low binary, high binary")
+        ends = ends.groupBy("child").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("at").alias("at"))
+        going_on = ends.mapInArrow(_going_on, "child long, next long").collect()  # a row of two numbers for each heavy prefix
+        nodes = [(*found[r["child"]], i, r["next"]) for i, r in enumerate(sorted(going_on))]
         if not nodes:
             break
-        deeper = spark.createDataFrame(nodes, f"node int, {last} long, child int, next int")
-        keyed = keyed.join(F.broadcast(deeper), ["node", last], "left").withColumn("node", F.coalesce("child", F.lit(-1))).withColumn("at", F.coalesce("next", "at")).drop("child", "next")
-        keys.append(f"k{level}")
-        keyed = keyed.withColumn(keys[-1], F.when(F.col("node") >= 0, _code(F.col("text"), F.col("at"))).otherwise(F.lit(0).cast("long")))
-    return keyed, keys
+        prefixes.add(nodes)
+        weight = deep.select("text", "lead").mapInArrow(_weights(prefixes), "node long, code long, bytes long").groupBy("node", "code").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
+        found = [(r["node"], r["code"]) for r in weight.where(is_heavy).collect()]
+    keys = [f"k{i}" for i in range(len(prefixes.levels) + 1)]
+    light = records.withColumns({k: F.lit(0).cast("long") if i else F.col("lead") for i, k in enumerate(keys)})
+    if len(keys) == 1:
+        return light, keys
+    kinds = ", ".join([*(f"{c} {kind}" for c, kind in records.dtypes), *(f"{k} long" for k in keys)])
+    return light.where(~below).unionByName(deep.mapInArrow(_keyed(prefixes, records.columns), kinds)), keys
 
 
 # --- tries ---

@@ -106,3 +106,19 @@ def test_the_query_is_the_sql_and_the_model(spark):
     for name in ("documents", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{d}/{name}.parquet')")
     assert {tuple(r[:3]): tuple(r[3:]) for r in con.execute(A.OP13_SQL).fetchall()} == got
+
+
+def test_prefix_keys_join_nothing(spark):
+    """Levels of prefixes are looked up in one pass: records are not joined with each level again."""
+    texts = ["h" * 300 + f"{i % 3}" + "m" * 50 + f"{i % 5}" + "t" * 40 + f"{i:03d}" for i in range(200)] + [f"{i} other" for i in range(50)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "tag long, text string").select("tag", F.col("text").cast("binary").alias("text"))
+    frame = frame.withColumn("own_min", F.col("tag")).withColumn("lead", A._code(F.col("text"), F.lit(0)))
+    keyed, keys = A.with_prefix_keys(frame, 8)
+    assert len(keys) > 2
+    assert "Join" not in keyed._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(keyed.select(*keys, "text").collect(), key=lambda r: tuple(r)[:-1])
+    assert len(rows) == 250
+    heads = {}
+    for r in rows:
+        heads.setdefault(tuple(r)[:-1], []).append(bytes(r.text))
+    assert all(max(a) < min(b) for a, b in zip(list(heads.values()), list(heads.values())[1:]))
