@@ -115,3 +115,21 @@ def test_a_batch_that_is_played_again_changes_nothing(spark, tmp_path, monkeypat
     assert got.count() == 12 and got.select("doc_id").distinct().count() == 12 and got.select("batch").distinct().count() == 3
     assert [(r.n_pairs, r.n_failed, r.pairs_so_far) for r in stream.progress(spark, out).orderBy("batch").collect()] == [(4, 0, 4), (4, 0, 8), (4, 0, 12)]
     assert set(calls(log).values()) == {1}
+
+
+def test_jobs_do_not_grow_with_the_requests(spark, tmp_path):
+    """Lots are tasks of one job; a bound on requests under way is kept by rounds of so many tasks."""
+
+    def jobs(lot, concurrency=None):
+        name, log = f"lot-{lot}-{concurrency}", str(tmp_path / f"calls-{lot}-{concurrency}")
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            done = ledger.complete_once(requests(spark), told(log, answering()), str(tmp_path / name), lot=lot, concurrency=concurrency)
+            n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        assert done.where("response is not null").count() == 40 and set(calls(log).values()) == {1} and len(calls(log)) == 40
+        return n
+
+    assert jobs(4) == jobs(40)
+    assert jobs(20, 2) < jobs(4, 2)
