@@ -68,7 +68,7 @@ def stream_generate(
             pairs, failures = pairs_of(docs, pair_count), None
         else:
             requests = build_prompts(written(specs_of(docs, pair_count), "specs"), **({"styles": ["factual"]} | prompt))
-            told = complete_once(requests, fn, f"{out_dir}/requests", lot=lot)
+            told = complete_once(requests.drop("text"), fn, f"{out_dir}/requests", lot=lot)
             got, failures = parse_responses(told.select(*KEY, "response", "error"))
             pairs = validate_pairs(got)
         counts = _counted(pairs, "pairs", out_dir, batch, n_pairs=F.count("*"), n_flagged=F.count_if(F.size("issues") > 0))
